@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, tokenids, urlfilter
+from . import chat, decontaminate, ngramjoin, tokenids, urlfilter
 
 
 def queries() -> dict:
     return {
         "op1_token_ids": tokenids.op1_token_ids,
+        "op3_ngram_join": ngramjoin.op3_ngram_join,
         "op4_chat_format": chat.op4_chat_format,
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op10_url_filter": urlfilter.op10_url_filter,
@@ -15,4 +16,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": chat.OP4_SQL, "op7_decontaminate": decontaminate.OP7_SQL, "op10_url_filter": urlfilter.OP10_SQL}
+    return {"op3_ngram_join": ngramjoin.OP3_SQL, "op4_chat_format": chat.OP4_SQL, "op7_decontaminate": decontaminate.OP7_SQL, "op10_url_filter": urlfilter.OP10_SQL}
