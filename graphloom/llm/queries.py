@@ -2,18 +2,33 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, ngramjoin, tokenids, urlfilter
+import corpus_pipeline
+
+from . import chat, decontaminate, linededup, mixing, ngramjoin, pqdedup, quality, tokenids, toxicity, urlfilter
 
 
 def queries() -> dict:
     return {
         "op1_token_ids": tokenids.op1_token_ids,
+        "op2_toxicity": toxicity.op2_toxicity,
         "op3_ngram_join": ngramjoin.op3_ngram_join,
         "op4_chat_format": chat.op4_chat_format,
+        "op5_embedding_dedup": pqdedup.op5_embedding_dedup,
+        "op6_line_dedup": linededup.op6_line_dedup,
         "op7_decontaminate": decontaminate.op7_decontaminate,
+        "op8_quality": quality.op8_quality,
+        "op9_mix_sources": mixing.op9_mix_sources,
         "op10_url_filter": urlfilter.op10_url_filter,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_join": ngramjoin.OP3_SQL, "op4_chat_format": chat.OP4_SQL, "op7_decontaminate": decontaminate.OP7_SQL, "op10_url_filter": urlfilter.OP10_SQL}
+    return {
+        "op3_ngram_join": ngramjoin.OP3_SQL,
+        "op4_chat_format": chat.OP4_SQL,
+        "op5_embedding_dedup": pqdedup.OP5_SQL,
+        "op6_line_dedup": linededup.OP6_SQL,
+        "op7_decontaminate": decontaminate.OP7_SQL,
+        "op10_url_filter": urlfilter.OP10_SQL,
+    }
