@@ -24,10 +24,15 @@ ESCAPE = (1 << 60) - 1
 _HEAD = struct.Struct("<4sIQQ")
 
 
+_SMALL = np.array([v.bit_length() for v in range(1 << 16)], dtype=np.uint8)
+
+
 def _widths(v: np.ndarray) -> np.ndarray:
     """Bits that each value needs; 0 needs none."""
-    out = np.zeros(v.shape, dtype=np.uint8)
     top = int(v.max(initial=0)).bit_length()
+    if top <= 16:
+        return _SMALL[v.astype(np.uint16)]
+    out = np.zeros(v.shape, dtype=np.uint8)
     for b in range(top):
         out += v >= np.uint64(1 << b)
     return out
@@ -45,53 +50,60 @@ def _selectors(w: np.ndarray, length: int) -> np.ndarray:
         a = most[:, :length]
         if n > power:
             a = np.maximum(a, most[:, n - power : n - power + length])
-        np.copyto(out, k, where=a <= BITS[k], casting="unsafe")
+        # k where all n values fit, else 255
+        np.minimum(out, np.maximum((a > BITS[k]).view(np.uint8) * np.uint8(255), np.uint8(k)), out=out)
     return out
 
 
 def encode(values: np.ndarray, block: int = BLOCK) -> bytes:
     """The payload of any array of unsigned integers; an empty one gives a payload of no blocks."""
-    values = np.ascontiguousarray(values, dtype=np.uint64).ravel()
+    values = np.asarray(values).ravel()
+    if values.dtype.kind != "u":
+        values = values.astype(np.uint64)
     n = len(values)
     rows = -(-n // block)
-    grid = np.zeros((rows, block + int(COUNTS[0])), dtype=np.uint64)
     lengths = np.full(rows, block, dtype=np.int64)
     if rows:
         lengths[-1] = n - (rows - 1) * block
-        padded = np.zeros(rows * block, dtype=np.uint64)
-        padded[:n] = values
-        grid[:, :block] = padded.reshape(rows, block)
-    escaped = grid >= np.uint64(ESCAPE)
-    escapes, per_block = grid[escaped], escaped.sum(axis=1)
-    grid[escaped] = ESCAPE
-    sel = _selectors(_widths(grid), block) if rows else np.zeros((0, block), np.uint8)
+    # one spare column of zeros, which slots past a block's end read
+    grid = np.zeros((rows, block + 1), dtype=values.dtype)
+    grid[: n // block, :block] = values[: n - n % block].reshape(-1, block)
+    if n % block:
+        grid[-1, : n % block] = values[n - n % block :]
+    escapes, per_block = np.zeros(0, np.uint64), np.zeros(rows, np.int64)
+    if values.dtype.itemsize == 8:
+        escaped = grid >= np.uint64(ESCAPE)
+        escapes, per_block = grid[escaped], escaped.sum(axis=1)
+        grid[escaped] = ESCAPE
+    widths = np.zeros((rows, block + int(COUNTS[0])), dtype=np.uint8)
+    widths[:, :block] = _widths(grid[:, :block])
+    sel = _selectors(widths, block)
     at, live = np.zeros(rows, dtype=np.int64), np.arange(rows)
-    row_of, place, kind = [], [], []
+    row_of, place, kind = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
     while len(live):
-        k = sel[live, at[live]]
+        here = at[live]
+        k = sel[live, here]
         row_of.append(live)
-        place.append(at[live])
+        place.append(here)
         kind.append(k)
-        at[live] += COUNTS[k]
-        live = live[at[live] < lengths[live]]
-    words = np.zeros(0, np.uint64)
-    word_rows = np.zeros(0, np.int64)
-    if rows:
-        row_of, place, kind = map(np.concatenate, (row_of, place, kind))
-        order = np.argsort(row_of, kind="stable")  # steps are in order within a row already
-        row_of, place, kind = row_of[order], place[order], kind[order]
-        words = kind.astype(np.uint64) << np.uint64(60)
-        for k in np.unique(kind):
-            if BITS[k]:
-                i = np.flatnonzero(kind == k)
-                taken = grid[row_of[i][:, None], place[i][:, None] + np.arange(COUNTS[k])]
-                # a slot past the block's end takes zeros: those columns are spare
-                shifts = (np.arange(COUNTS[k]) * BITS[k]).astype(np.uint64)
-                words[i] |= np.bitwise_or.reduce(taken << shifts, axis=1)
-        word_rows = row_of
-    offsets = np.zeros(rows + 1, dtype="<u8")
-    offsets[1:] = np.cumsum(np.bincount(word_rows, minlength=rows)) if rows else []
-    jumps = np.zeros(rows + 1, dtype="<u8")
+        here = here + COUNTS[k]
+        at[live] = here
+        live = live[here < lengths[live]]
+    row_of, place, kind = map(np.concatenate, (row_of, place, kind))
+    order = np.argsort(row_of, kind="stable")  # steps are in order within a row already
+    row_of, place, kind = row_of[order], place[order], kind[order]
+    words = kind.astype(np.uint64) << np.uint64(60)
+    flat = grid.ravel()
+    for k in np.unique(kind):
+        if BITS[k]:
+            i = np.flatnonzero(kind == k)
+            base, start = row_of[i] * (block + 1), place[i]
+            packed = flat[base + start].astype(np.uint64)
+            for j in range(1, int(COUNTS[k])):
+                packed |= flat[base + np.minimum(start + j, block)].astype(np.uint64) << np.uint64(j * BITS[k])
+            words[i] |= packed
+    offsets, jumps = np.zeros(rows + 1, dtype="<u8"), np.zeros(rows + 1, dtype="<u8")
+    offsets[1:] = np.cumsum(np.bincount(row_of, minlength=rows))
     jumps[1:] = np.cumsum(per_block)
     return b"".join([_HEAD.pack(MAGIC, block, n, rows), offsets.tobytes(), jumps.tobytes(), words.astype("<u8").tobytes(), escapes.astype("<u8").tobytes()])
 
@@ -121,13 +133,16 @@ def decode(payload: bytes, first: int = 0, last: int | None = None) -> np.ndarra
     row_of = np.repeat(np.arange(last - first), per_row)
     before = np.cumsum(count) - count
     place = before - before[offsets[first:last] - lo][row_of]
-    out = np.zeros((last - first, block + int(COUNTS[0])), dtype=np.uint64)
+    stride = block + int(count.max())
+    out = np.zeros((last - first) * stride, dtype=np.uint64)
+    base = row_of * stride + place
     for k in np.unique(kind):
         if BITS[k]:
             i = np.flatnonzero(kind == k)
-            shifts = (np.arange(COUNTS[k]) * BITS[k]).astype(np.uint64)
-            out[row_of[i][:, None], place[i][:, None] + np.arange(COUNTS[k])] = (words[i][:, None] >> shifts) & np.uint64((1 << int(BITS[k])) - 1)
-    flat = out[:, :block].ravel()[: n - first * block]
+            here, word, mask = base[i], words[i], np.uint64((1 << int(BITS[k])) - 1)
+            for j in range(int(COUNTS[k])):
+                out[here + j] = (word >> np.uint64(j * BITS[k])) & mask
+    flat = out.reshape(last - first, stride)[:, :block].ravel()[: n - first * block]
     if len(escapes):
         flat[flat == ESCAPE] = escapes[jumps[first] : jumps[last]]
     return flat

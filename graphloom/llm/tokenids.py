@@ -17,8 +17,8 @@ from .tables import scratch, table
 
 #: A segment ends with the document that brings it to so many ids; a longer document is a segment of its own.
 SEGMENT_IDS = 1 << 18
-#: Words that a worker keeps ready, at most; then the older half of them is dropped.
-CACHE_WORDS = 600_000
+#: Words, and halves of words, that a worker keeps ready, at most; then the older half of them is dropped.
+CACHE_WORDS, CACHE_HALVES = 500_000, 1_000_000
 SHARDS = "shard int, seq int, first long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
 
 #: Letters and digits that neither normalisation nor a neighbouring mark can change, then ASCII marks without the apostrophe.
@@ -46,37 +46,40 @@ class Encoder:
     def _library(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.width).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _trim(self, kept: dict) -> None:
-        if len(kept) > CACHE_WORDS:
+    @staticmethod
+    def _trim(kept: dict, most: int) -> None:
+        if len(kept) > most:
             for k in list(kept)[: len(kept) // 2]:
                 if k:
                     del kept[k]
 
-    def _learn(self, new: set[str]) -> None:
-        self._trim(self.words)
-        self._trim(self.halves)
-        split, whole, halves = {}, [], set()
+    def _learn(self, new: set[str], special: bool) -> None:
+        split, whole = [], []
+        halves: set[str] = set()
         for w in new:
             m = _SIMPLE.fullmatch(w)
-            if m and not any(s in w for s in self.special):
-                split[w] = pair = (m[1].lower(), m[2])
-                halves.update(pair)
+            if m and not (special and any(s in w for s in self.special)):
+                a, b = m.groups()
+                a = a.lower()
+                split.append((w, a, b))
+                halves.add(a)
+                halves.add(b)
             else:
                 whole.append(w)
-        fresh = [h for h in halves if h not in self.halves]
+        self._trim(self.halves, CACHE_HALVES)
+        fresh = list(halves.difference(self.halves))
         self.halves.update(zip(fresh, self._library(fresh)))
-        for w, (a, b) in split.items():
-            self.words[w] = self.halves[a] + self.halves[b]
+        known = self.halves
+        for w, a, b in split:
+            self.words[w] = known[a] + known[b]
         self.words.update(zip(whole, self._library(whole)))
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        self._trim(self.words, CACHE_WORDS)
         cut_up = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = set()
-        for words in cut_up:
-            new.update(words)
-        new.difference_update(self.words)
+        new = set().union(*cut_up).difference(self.words)
         if new:
-            self._learn(new)
+            self._learn(new, any(s in t for s in self.special for t in texts if t))
         get = self.words.__getitem__
         return [np.frombuffer(b"".join(map(get, words)), self.width) for words in cut_up]
 
