@@ -75,12 +75,12 @@ def _ancestors(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         if (1 << len(jumps)) > most or step.isEmpty():
             return state.filter("root is not null").select("tree", "node", "root", "depth", F.col("score").alias("total")), jumps
         jumps.append(step)
+        # only nodes that still have a way to go are joined; what a node jumps to is done, if it has no further jump
         above = state.select("tree", F.col("node").alias("jump"), F.col("jump").alias("next"), F.col("root").alias("r"), F.col("depth").alias("d"), F.col("score").alias("s"))
-        moved = state.join(above, ["tree", "jump"], "left")
-        # what a node jumps to is done, if it has no further jump; then it knows its own depth
-        done = F.col("jump").isNotNull() & F.col("next").isNull()
-        moved = moved.withColumn("depth", F.when(done, F.col("d") + (1 << (len(jumps) - 1))).otherwise(F.col("depth")))
-        state = cut(moved.select("tree", "node", F.col("next").alias("jump"), F.coalesce("root", "r").alias("root"), "depth", (F.col("score") + F.coalesce("s", F.lit(0.0))).alias("score")), "tree")
+        moved = state.filter("jump is not null").join(above, ["tree", "jump"])
+        depth = F.when(F.col("next").isNull(), F.col("d") + (1 << (len(jumps) - 1))).otherwise(F.col("depth"))
+        moved = moved.select("tree", "node", F.col("next").alias("jump"), F.col("r").alias("root"), depth.alias("depth"), (F.col("score") + F.col("s")).alias("score"))
+        state = cut(state.filter("jump is null").union(moved), "tree")
 
 
 def reply_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
