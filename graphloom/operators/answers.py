@@ -25,7 +25,9 @@ ENGINE_HEAD = "你是一个知识库助手，请根据以下信息回答用户
 def _with_items(parsed: DataFrame, items: DataFrame) -> DataFrame:
     """Questions with their results as an array in rank order."""
     listed = items.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "triple_id", "subject", "relation", "relation_type", "object", "confidence", "relevance"))).alias("items"))
-    return parsed.join(listed, "query_id", "left").withColumn("items", F.coalesce("items", F.array().cast(listed.schema["items"].dataType)))
+    df = parsed.join(listed.withColumnRenamed("items", "found"), "query_id", "left")
+    # held by a generator, so that the templates read it and do not compute it again
+    return df.select("*", F.explode(F.array(F.coalesce("found", F.array().cast(listed.schema["items"].dataType)))).alias("items")).drop("found")
 
 
 def _spoken(i) -> Column:

@@ -27,6 +27,10 @@ class Graph:
     def empty(spark: SparkSession, name: str = "graph") -> Graph:
         return Graph(spark.createDataFrame([], schema.ENTITIES), spark.createDataFrame([], schema.RELATIONS), spark.createDataFrame([], schema.TRIPLES), name)
 
+    def cached(self) -> Graph:
+        """The same graph, kept by the executors in memory or on their disks after its first use; what is lost is computed again."""
+        return replace(self, entities=self.entities.cache(), relations=self.relations.cache(), triples=self.triples.cache())
+
     def clear(self) -> Graph:
         return Graph.empty(self.entities.sparkSession, self.name)
 
@@ -86,16 +90,14 @@ class Graph:
 
     def remove_entities(self, ids: DataFrame) -> Graph:
         """Entities go, and so do triples from or to them."""
-        gone = ids.select(F.col("id").alias("gone")).distinct()
-        triples = _without(_without(self.triples, gone, "subject_id"), gone, "object_id")
-        return replace(self, entities=_without(self.entities, gone, "id"), triples=triples)
+        triples = not_among(not_among(self.triples, "subject_id", ids), "object_id", ids)
+        return replace(self, entities=not_among(self.entities, "id", ids), triples=triples)
 
     def remove_relations(self, ids: DataFrame) -> Graph:
-        gone = ids.select(F.col("id").alias("gone")).distinct()
-        return replace(self, relations=_without(self.relations, gone, "id"), triples=_without(self.triples, gone, "relation_id"))
+        return replace(self, relations=not_among(self.relations, "id", ids), triples=not_among(self.triples, "relation_id", ids))
 
     def remove_triples(self, ids: DataFrame) -> Graph:
-        return replace(self, triples=_without(self.triples, ids.select(F.col("id").alias("gone")).distinct(), "id"))
+        return replace(self, triples=not_among(self.triples, "id", ids))
 
     # Sets
 
@@ -105,45 +107,54 @@ class Graph:
         ``wins(new, old)`` takes the two prefixes of a clashing triple's columns, as in ``F.col(f"{new}.confidence")``, and says when the new
         one replaces the old one; a replaced triple counts as added.
         """
-        entities = other.entities.filter("id is not null and id <> ''").dropDuplicates(["id"]).join(self.entities.select("id"), "id", "left_anti")
-        relations = other.relations.filter("id is not null and id <> ''").dropDuplicates(["id"]).join(self.relations.select("id"), "id", "left_anti")
+        entities = not_among(_named(other.entities), "id", self.entities)
+        relations = not_among(_named(other.relations), "id", self.relations)
         all_entities, all_relations = self.entities.unionByName(entities), self.relations.unionByName(relations)
         incoming = valid_triples(other.triples.dropDuplicates(["id"]), all_entities, all_relations)
-        fresh = incoming.join(self.triples.select("id"), "id", "left_anti")
+        fresh = not_among(incoming, "id", self.triples)
         kept, added = self.triples, fresh
         if wins is not None:
             won = incoming.alias("new").join(self.triples.alias("old"), F.col("new.id") == F.col("old.id")).filter(wins("new", "old")).select("new.*")
-            kept, added = self.triples.join(won.select("id"), "id", "left_anti"), fresh.unionByName(won)
+            kept, added = not_among(self.triples, "id", won), fresh.unionByName(won)
         counts = entities.agg(F.count("*").alias("added_entities")).crossJoin(added.agg(F.count("*").alias("added_triples")))  # one row each
         return replace(self, entities=all_entities, relations=all_relations, triples=kept.unionByName(added)), counts
 
     def subgraph(self, ids: DataFrame, connected: bool = False) -> Graph:
         """The named entities that exist, with their neighbours if ``connected``; triples within; relations those triples use."""
-        chosen = self.entities.select("id").join(ids.select("id").distinct(), "id", "left_semi")
+        chosen = among(self.entities.select("id"), "id", ids)
         if connected:
-            seed = chosen.select(F.col("id").alias("seed"))
-            out = self.triples.join(seed, self.triples["subject_id"] == seed["seed"], "left_semi").select(F.col("object_id").alias("id"))
-            back = self.triples.join(seed, self.triples["object_id"] == seed["seed"], "left_semi").select(F.col("subject_id").alias("id"))
-            chosen = self.entities.select("id").join(chosen.union(out).union(back).distinct(), "id", "left_semi")
-        entities = self.entities.join(chosen, "id", "left_semi")
-        ends = chosen.select(F.col("id").alias("end"))
-        triples = self.triples.join(ends, self.triples["subject_id"] == ends["end"], "left_semi")
-        triples = triples.join(ends, triples["object_id"] == ends["end"], "left_semi")
-        relations = self.relations.join(triples.select(F.col("relation_id").alias("id")).distinct(), "id", "left_semi")
+            out = among(self.triples, "subject_id", chosen).select(F.col("object_id").alias("id"))
+            back = among(self.triples, "object_id", chosen).select(F.col("subject_id").alias("id"))
+            chosen = among(self.entities.select("id"), "id", chosen.union(out).union(back))
+        entities = among(self.entities, "id", chosen)
+        triples = among(among(self.triples, "subject_id", chosen), "object_id", chosen)
+        relations = among(self.relations, "id", triples, "relation_id")
         return Graph(entities, relations, triples, f"{self.name}_subgraph")
 
     def expanded(self) -> DataFrame:
         """Triples and, for symmetric relations, the opposite ones."""
-        flipped = self.triples.join(self.relations.filter("symmetric").select(F.col("id").alias("relation_id")), "relation_id", "left_semi")
+        flipped = among(self.triples, "relation_id", self.relations.filter("symmetric"))
         back = flipped.select(triple_id(F.col("object_id"), F.col("relation_id"), F.col("subject_id")).alias("id"), F.col("object_id").alias("subject_id"), "relation_id", F.col("subject_id").alias("object_id"), "confidence", "properties")
-        new = back.join(self.triples.select("id"), "id", "left_anti")
-        return self.triples.unionByName(new)
+        return self.triples.unionByName(not_among(back, "id", self.triples))
 
     def degrees(self) -> DataFrame:
         ends = self.triples.select(F.explode(F.array(F.struct(F.col("subject_id").alias("id"), F.lit(1).alias("o")), F.struct(F.col("object_id").alias("id"), F.lit(0).alias("o")))).alias("e")).select("e.*")
         return ends.groupBy("id").agg(F.sum("o").alias("out_degree"), F.sum(1 - F.col("o")).alias("in_degree"), F.count("*").alias("degree"))
 
 
+def among(df: DataFrame, column: str, keys: DataFrame, key: str = "id") -> DataFrame:
+    """Rows whose column is one of the keys. An inner join with distinct keys: a semi join would be pushed into each branch of a
+    union, and several of them in a row multiply the plan."""
+    k = keys.select(F.col(key).alias("_key")).distinct()
+    return df.join(k, df[column] == k["_key"]).drop("_key")
+
+
+def not_among(df: DataFrame, column: str, keys: DataFrame, key: str = "id") -> DataFrame:
+    """Rows whose column is none of the keys; null is none."""
+    k = keys.select(F.col(key).alias("_key")).distinct()
+    return df.join(k, df[column] == k["_key"], "left").filter("_key is null").drop("_key")
+
+
 def _equal(df: DataFrame, **wanted) -> DataFrame:
     for column, value in wanted.items():
         if value is not None:
@@ -186,21 +197,18 @@ def _queried(df: DataFrame, name: str, type: str, properties: dict | None, limit
     return df.orderBy("id").limit(limit) if limit else df
 
 
-def _inserted(old: DataFrame, new: DataFrame) -> DataFrame:
-    fresh = new.filter("id is not null and id <> ''").dropDuplicates(["id"]).join(old.select("id"), "id", "left_anti")
-    return old.unionByName(fresh, allowMissingColumns=True)
+def _named(df: DataFrame) -> DataFrame:
+    """Rows with an id, one of each."""
+    return df.filter("id is not null and id <> ''").dropDuplicates(["id"])
 
 
-def _without(df: DataFrame, gone: DataFrame, column: str) -> DataFrame:
-    return df.join(gone, df[column] == gone["gone"], "left_anti")
+def _inserted(old: DataFrame, new: DataFrame) -> DataFrame:
+    return old.unionByName(not_among(_named(new), "id", old), allowMissingColumns=True)
 
 
 def valid_triples(triples: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
     """Triples whose subject, object and relation exist."""
-    e, r = entities.select(F.col("id").alias("end")), relations.select(F.col("id").alias("end"))
-    out = triples.join(r, triples["relation_id"] == r["end"], "left_semi")
-    out = out.join(e, out["subject_id"] == e["end"], "left_semi")
-    return out.join(e, out["object_id"] == e["end"], "left_semi")
+    return among(among(among(triples, "relation_id", relations), "subject_id", entities), "object_id", entities)
 
 
 def describe(triples: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:

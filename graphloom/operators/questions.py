@@ -69,9 +69,14 @@ def open_words(q: Column) -> Column:
     return F.filter(words, lambda w: (F.octet_length(w) > 1) & ~F.array_contains(stops, w))
 
 
+def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once, and not again in each expression that reads it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def parse(questions: DataFrame) -> DataFrame:
     """Questions (query_id, text, ...) with normalized, type, entities, relations, attributes, params and parse_confidence."""
-    df = questions.withColumn("normalized", normalised(F.col("text"))).withColumn("type", query_type(F.col("normalized")))
+    df = _held(_held(questions, "normalized", normalised(F.col("text"))), "type", query_type(F.col("normalized")))
     q, t = F.col("normalized"), F.col("type")
     none = F.array().cast("array<string>")
     entities = (
@@ -88,7 +93,8 @@ def parse(questions: DataFrame) -> DataFrame:
     attributes = F.when(t == "ATTRIBUTE", _strings(_part(q, "ATTRIBUTE", 2))).when(t == "LIST", _strings(_part(q, "LIST", 2))).when(t == "COMPARISON", _strings(_part(q, "COMPARISON", 3))).otherwise(none)
     empty = F.create_map().cast("map<string,string>")
     params = F.when(t == "LIST", F.create_map(F.lit("list_type"), _part(q, "LIST", 2))).when(t == "COMPARISON", F.create_map(F.lit("aspect"), _part(q, "COMPARISON", 3))).otherwise(empty)
-    df = df.withColumn("entities", entities).withColumn("relations", relations).withColumn("attributes", attributes).withColumn("params", params)
+    for name, value in (("entities", entities), ("relations", relations), ("attributes", attributes), ("params", params)):
+        df = _held(df, name, value)
     return df.withColumn("parse_confidence", parse_confidence(F.col("type"), F.col("entities"), F.col("relations"), F.col("attributes")))
 
 
@@ -100,10 +106,10 @@ def parse_confidence(kind: Column, entities: Column, relations: Column, attribut
 
 
 def link_entities(parsed: DataFrame, entities: DataFrame) -> DataFrame:
-    """query_id, nth, mention, entity_id, confidence: the entity that has a mention's name, the first by id; one of its own, as
+    """query_id, nth, mention, entity_id, confidence: the entity whose normalised name a mention is, the first by id; one of its own, as
     ``temp_`` and the name, with confidence 0 where there is none."""
     said = parsed.select("query_id", F.posexplode("entities").alias("nth", "mention"))
-    named = entities.groupBy(F.col("name").alias("mention")).agg(F.min("id").alias("entity_id"))
+    named = entities.groupBy(normalised(F.col("name")).alias("mention")).agg(F.min("id").alias("entity_id"))
     linked = said.join(named, "mention", "left")
     return linked.select("query_id", "nth", "mention", F.coalesce("entity_id", F.concat(F.lit("temp_"), F.col("mention"))).alias("entity_id"), F.when(F.col("entity_id").isNotNull(), 1.0).otherwise(0.0).alias("confidence"))
 
@@ -111,5 +117,5 @@ def link_entities(parsed: DataFrame, entities: DataFrame) -> DataFrame:
 def link_relations(parsed: DataFrame, relations: DataFrame) -> DataFrame:
     """query_id, nth, mention, relation_id; ``temp_`` and the name where no relation has it."""
     said = parsed.select("query_id", F.posexplode("relations").alias("nth", "mention"))
-    named = relations.groupBy(F.col("name").alias("mention")).agg(F.min("id").alias("relation_id"))
+    named = relations.groupBy(normalised(F.col("name")).alias("mention")).agg(F.min("id").alias("relation_id"))
     return said.join(named, "mention", "left").select("query_id", "nth", "mention", F.coalesce("relation_id", F.concat(F.lit("temp_"), F.col("mention"))).alias("relation_id"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import Graph, path_items, paths
+from .graph import Graph, describe, path_items, paths
+from .questions import normalised
 
 #: The columns of a result.
 ITEM = ("query_id", "triple_id", "subject", "relation", "object", "relation_type", "confidence", "relevance", "path_index", "path_length")
@@ -18,15 +19,15 @@ def _items(df: DataFrame, relevance: Column, extra: tuple = ()) -> DataFrame:
 
 def by_entity(graph: Graph, wanted: DataFrame) -> DataFrame:
     """Triples that start or end at an entity, for (query_id, entity_id, others); a triple from an entity to itself is found twice."""
-    named = graph.described()
-    out = wanted.join(named, wanted["entity_id"] == named["subject_id"])
-    back = wanted.join(named, wanted["entity_id"] == named["object_id"])
-    return out.unionByName(back)
+    t = graph.triples
+    out, back = wanted.join(t, wanted["entity_id"] == t["subject_id"]), wanted.join(t, wanted["entity_id"] == t["object_id"])
+    return describe(out.unionByName(back), graph.entities, graph.relations)
 
 
 def by_relation(graph: Graph, wanted: DataFrame) -> DataFrame:
     """Triples of a relation, for (query_id, relation_id, others)."""
-    return wanted.withColumnRenamed("relation_id", "wanted_relation").join(graph.described(), F.col("wanted_relation") == F.col("relation_id")).drop("wanted_relation")
+    found = wanted.withColumnRenamed("relation_id", "wanted_relation").join(graph.triples, F.col("wanted_relation") == F.col("relation_id"))
+    return describe(found.drop("wanted_relation"), graph.entities, graph.relations)
 
 
 def relevance(subject: Column, obj: Column, relation: Column, entities: Column, relations: Column, attributes: Column) -> Column:
@@ -56,7 +57,7 @@ def related_items(graph: Graph, q: DataFrame, links: DataFrame, depth: int) -> D
     b = links.filter("nth = 1").select("query_id", F.col("entity_id").alias("target"))
     pairs = q.select("query_id").join(a, "query_id").join(b, "query_id")
     items = path_items(paths(graph.triples, pairs, depth))
-    named = items.join(graph.described(), items["triple_id"] == F.col("id"))
+    named = describe(items.join(graph.triples, items["triple_id"] == F.col("id")), graph.entities, graph.relations)
     return named.select("query_id", "triple_id", "subject", "relation", "object", "relation_type", "confidence", "relevance", "path_index", "path_length")
 
 
@@ -64,9 +65,9 @@ def generic(graph: Graph, q: DataFrame, links: DataFrame) -> DataFrame:
     """Triples around every entity that a question names, and of every relation that it names, by relevance. Duplicates stay."""
     around = by_entity(graph, q.join(links.select("query_id", "entity_id"), "query_id"))
     said = q.select("*", F.explode("relations").alias("relation_name"))
-    kinds = graph.relations.select(F.col("id").alias("relation_id"), F.col("name").alias("relation_name"))
+    kinds = graph.relations.select(F.col("id").alias("relation_id"), normalised(F.col("name")).alias("relation_name"))
     of = by_relation(graph, said.join(kinds, "relation_name").drop("relation_name"))
-    score = relevance(F.col("subject"), F.col("object"), F.col("relation"), F.col("entities"), F.col("relations"), F.col("attributes"))
+    score = relevance(normalised(F.col("subject")), normalised(F.col("object")), normalised(F.col("relation")), F.col("entities"), F.col("relations"), F.col("attributes"))
     return _items(around, score).unionByName(_items(of, score))
 
 

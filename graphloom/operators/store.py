@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema
-from .graph import Graph
+from .graph import Graph, not_among
 
 TABLES = {"entities": schema.ENTITIES, "relations": schema.RELATIONS, "triples": schema.TRIPLES}
 
@@ -28,14 +28,14 @@ def parse_connection(text: str) -> dict[str, str]:
 def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """New rows win over old ones of the same key; of several new ones the one that sorts first."""
     fresh = new.dropDuplicates([key])
-    return old.join(fresh.select(key), key, "left_anti").unionByName(fresh, allowMissingColumns=True)
+    return not_among(old, key, fresh, key).unionByName(fresh, allowMissingColumns=True)
 
 
 def upsert_triples(old: DataFrame, new: DataFrame) -> DataFrame:
     """A triple that is there gets the new confidence only; its properties change if the new one has any."""
     n = new.dropDuplicates(["id"]).select("id", F.col("confidence").alias("_c"), F.col("properties").alias("_p"))
     kept = old.join(n, "id", "left").withColumn("confidence", F.coalesce("_c", "confidence")).withColumn("properties", F.when(F.coalesce(F.size("_p") > 0, F.lit(False)), F.col("_p")).otherwise(F.col("properties"))).drop("_c", "_p")
-    return kept.unionByName(new.dropDuplicates(["id"]).join(old.select("id"), "id", "left_anti").select(*old.columns))
+    return kept.unionByName(not_among(new.dropDuplicates(["id"]), "id", old).select(*old.columns))
 
 
 def cascade_delete(graph: Graph, ids: DataFrame) -> Graph:

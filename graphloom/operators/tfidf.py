@@ -57,8 +57,9 @@ class TfIdf:
         """doc_id, term, weight; terms outside the vocabulary are dropped, rows of norm 0 stay as they are."""
         w = self.counted(docs, text).join(vocabulary.select("term", "idf"), "term").withColumn("w", F.col("tf") * F.col("idf"))
         if self.norm in ("l1", "l2"):
-            size = F.sum(F.abs("w")) if self.norm == "l1" else F.sqrt(F.sum(F.col("w") * F.col("w")))
-            w = w.withColumn("size", size.over(Window.partitionBy("doc_id"))).withColumn("w", F.when(F.col("size") > 0, F.col("w") / F.col("size")).otherwise(F.col("w")))
+            row = Window.partitionBy("doc_id")
+            size = F.sum(F.abs("w")).over(row) if self.norm == "l1" else F.sqrt(F.sum(F.col("w") * F.col("w")).over(row))
+            w = w.withColumn("size", size).withColumn("w", F.when(F.col("size") > 0, F.col("w") / F.col("size")).otherwise(F.col("w")))
         return w.select("doc_id", "term", F.col("w").alias("weight"))
 
     def fit_transform(self, docs: DataFrame, text: str = "text") -> DataFrame:
