@@ -137,7 +137,7 @@ class Store:
 
     def versions(self, name: str) -> list[dict]:
         root = f"{self.path}/versions/{name}"
-        return [json.loads(self._get(f"{root}/{v}/version.json")) for v in self._list(root)]
+        return [json.loads(self._get(f"{root}/{v}/version.json")) for v in self._list(root) if self._exists(f"{root}/{v}/version.json")]
 
     def version(self, name: str, id_: str) -> dict:
         return next(v for v in self.versions(name) if v["id"] == id_)
@@ -181,7 +181,8 @@ class Store:
 
     def backups(self) -> list[dict]:
         root = f"{self.path}/backups"
-        found = [json.loads(self._get(f"{root}/{b}/backup.json")) for b in self._list(root)]
+        # a backup that is being written, or broke off, has no head yet
+        found = [json.loads(self._get(f"{root}/{b}/backup.json")) for b in self._list(root) if self._exists(f"{root}/{b}/backup.json")]
         return sorted(found, key=lambda b: b["number"])
 
     def _backed(self, id_: str, graph: str) -> Graph:
