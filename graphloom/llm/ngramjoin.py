@@ -4,7 +4,7 @@ Jaccard distance is a metric, so regions around pivots can be joined one by one.
 other and from any text that could be a pivot; there the triangle inequality says nothing. So the first pivots are not texts but
 single shingles. Each set is in the region of the rarest of its shingles, and its window of further regions are those of its
 next rarest ones, as many as a set within the threshold can lack. Two linked sets share a region (the prefix bound on overlaps).
-Larger regions, which hold groups of copies, are then split recursively with sets as pivots: a member is in the Voronoi region of
+Regions that components do not close are then split recursively with sets as pivots: a member is in the Voronoi region of
 its nearest pivot, and boundary members are replicated to each pivot at most twice the threshold further away. Members within the
 threshold of a pivot are linked to it and need each other no more; of them only those stay that the triangle inequality lets a
 member outside reach. Small regions are compared pair by pair. Every distance is computed from whole sets.
@@ -24,17 +24,18 @@ from .tables import cut, drop_cut, table
 #: Two sets are linked when 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: A region of so many members or fewer is compared pair by pair.
-LEAF = 16
+LEAF = 24
 #: Pivots of a region in the first, second, ... round of splitting; the last number holds from there on.
-PIVOTS = (1, 4, 16, 32)
+PIVOTS = (4, 16, 48)
 #: A shingle in so many sets or more is common: rarer ones come before all common ones.
 COMMON = 64
 #: Sets whose shingles are sent to the index together, and shingles at which such a group ends early.
 GROUP, GROUP_SHINGLES = 4096, 1 << 22
 
-_CLASS = np.uint64(7)
+#: Of a shingle's hash the index keeps 48 bits; the low ones hold its class in replies.
+_CLASS, _KEPT = np.uint64(7), ~np.uint64(0xFFFF)
 _META = "doc_id long, n_shingles long, sid long"
-_POSTING = np.dtype([("e", "<u8"), ("at", "<u2")])
+_POSTING = np.dtype([("high", "<u4"), ("low", "<u2"), ("at", "<u2")])
 _OWNER = np.dtype([("sid", "<i8"), ("n", "<i4")])
 _REPLY = np.dtype([("sid", "<i8"), ("n", "<i4"), ("count", "<i4")])
 
@@ -88,7 +89,7 @@ def _post(parts: int):
         if not sets:
             return
         owners = np.array([(k, len(s)) for k, s in sets.items()], dtype=_OWNER)
-        e = np.concatenate(list(sets.values())) & ~_CLASS
+        e = np.concatenate(list(sets.values())) & _KEPT
         at = np.repeat(np.arange(len(owners), dtype=np.uint16), owners["n"])
         order = np.argsort(e, kind="stable")
         e, at = e[order], at[order]
@@ -111,7 +112,7 @@ def _post(parts: int):
             if lo < hi:
                 held, place = np.unique(at[lo:hi], return_inverse=True)
                 posting = np.empty(hi - lo, dtype=_POSTING)
-                posting["e"], posting["at"] = e[lo:hi], place
+                posting["high"], posting["low"], posting["at"] = e[lo:hi] >> np.uint64(32), (e[lo:hi] >> np.uint64(16)).astype(np.uint16), place
                 rows.append((p, 0, np.int32(len(held)).tobytes() + owners[held].tobytes() + posting.tobytes()))
         yield _rows(rows)
 
@@ -147,7 +148,7 @@ def _index(parts: int):
                     n = int(np.frombuffer(blob, np.int32, 1)[0])
                     owners = np.frombuffer(blob, _OWNER, n, 4)
                     posting = np.frombuffer(blob, _POSTING, offset=4 + n * _OWNER.itemsize)
-                    shingles.append(posting["e"].copy())
+                    shingles.append(posting["high"].astype(np.uint64) << np.uint64(32) | posting["low"].astype(np.uint64) << np.uint64(16))
                     sids.append(owners["sid"][posting["at"]])
                     sizes.append(owners["n"][posting["at"]])
         if not shingles:
@@ -250,51 +251,65 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return found.select("a", "b", (100 * F.col("both") >= PERCENT * union).alias("linked"), (1 - F.col("both") / union).alias("d"))
 
 
-def _distinct_regions(regions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Regions of at most and of more than ``LEAF`` members; of regions with the same members one stays."""
-    info = regions.groupBy("region").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.sum(F.xxhash64(F.lit(1), "sid").cast("decimal(38,0)")).alias("s"))
-    one = info.filter("size > 1").groupBy("size", "x", "s").agg(F.min("region").alias("region")).select("region", "size")
-    kept = cut(regions.join(one, "region"), "regions")
-    return kept.filter(F.col("size") <= LEAF).drop("size"), kept.filter(F.col("size") > LEAF)
+def _open_regions(regions: DataFrame, roots: DataFrame) -> DataFrame:
+    """region, sid, n, root, size of regions whose members are not all joined yet; of regions with the same members one stays."""
+    known = regions.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    info = known.groupBy("region").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.sum(F.xxhash64(F.lit(1), "sid").cast("decimal(38,0)")).alias("s"))
+    one = info.filter("low <> high").groupBy("size", "x", "s").agg(F.min("region").alias("region")).select("region", "size")
+    return cut(known.join(one, "region"), "regions")
+
+
+def _first(regions: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of each set with one pivot: the first of those that its regions have, all in one order. A group's members mostly
+    share it, so this joins most of a group with one distance for each member."""
+    order = F.struct(F.xxhash64(F.lit(7), "sid").alias("o"), "sid")
+    pivots = regions.groupBy("region").agg(F.min(order).alias("p"), F.count("*").alias("size")).filter("size > 1").select("region", "p")
+    best = regions.join(pivots, "region").groupBy("sid").agg(F.min("p").alias("p"))
+    return overlaps(best.select(F.col("p.sid").alias("a"), F.col("sid").alias("b")).filter("a <> b"), sets).filter("linked").select("a", "b")
 
 
 def links(sets: DataFrame) -> DataFrame:
-    """Edges (a, b) between set ids that join every two linked sets, directly or by way of pivots both are linked to."""
-    regions = sets.select(F.explode("regions").alias("region"), "sid", "n")
-    edges, level = [], 0
-    tau = 1 - PERCENT / 100
+    """Edges (a, b) between set ids that join every two linked sets, directly or by way of others both are linked to.
+
+    Only components are asked for, so what is joined already needs no more comparing: after each round regions within one
+    component are closed, and only members of different components are paired.
+    """
+    regions = cut(sets.select(F.explode("regions").alias("region"), "sid", "n"), "regions")
+    edges, level, tau = cut(_first(regions, sets), "links"), 0, 1 - PERCENT / 100
     while True:
-        small, large = _distinct_regions(regions)
+        roots = components(edges)
+        members = _open_regions(regions, roots)
+        drop_cut(regions)
+        if members.isEmpty():
+            return edges
+        small, large = members.filter(F.col("size") <= LEAF), members.filter(F.col("size") > LEAF)
+        of = lambda k: small.select("region", F.col("sid").alias(k), F.col("n").alias(f"n{k}"), F.col("root").alias(f"r{k}"))
         # sizes of linked sets are within the threshold of each other
-        x, y = small.select("region", F.col("sid").alias("a"), F.col("n").alias("na")), small.select("region", F.col("sid").alias("b"), F.col("n").alias("nb"))
-        near = x.join(y, "region").filter(f"a < b and 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b").distinct()
-        edges.append(cut(overlaps(near, sets).filter("linked").select("a", "b"), "links"))
+        near = of("a").join(of("b"), "region").filter(f"a < b and ra <> rb and 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b").distinct()
+        found = overlaps(near, sets).filter("linked").select("a", "b")
         if large.isEmpty():
-            break
+            return edges.union(cut(found, "links"))
         k = PIVOTS[min(level, len(PIVOTS) - 1)]
-        order = F.xxhash64(F.lit(7), "sid")
-        pivots = large.groupBy("region", F.pmod(order, F.lit(k)).alias("j")).agg(F.min(F.struct(order.alias("o"), "sid")).alias("p")).select("region", F.col("p.sid").alias("pivot"))
+        # pivots come from the smaller components of a region first, whose members have most left to be compared with
+        share = large.groupBy("region", "root").agg(F.count("*").alias("own"))
+        order = F.struct(F.col("own"), F.xxhash64(F.lit(7), "sid").alias("o"), F.col("sid"))
+        pivots = large.join(share, ["region", "root"]).groupBy("region", F.pmod(F.xxhash64(F.lit(11 + level), "root"), F.lit(k)).alias("j")).agg(F.min(order).alias("p"), F.min_by("root", order).alias("pivot_root")).select("region", F.col("p.sid").alias("pivot"), "pivot_root")
         pivots = cut(pivots, "pivots")
         # a pivot is compared with all members of its region, so it is done
         rest = large.join(pivots.select("region", F.col("pivot").alias("sid")), ["region", "sid"], "left_anti")
         against = rest.join(pivots, "region").select("region", "sid", "n", "pivot")
         pairs = against.select(F.col("pivot").alias("a"), F.col("sid").alias("b")).union(_among(pivots)).distinct()
         distances = cut(overlaps(pairs, sets), "distances")
-        edges.append(distances.filter("linked").select("a", "b"))
         at = against.join(distances.select(F.col("a").alias("pivot"), F.col("b").alias("sid"), "linked", "d"), ["pivot", "sid"])
         nearest = at.groupBy("region", "sid").agg(F.min("d").alias("least"))
         homes = at.join(nearest, ["region", "sid"]).filter(F.col("d") <= F.col("least") + 2 * tau + 1e-9)
         outside = homes.filter("not linked").groupBy("region", "pivot").agg(F.min("d").alias("reach"))
         homes = homes.join(outside, ["region", "pivot"]).filter(~F.col("linked") | (F.col("d") >= F.col("reach") - tau - 1e-9))
-        old = regions
         regions = cut(homes.select(F.xxhash64("region", "pivot").alias("region"), "sid", "n"), "regions")
-        level += 1
-        if level > 1:
-            drop_cut(old)
-    out = edges[0]
-    for e in edges[1:]:
-        out = out.union(e)
-    return out
+        new = cut(edges.union(found).union(distances.filter("linked").select("a", "b")), "links")
+        drop_cut(edges)
+        drop_cut(distances)
+        edges, level = new, level + 1
 
 
 def _among(pivots: DataFrame) -> DataFrame:
