@@ -1,8 +1,8 @@
-"""Operator 6: repeated multi-line chunks with content-defined boundaries. SQL functions only."""
+"""Operator 6: repeated multi-line chunks with content-defined boundaries, and whole repeated runs of lines. SQL functions only."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tables import cut, table
@@ -21,13 +21,21 @@ def _held(df: DataFrame, name: str, value) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with dk (the id; null: the smallest long) and tk (hash of the text)."""
+    return docs.withColumn("dk", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("tk", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
+def _split(docs: DataFrame) -> DataFrame:
+    return _held(docs, "lines", F.split(F.coalesce("text", F.lit("")), "\n", -1))
+
+
 def _chunked(docs: DataFrame) -> DataFrame:
-    """dk (the id; null: the smallest long), tk (hash of the text), lines, and spans: start * 2^31 + end of each chunk.
+    """dk, tk, lines, and spans: start * 2^31 + end of each chunk.
 
     The boundary test reads two lines and nothing else, so the same run of lines is cut at the same places wherever it stands.
     """
-    rows = docs.withColumn("dk", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("tk", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = _held(rows, "lines", F.split(F.coalesce("text", F.lit("")), "\n", -1))
+    rows = _split(_keyed(docs))
     rows = _held(rows, "hashes", F.transform("lines", F.md5))
     before = F.concat(F.array(F.lit("")), F.slice("hashes", 1, F.size("hashes") - 1))
     rows = _held(rows, "rolling", F.zip_with(before, "hashes", lambda a, b: F.substring(F.md5(F.concat(a, b)), 1, 1))).drop("hashes")
@@ -89,3 +97,64 @@ select doc_id, case when d.text is null then null when x.r is null then d.text e
   coalesce(removed_lines, 0)::bigint as removed_lines, coalesce(removed_chunks, 0)::bigint as removed_chunks
 from d left join k on k.r = d.r left join x on x.r = d.r
 """
+
+
+def _pairs(docs: DataFrame) -> DataFrame:
+    """dk, tk, at and key of each line that has a next one: its place, and 128 bits of a SHA-256 over the two lines' SHA-256."""
+    rows = _held(_split(_keyed(docs)).drop("text"), "hashes", F.transform("lines", lambda x: F.sha2(x, 256))).drop("lines")
+    both = F.zip_with(F.slice("hashes", 1, F.size("hashes") - 1), F.slice("hashes", 2, F.size("hashes")), lambda a, b: F.substring(F.unhex(F.sha2(F.concat(a, b), 256)), 1, 16))
+    return rows.select("dk", "tk", F.posexplode(both).alias("at", "key"))
+
+
+def dedup_runs(docs: DataFrame) -> DataFrame:
+    """All columns of ``docs`` (doc_id, text, others) with text cleaned, and n_lines, removed_lines, removed_runs.
+
+    Every line goes that lies in a run of two lines or more, not all blank, that an earlier place holds too: a document with a
+    smaller id (a null id is smaller than all), or further up in the same one, not overlapping. Such runs are made of
+    neighbouring lines that an earlier place holds as neighbours, so comparing those finds all of them whole. The first place of
+    every line stays. Rows that share id and text are cleaned alike; rows that share an id only rank as one document. Null texts
+    stay null and have no lines. Shuffles a digest for each two neighbouring lines, and each text once. Columns named like the
+    result's own are replaced.
+    """
+    made = ("doc_id", "text", "dk", "tk", "lines", "at", "spans", "n_lines", "removed_lines", "removed_runs")
+    others = [c for c in docs.columns if c not in made]
+    pairs = _pairs(docs.select("doc_id", "text"))
+    repeated = pairs.groupBy("key").agg(F.count("*").alias("n"), F.min("dk").alias("first")).filter("n > 1").select("key", "first")
+    own = F.when(F.col("dk") == F.col("first"), F.col("key"))
+    again = pairs.join(repeated, "key").select("dk", "tk", "at", own.alias("own")).repartition("dk", "tk")
+    least = F.min("at").over(Window.partitionBy("dk", "tk", "own"))
+    found = again.withColumn("least", least).filter(f"own is null or at >= least + {LEAST_LINES}")
+    gone = found.groupBy("dk", "tk").agg(F.sort_array(F.collect_set("at")).alias("at"))
+    rows = _split(_keyed(docs.select("doc_id", "text", *others)).join(gone, ["dk", "tk"], "left"))
+    starts = F.filter("at", lambda x, i: (i == 0) | (F.get("at", i - 1) < x - 1))
+    ends = F.transform(F.filter("at", lambda x, i: (i == F.size("at") - 1) | (F.get("at", i + 1) > x + 1)), lambda x: x + 2)
+    part = lambda a, b: F.slice("lines", a + 1, b - a)
+    solid = F.filter(F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: F.btrim(F.array_join(part(x["a"], x["b"]), "\n"), F.lit(_SPACES)) != "")
+    rows = _held(rows, "spans", solid)
+    between = F.zip_with(F.concat(F.array(F.lit(0)), F.col("spans.b")), F.concat(F.col("spans.a"), F.array(F.size("lines"))), part)
+    kept = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(between), "\n"))
+    lost = F.coalesce(F.aggregate("spans", F.lit(0), lambda s, x: s + x["b"] - x["a"]), F.lit(0)).cast("long")
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long")
+    runs = F.when(F.col("spans").isNull(), 0).otherwise(F.size("spans")).cast("long")
+    return rows.select("doc_id", *others, kept.alias("text"), n_lines.alias("n_lines"), lost.alias("removed_lines"), runs.alias("removed_runs"))
+
+
+def op6_repeated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP6_RUNS_SQL = f"""
+with d as (select row_number() over () as r, coalesce(doc_id, -9223372036854775808) as dk, doc_id, text, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+l as (select r, dk, generate_subscripts(lines, 1) as i, unnest(lines) as line from d),
+n as (select *, line || chr(10) || lead(line) over (partition by r order by i) as pair from l),
+f as (select pair, min(dk) as first_dk from n where pair is not null group by pair),
+w as (select *, min(i) over (partition by r, pair) as least from n where pair is not null),
+g as (select r, i, i - row_number() over (partition by r order by i) as run from w join f using (pair) where dk > first_dk or i >= least + {LEAST_LINES}),
+s as (select r, min(i) as a, max(i) + 1 as b from g group by r, run),
+t as (select s.r, a, b from s join l on s.r = l.r and i between a and b group by s.r, a, b having trim(string_agg(line, ''), ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)) <> ''),
+k as (select l.r, string_agg(line, chr(10) order by i) as text from l left join t on l.r = t.r and i between a and b where t.r is null group by l.r),
+x as (select r, sum(b - a + 1) as removed_lines, count(*) as removed_runs from t group by r)
+select doc_id, case when d.text is null then null when x.r is null then d.text else coalesce(k.text, '') end as text, case when d.text is null then 0 else len(lines) end::bigint as n_lines,
+  coalesce(removed_lines, 0)::bigint as removed_lines, coalesce(removed_runs, 0)::bigint as removed_runs
+from d left join k on k.r = d.r left join x on x.r = d.r
+"""

@@ -15,6 +15,7 @@ def queries() -> dict:
         "op4_chat_format": chat.op4_chat_format,
         "op5_embedding_dedup": pqdedup.op5_embedding_dedup,
         "op6_line_dedup": linededup.op6_line_dedup,
+        "op6_repeated_runs": linededup.op6_repeated_runs,
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op8_quality": quality.op8_quality,
         "op9_mix_sources": mixing.op9_mix_sources,
@@ -29,6 +30,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_chat_format": chat.OP4_SQL,
         "op5_embedding_dedup": pqdedup.OP5_SQL,
         "op6_line_dedup": linededup.OP6_SQL,
+        "op6_repeated_runs": linededup.OP6_RUNS_SQL,
         "op7_decontaminate": decontaminate.OP7_SQL,
         "op10_url_filter": urlfilter.OP10_SQL,
     }
