@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import decontaminate, mixing, ngramjoin, tokenids, toxicity
-from graphloom.llm.tables import scratch, table
+from graphloom.llm.tables import cut, scratch, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -22,19 +22,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies, that with the smallest id; rows without words are in no group and stay.
-
-    Rows that repeat the smallest id are one row, the one with the smallest text hash, if they have words.
-    """
-    found = ngramjoin.near_duplicates(docs)
-    kept = found.filter("n_shingles = 0 or doc_id <=> component_id").select("doc_id").distinct()
-    some = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*COLUMNS)
-    keys = some.select("doc_id", F.xxhash64("text", "lang", "source", "n_chars").alias("k"))
-    twice = keys.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("k").alias("k")).filter("n > 1 and doc_id is not null")
-    again = some.join(twice.select("doc_id"), "doc_id", "left_semi")
-    once = some.join(twice.select("doc_id"), "doc_id", "left_anti")
-    one = again.withColumn("k", F.xxhash64("text", "lang", "source", "n_chars")).join(twice.select("doc_id", "k"), ["doc_id", "k"]).dropDuplicates(["doc_id"])
-    return once.unionByName(one.select(*COLUMNS))
+    """One row of each group of near copies, that with the smallest id (a null id is larger than all) and then the smallest hash
+    of its columns; rows without words are in no group and all stay. Ids may be null or repeated: rows are told apart by id and hash."""
+    rows = docs.select(*COLUMNS).withColumn("k", F.xxhash64("text", "lang", "source", "n_chars"))
+    groups = ngramjoin.near_groups(rows, keep=("k",)).filter("root is not null").groupBy("root", "doc_id", "k").agg(F.count("*").alias("n"))
+    least = groups.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "k", "n")).alias("m")).select("m.doc_id", "m.k", "m.n")
+    kept = cut(least, "kept")
+    worded = F.coalesce(F.col("text").rlike(r"[^ \t-\r]"), F.lit(False))
+    chosen = lambda some: rows.filter(worded).join(some, rows["doc_id"].eqNullSafe(some["doc_id"]) & (rows["k"] == some["k"]), "left_semi")
+    # the same row several times over is one row of its group
+    once, again = chosen(kept.filter("n = 1")), chosen(kept.filter("n > 1")).dropDuplicates(["doc_id", "k"])
+    return rows.filter(~worded).unionByName(once).unionByName(again).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,12 +46,13 @@ def _meta(batches):
         for _, sets in steps(batch, 1):
             sizes.extend(map(len, sets))
             ids.extend(set_id(s) if len(s) else None for s in sets)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64())], names=["doc_id", "n_shingles", "sid"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), *batch.columns[2:]], names=["doc_id", "n_shingles", "sid", *batch.schema.names[2:]])
 
 
-def set_table(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and the set's id (null for an empty set) of each document; no shuffle."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_meta, _META)
+def set_table(docs: DataFrame, keep: tuple = ()) -> DataFrame:
+    """doc_id, n_shingles, the set's id (null for an empty set) and the columns ``keep`` of each document; no shuffle."""
+    rows = docs.select(F.col("doc_id").cast("long"), "text", *keep)
+    return rows.mapInArrow(_meta, _META + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:]))
 
 
 def _classes(df: np.ndarray) -> np.ndarray:
@@ -318,6 +319,15 @@ def _among(pivots: DataFrame) -> DataFrame:
     return x.join(y, "region").filter("a < b").select("a", "b")
 
 
+def near_groups(docs: DataFrame, keep: tuple = ()) -> DataFrame:
+    """doc_id, n_shingles, root and the columns ``keep`` of each row of ``docs`` (doc_id, text): rows that links tie together, and
+    no others, have the same root. It is null without words."""
+    meta = cut(set_table(docs, keep), "sets")
+    sets = cut(candidate_sets(docs), "candidates")
+    roots = components(links(sets)).select(F.col("node").alias("sid"), "root")
+    return meta.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")).drop("sid")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id reachable by links, of each row of ``docs`` (doc_id, text).
 
@@ -325,10 +335,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     are linked; repeated ids and repeated rows stay rows of their own. A null id is never the smallest, unless alone. A very long
     text is one set. Other columns are ignored; an empty table gives an empty one.
     """
-    meta = cut(set_table(docs), "sets")
-    sets = cut(candidate_sets(docs), "candidates")
-    roots = components(links(sets)).select(F.col("node").alias("sid"), "root")
-    grouped = meta.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    grouped = near_groups(docs)
     least = grouped.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     found = grouped.join(least, "root", "left")
     return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
