@@ -26,6 +26,40 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^(?s:.*?)://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def same_url(url: Column) -> Column:
+    """``url`` with A-Z of scheme and host lower-cased: equal for urls that differ in nothing else."""
+    start = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*", 0)
+    return F.concat(F.translate(start, _UPPER, _LOWER), F.substring(url, F.length(start) + 1, F.length(url)))
+
+
+def _without_dots(path: Column) -> Column:
+    """An absolute path without its segments ``.`` and ``..``; each ``..`` takes the one before with it."""
+    parts = F.split(F.substring(path, F.lit(2), F.length(path)), "/", -1)
+    step = lambda s, x: F.when(x == ".", s).when(x == "..", F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0)))).otherwise(F.concat(s, F.array(x)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    ends = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.concat(F.lit("/"), F.array_join(ends, "/"))
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """The absolute url that a link to ``target`` has in the page at ``base`` (RFC 3986); null for schemes without a host
+    (``mailto:``) and for relative targets where ``base`` is not absolute."""
+    scheme, site = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*:)//", 1), F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*", 0)
+    rest = F.substring(base, F.length(site) + 1, F.length(base))
+    path, asked = F.regexp_extract(rest, r"^[^?#]*", 0), F.regexp_extract(rest, r"^[^#]*", 0)
+    own, tail = F.regexp_extract(target, r"^[^?#]*", 0), F.regexp_extract(target, r"[?#](?s:.*)$", 0)
+    folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, r"^(?s:.*)/", 0))
+    return (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), target)
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:") | (site == ""), F.lit(None))
+        .when(target.startswith("//"), F.concat(scheme, target))
+        .when(target.startswith("/"), F.concat(site, _without_dots(own), tail))
+        .when(target.startswith("?"), F.concat(site, path, target))
+        .when(target.startswith("#"), F.concat(site, asked, target))
+        .otherwise(F.concat(site, _without_dots(F.concat(folder, own)), tail))
+    )
+
+
 def with_rules(df: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     """``df`` (with url) and host, path, rule (host and path of the longest rule that fits; null without one), own (its verdict).
 
@@ -48,15 +82,17 @@ def with_rules(df: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     return df.join(won, ["host", "path"], "left").withColumn("rule", F.concat("w.rule_host", "w.rule_path")).withColumn("own", F.col("w.v")).drop("w")
 
 
-def alias_edges(pages: DataFrame) -> DataFrame:
-    """(a, b) urls tied by a canonical link or a refresh redirect of the page at a. Targets that are not absolute are left out,
-    as are null urls and pages. Of several links in a page all count; attribute order and case do not matter."""
+def alias_edges(pages: DataFrame, relative: bool = False) -> DataFrame:
+    """(a, b) urls tied by a canonical link or a refresh redirect of the page at a. Targets that are not absolute are resolved
+    against a if ``relative``, else left out; null urls and pages are left out. Of several links in a page all count; attribute order and case do not matter."""
     html = F.col("html")
     canonical = F.transform(F.regexp_extract_all(html, F.lit(r"(?i)<link\b([^>]*\brel\s*=\s*[\"']?canonical\b[^>]*)>"), F.lit(1)), lambda t: F.regexp_extract(t, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
     refresh = F.transform(F.regexp_extract_all(html, F.lit(r"(?i)<meta\b([^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*)>"), F.lit(1)), lambda t: F.regexp_extract(t, r"(?i)\burl\s*=\s*[\"']?([^\"'\s>;]+)", 1))
     # most pages hold neither word, and are done after a plain search
     found = pages.filter(F.col("url").isNotNull() & (F.lower(html).contains("canonical") | F.lower(html).contains("refresh")))
     targets = found.select(F.col("url").alias("a"), F.explode(F.concat(canonical, refresh)).alias("b"))
+    if relative:
+        return targets.select("a", resolved(F.col("b"), F.col("a")).alias("b")).filter("b is not null")
     return targets.filter(F.col("b").contains("://"))
 
 
@@ -65,24 +101,24 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], edges: Data
 
     A url that a rule fits gets that rule's verdict. Any other gets it from its aliases, the urls that ``edges`` (a, b: redirects
     and canonical links, in either direction, of any length) tie to it: allow if a rule allows one of them, else block if a rule
-    blocks one, else allow. Aliases need not be pages themselves. Null urls and urls without ``://`` have an empty host and path,
+    blocks one, else allow. Schemes and hosts of any case are the same. Aliases need not be pages themselves. Null urls and urls without ``://`` have an empty host and path,
     no rule unless one fits that, and are allowed. Repeated rows are judged alike; an empty table gives an empty one.
     """
     judged = with_rules(pages, rules)
     verdict = F.coalesce("own", F.lit("allow"))
-    edges = None if edges is None else cut(edges.select("a", "b").distinct(), "aliases")
+    edges = None if edges is None else cut(edges.select(same_url(F.col("a")).alias("a"), same_url(F.col("b")).alias("b")).distinct(), "aliases")
     if edges is None or edges.isEmpty():
         return judged.withColumn("verdict", verdict).drop("own")
     tied = components(edges)
     ruled = with_rules(tied.withColumnRenamed("node", "url"), rules)
     carried = ruled.groupBy("root").agg(F.max((F.col("own") == "allow").cast("int")).alias("allowed"), F.max((F.col("own") == "block").cast("int")).alias("blocked"))
-    said = tied.join(carried, "root").filter("coalesce(allowed, 0) = 0 and blocked = 1").select(F.col("node").alias("url"), F.lit("block").alias("carried"))
-    return judged.join(said, "url", "left").withColumn("verdict", F.coalesce("own", "carried", F.lit("allow"))).drop("own", "carried")
+    said = tied.join(carried, "root").filter("coalesce(allowed, 0) = 0 and blocked = 1").select(F.col("node").alias("_same"), F.lit("block").alias("carried"))
+    return judged.withColumn("_same", same_url(F.col("url"))).join(said, "_same", "left").drop("_same").withColumn("verdict", F.coalesce("own", "carried", F.lit("allow"))).drop("own", "carried")
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return filter_urls(pages.select("page_id", "url"), RULES, alias_edges(pages.select("url", "html"))).select("page_id", "host", "path", "rule", "verdict")
+    return filter_urls(pages.select("page_id", "url"), RULES, alias_edges(pages.select("url", "html"), relative=True)).select("page_id", "host", "path", "rule", "verdict")
 
 
 _FITS = "when {c}(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then '{x}'"
