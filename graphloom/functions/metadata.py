@@ -93,9 +93,8 @@ def html_metadata(c: Column) -> Column:
 
 
 def pdf_metadata(c: Column) -> Column:
-    """Fields of a PDF's first 4096 characters."""
-    head = F.substring(c, 1, 4096)
-    entries = F.array(*[F.struct(F.lit(k).alias("k"), found(head, p).alias("v")) for k, p in PDF_FIELDS.items()])
+    """Fields found anywhere in a PDF's content."""
+    entries = F.array(*[F.struct(F.lit(k).alias("k"), found(c, p).alias("v")) for k, p in PDF_FIELDS.items()])
     return F.map_from_entries(F.filter(entries, lambda p: p["v"].isNotNull()))
 
 
