@@ -113,7 +113,7 @@ def _scanner(chunks, spans: bool):
                 pa.array([len(w) for w in split], pa.int64()),
                 pa.array([[list(r) for r in x] for x in ranges], _HITS.field("ranges").type),
                 pa.array([[list(r) for r in _spans(t, x)] if spans and x else [] for t, x in zip(texts, ranges)], _HITS.field("spans").type),
-                pa.array([sorted(map(str, x)) for x in items], _HITS.field("items").type),
+                pa.array([sorted(map(str, x - {None})) for x in items], _HITS.field("items").type),
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *out], schema=pa.schema([*list(batch.schema)[1:], *_HITS]))
 
@@ -122,9 +122,9 @@ def _scanner(chunks, spans: bool):
 
 def _chunks(benchmark: DataFrame) -> list[list[tuple]]:
     """The benchmark's (item_id, text) in lists of ``AUTOMATON_BYTES`` or one item. The driver holds the benchmark, a set of
-    test items made by hand; the corpus itself never comes here. Items without an id or text are not looked for."""
+    test items made by hand; the corpus itself never comes here. Items without a text are not looked for."""
     out, held = [[]], 0
-    for r in benchmark.select("item_id", "text").filter("item_id is not null and text is not null").distinct().orderBy("item_id", "text").toLocalIterator():
+    for r in benchmark.select("item_id", "text").filter("text is not null").distinct().orderBy("item_id", "text").toLocalIterator():
         if held and held + len(r.text) > AUTOMATON_BYTES:
             out.append([])
             held = 0
@@ -138,7 +138,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: tuple = ("doc_id"
     the original text (left empty unless ``spans``); items, the ids (as strings, sorted) whose windows occur.
 
     A window is 13 consecutive words of an item; an item of fewer words is one window; one without words is none. Null and
-    empty texts have no words. Repeated rows are judged each for itself, repeated items count once by id. A very long text is
+    empty texts have no words. Repeated rows are judged each for itself, repeated items count once by id. Items with a null id
+    are looked for too, but are not in items. A very long text is
     one row, scanned once. No shuffle.
     """
     rows = docs.select(text, *keep)

@@ -1,4 +1,4 @@
-"""The pipeline's stages, and all of them in a row, against plain versions."""
+"""Stages of the pipeline that choose rows by themselves."""
 
 from collections import Counter
 
@@ -21,3 +21,13 @@ def test_near_copies_with_repeated_ids(spark, rng):
     assert Counter(x for x in got if x not in word) == Counter(x for x in rows if not (x[1] or "").strip())
     assert Counter(x for x in word if x[0] is not None) == Counter([(1, a, "s"), (1, b, "s"), (5, c, "s"), (6, d, "s"), (7, e, "s")])
     assert len([x for x in word if x[0] is None]) == 1 and {x[1] for x in word if x[0] is None} <= {f, f + " more"}
+
+
+def test_contaminated_by_items_without_id(spark, tmp_path):
+    bench = [(1, "Alpha beta gamma"), (None, "delta epsilon"), (None, None), (2, "delta epsilon zeta")]
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(1, "x alpha beta gamma", "s"), (2, "x delta epsilon y", "s"), (3, "delta x epsilon", "s"), (4, None, "s"), (5, "delta epsilon " + "w " * 60, "s"), (6, "delta epsilon zeta", "s")]
+    got = p.drop_contaminated(spark, made(spark, rows), str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == {3, 4, 5}
+    hits = p.decontaminate.judged(p.decontaminate.decontaminate(made(spark, rows), p.table(spark, str(tmp_path), "benchmark"))).collect()
+    assert {r.doc_id: (r.n_hit, r["items"]) for r in hits} == {1: (3, ["1"]), 2: (2, []), 3: (0, []), 4: (0, []), 5: (2, []), 6: (3, ["2"])}
