@@ -69,5 +69,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: The classifier, the join's pivots and the tokenizer are beyond SQL; tests hold each stage against a brute-force version.
+#: The classifier, the join's pivots and the tokenizer are beyond SQL; tests/llm/test_pipeline.py holds drop_near_copies and
+#: drop_contaminated against small cases. The other stages and ``run`` have no test of their own, only their operators do.
 ORACLE_SQL = None
