@@ -3,11 +3,14 @@
 Jaccard distance is a metric, so regions around pivots can be joined one by one. Unrelated texts all lie at distance 1 from each
 other and from any text that could be a pivot; there the triangle inequality says nothing. So the first pivots are not texts but
 single shingles. Each set is in the region of the rarest of its shingles, and its window of further regions are those of its
-next rarest ones, as many as a set within the threshold can lack. Two linked sets share a region (the prefix bound on overlaps).
-Regions that components do not close are then split recursively with sets as pivots: a member is in the Voronoi region of
-its nearest pivot, and boundary members are replicated to each pivot at most twice the threshold further away. Members within the
-threshold of a pivot are linked to it and need each other no more; of them only those stay that the triangle inequality lets a
-member outside reach. Small regions are compared pair by pair. Every distance is computed from whole sets.
+next rarest ones, as many as a set within the threshold can lack. Two linked sets share a region (the prefix bound on overlaps),
+and in the first region they share both have enough shingles from there on, which bounds the size of a partner (``cap``).
+Each set is first compared with one pivot, the set nearest to the core of its regions. What that joins needs no more comparing:
+a region keeps only members that a member of another component can still be linked with. Regions that stay large are split
+recursively with sets as pivots: a member is in the Voronoi region of its nearest pivot, and boundary members are replicated to
+each pivot at most twice the threshold further away. Members within the threshold of a pivot are linked to it; of them only
+those stay that the triangle inequality lets a member outside reach. Small regions are compared pair by pair. Every distance is
+computed from whole sets.
 """
 
 from __future__ import annotations
@@ -30,14 +33,15 @@ PIVOTS = (4, 16, 48)
 #: A shingle in so many sets or more is common: rarer ones come before all common ones.
 COMMON = 64
 #: Sets whose shingles are sent to the index together, and shingles at which such a group ends early.
-GROUP, GROUP_SHINGLES = 4096, 1 << 22
+GROUP, GROUP_SHINGLES = 4096, 1 << 21
+#: Shingles that a part of the index is meant to hold, so that its task's memory does not grow with the data.
+PART_SHINGLES = 1 << 22
 
 #: Of a shingle's hash the index keeps 48 bits; the low ones hold its class in replies.
 _CLASS, _KEPT = np.uint64(7), ~np.uint64(0xFFFF)
-_META = "doc_id long, n_shingles long, sid long"
-_POSTING = np.dtype([("high", "<u4"), ("low", "<u2"), ("at", "<u2")])
-_OWNER = np.dtype([("sid", "<i8"), ("n", "<i4")])
-_REPLY = np.dtype([("sid", "<i8"), ("n", "<i4"), ("count", "<i4")])
+_META = "doc_id long, n_shingles long, sid binary"
+_OWNER = np.dtype([("sid", "S16"), ("n", "<i4")])
+_REPLY = np.dtype([("sid", "S16"), ("n", "<i4"), ("count", "<i4")])
 
 
 def _meta(batches):
@@ -46,7 +50,7 @@ def _meta(batches):
         for _, sets in steps(batch, 1):
             sizes.extend(map(len, sets))
             ids.extend(set_id(s) if len(s) else None for s in sets)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), *batch.columns[2:]], names=["doc_id", "n_shingles", "sid", *batch.schema.names[2:]])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), *batch.columns[2:]], names=["doc_id", "n_shingles", "sid", *batch.schema.names[2:]])
 
 
 def set_table(docs: DataFrame, keep: tuple = ()) -> DataFrame:
@@ -60,20 +64,38 @@ def _classes(df: np.ndarray) -> np.ndarray:
     return np.minimum(np.frexp(df.astype(np.float64))[1], 7).astype(np.uint64)
 
 
-def _pack_replies(sid: np.ndarray, n: np.ndarray, e: np.ndarray, targets: int):
-    """(target, blob) of shingles, with their class in the low bits, for the sets that hold them."""
-    order = np.lexsort((e, sid))
-    sid, n, e = sid[order], n[order], e[order]
-    first = np.flatnonzero(np.concatenate([[True], sid[1:] != sid[:-1]])) if len(sid) else np.zeros(0, np.int64)
+def _pack_replies(owners: np.ndarray, at: np.ndarray, e: np.ndarray, targets: int):
+    """(target, blob) of shingles, with their class in the low bits, for the sets that hold them: ``at`` are places in ``owners``."""
+    order = np.lexsort((e, at))
+    at, e = at[order], e[order]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
     heads = np.zeros(len(first), dtype=_REPLY)
-    heads["sid"], heads["n"], heads["count"] = sid[first], n[first], np.diff(np.append(first, len(sid)))
-    target = heads["sid"].view(np.uint64) % np.uint64(targets)
+    heads["sid"], heads["n"], heads["count"] = owners["sid"][at[first]], owners["n"][at[first]], np.diff(np.append(first, len(at)))
+    target = np.ascontiguousarray(heads["sid"]).view("<u8")[::2] % np.uint64(targets)
     of_row = np.repeat(target, heads["count"])
     for t in np.unique(target):
         some = heads[target == t]
         yield int(t), np.int32(len(some)).tobytes() + some.tobytes() + e[of_row == t].astype("<u8").tobytes()
 
 
+def _pack_postings(owners: np.ndarray, e: np.ndarray, at: np.ndarray) -> bytes:
+    """The owners, then the steps from one shingle to the next, in 32 bits each if they fit, then each shingle's owner."""
+    held, place = np.unique(at, return_inverse=True)
+    step = np.diff(e >> np.uint64(16), prepend=np.uint64(0))
+    wide = len(step) > 1 and step[1:].max() >> np.uint64(32)
+    head = np.array([len(held), len(e), wide], "<i4").tobytes() + step[:1].astype("<u8").tobytes()
+    return head + owners[held].tobytes() + step[1:].astype("<u8" if wide else "<u4").tobytes() + place.astype("<u2").tobytes()
+
+
+def _unpack_postings(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    held, n, wide = np.frombuffer(blob, "<i4", 3).tolist()
+    at = 20 + held * _OWNER.itemsize
+    kind = np.dtype("<u8" if wide else "<u4")
+    step = np.concatenate([np.frombuffer(blob, "<u8", 1, 12), np.frombuffer(blob, kind, n - 1, at)])
+    place = np.frombuffer(blob, "<u2", n, at + (n - 1) * kind.itemsize)
+    return np.frombuffer(blob, _OWNER, held, 20), np.cumsum(step, dtype=np.uint64) << np.uint64(16), place
+
+
 _ROWS = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 
 
@@ -86,7 +108,7 @@ def _post(parts: int):
     ids and sizes, then (shingle, set) pairs; kind 1 is a shingle that is common within the group, told once without its sets;
     kind 2 is the reply for those sets, which the index passes on."""
 
-    def send(sets: dict[int, np.ndarray]):
+    def send(sets: dict[bytes, np.ndarray]):
         if not sets:
             return
         owners = np.array([(k, len(s)) for k, s in sets.items()], dtype=_OWNER)
@@ -99,9 +121,9 @@ def _post(parts: int):
         common = np.repeat(many >= COMMON, many)
         rows = []
         if common.any():
-            c, o = e[common], owners[at[common]]
-            for t, blob in _pack_replies(o["sid"], o["n"], c | _CLASS, parts):
-                rows.append((int(np.abs(hash((t, int(owners["sid"][0])))) % parts), 2, np.int32(t).tobytes() + blob))
+            c, spread = e[common], int.from_bytes(next(iter(sets))[:4], "little")
+            for t, blob in _pack_replies(owners, at[common], c | _CLASS, parts):
+                rows.append(((t * 7919 + spread) % parts, 2, np.int32(t).tobytes() + blob))
             told = np.unique(c)
             part = (told >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
             rows += [(int(p), 1, told[part == p].tobytes()) for p in np.unique(part)]
@@ -111,14 +133,11 @@ def _post(parts: int):
         for p in range(parts):
             lo, hi = cuts[p], cuts[p + 1]
             if lo < hi:
-                held, place = np.unique(at[lo:hi], return_inverse=True)
-                posting = np.empty(hi - lo, dtype=_POSTING)
-                posting["high"], posting["low"], posting["at"] = e[lo:hi] >> np.uint64(32), (e[lo:hi] >> np.uint64(16)).astype(np.uint16), place
-                rows.append((p, 0, np.int32(len(held)).tobytes() + owners[held].tobytes() + posting.tobytes()))
+                rows.append((p, 0, _pack_postings(owners, e[lo:hi], at[lo:hi])))
         yield _rows(rows)
 
     def run(batches):
-        sets: dict[int, np.ndarray] = {}
+        sets: dict[bytes, np.ndarray] = {}
         held = 0
         for batch in batches:
             for _, some in steps(batch, 0):
@@ -138,49 +157,54 @@ def _index(parts: int):
     """For the shingles of a part that more than one set holds: their class, told to each of these sets."""
 
     def run(batches):
-        sids, sizes, shingles, told = [], [], [], [np.zeros(0, np.uint64)]
+        owners, places, shingles, told, held = [], [], [], [np.zeros(0, np.uint64)], 0
         for batch in batches:
-            for kind, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for kind, blob in zip(batch.column(1).to_pylist(), batch.column(2)):
+                blob = blob.as_buffer()
                 if kind == 2:
-                    yield _rows([(int(np.frombuffer(blob, np.int32, 1)[0]), 2, blob[4:])])
+                    yield _rows([(int(np.frombuffer(blob, np.int32, 1)[0]), 2, blob.slice(4).to_pybytes())])
                 elif kind == 1:
-                    told.append(np.frombuffer(blob, np.uint64))
+                    told.append(np.frombuffer(blob, np.uint64).copy())
                 else:
-                    n = int(np.frombuffer(blob, np.int32, 1)[0])
-                    owners = np.frombuffer(blob, _OWNER, n, 4)
-                    posting = np.frombuffer(blob, _POSTING, offset=4 + n * _OWNER.itemsize)
-                    shingles.append(posting["high"].astype(np.uint64) << np.uint64(32) | posting["low"].astype(np.uint64) << np.uint64(16))
-                    sids.append(owners["sid"][posting["at"]])
-                    sizes.append(owners["n"][posting["at"]])
+                    some, e, place = _unpack_postings(blob)
+                    owners.append(some.copy())
+                    shingles.append(e)
+                    places.append(place.astype(np.uint32) + np.uint32(held))
+                    held += len(some)
         if not shingles:
             return
-        e, sid, n = map(np.concatenate, (shingles, sids, sizes))
-        shingles, sids, sizes = [], [], []
+        # a set may come from many groups, as its copies do
+        owners, same = np.unique(np.concatenate(owners), return_inverse=True)
+        e = np.concatenate(shingles)
+        shingles = None
+        at = same.astype(np.uint32)[np.concatenate(places)]
+        places = None
         order = np.argsort(e)
-        e, sid, n = e[order], sid[order], n[order]
+        e, at = e[order], at[order]
+        order = None
         told = np.unique(np.concatenate(told))
-        same = np.concatenate([e[1:] == e[:-1], [False]])
-        same[1:] |= same[:-1].copy()
+        twin = np.concatenate([e[1:] == e[:-1], [False]])
+        twin[1:] |= twin[:-1].copy()
         known = told[np.minimum(np.searchsorted(told, e), len(told) - 1)] == e if len(told) else np.zeros(len(e), bool)
-        keep = same | known
-        e, sid, n, known = e[keep], sid[keep], n[keep], known[keep]
-        order = np.lexsort((sid, e))  # a set may come from many groups, as its copies do
-        e, sid, n, known = e[order], sid[order], n[order], known[order]
-        keep = np.concatenate([[True], (e[1:] != e[:-1]) | (sid[1:] != sid[:-1])]) if len(e) else np.zeros(0, bool)
-        e, sid, n, known = e[keep], sid[keep], n[keep], known[keep]
+        keep = twin | known
+        e, at, known = e[keep], at[keep], known[keep]
+        order = np.lexsort((at, e))
+        e, at, known = e[order], at[order], known[order]
+        keep = np.concatenate([[True], (e[1:] != e[:-1]) | (at[1:] != at[:-1])]) if len(e) else np.zeros(0, bool)
+        e, at, known = e[keep], at[keep], known[keep]
         if not len(e):
             return
         first = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]]))
         many = np.diff(np.append(first, len(e)))
         kind = np.where(known, _CLASS, np.repeat(_classes(many), many))
         keep = kind > 1
-        for t, blob in _pack_replies(sid[keep], n[keep], (e | kind)[keep], parts):
+        for t, blob in _pack_replies(owners, at[keep], (e | kind)[keep], parts):
             yield _rows([(t, 2, blob)])
 
     return run
 
 
-_SETS = pa.schema([("sid", pa.int64()), ("n", pa.int64()), ("shared", pa.binary()), ("regions", pa.list_(pa.int64()))])
+_SETS = pa.schema([("sid", pa.binary()), ("n", pa.int64()), ("shared", pa.binary()), ("regions", pa.list_(pa.int64()))])
 
 
 def _gather(batches):
@@ -212,7 +236,7 @@ def _gather(batches):
             continue
         window = n - -(-PERCENT * n // 100) + 1 - (n - len(own))
         rarest = own[np.lexsort((own, own & _CLASS))][:window]
-        out["sid"].append(int(head["sid"][first[g]]))
+        out["sid"].append(head[first[g]].tobytes()[:16])
         out["n"].append(n)
         out["shared"].append((own & ~_CLASS).tobytes())
         out["regions"].append((rarest & ~_CLASS).view(np.int64).tolist())
@@ -223,18 +247,19 @@ def _gather(batches):
         yield pa.RecordBatch.from_pydict(out, schema=_SETS)
 
 
-def candidate_sets(docs: DataFrame) -> DataFrame:
+def candidate_sets(docs: DataFrame, shingles: int = 0) -> DataFrame:
     """sid, n, shared (sorted shingles that occur in other sets, 8 bytes each) and regions of each set that can have a link.
 
     Shingles go to the index packed by group of documents, and the index answers packed by set, so either exchange has a few
-    large rows. A shingle that is common within a group is told once for all its sets.
+    large rows. A shingle that is common within a group is told once for all its sets. ``shingles``, the sum of the sets' sizes,
+    sets the number of the index's parts.
     """
     spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shingles // PART_SHINGLES))
     ddl = "part int, kind int, blob binary"
     posted = docs.select("text").mapInArrow(_post(parts), ddl)
     answered = posted.repartition(parts, "part").mapInArrow(_index(parts), ddl)
-    return answered.repartition(parts, "part").mapInArrow(_gather, "sid long, n long, shared binary, regions array<long>")
+    return answered.repartition(parts, "part").mapInArrow(_gather, "sid binary, n long, shared binary, regions array<long>")
 
 
 def _overlaps(batches):
@@ -245,37 +270,72 @@ def _overlaps(batches):
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, whether the sets are linked, and their Jaccard distance, for distinct pairs (a, b) of set ids."""
-    of = lambda k: sets.select(F.col("sid").alias(k), F.col("n").alias(f"n{k}"), F.col("shared").alias(f"set_{k}"))
+    """a, b, whether the sets are linked, and their Jaccard distance, for distinct pairs (a, b) of ids of sets."""
+    of = lambda k: sets.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("shared").alias(f"set_{k}"))
     found = pairs.join(of("b"), "b").join(of("a"), "a").mapInArrow(_overlaps, "a long, b long, na long, nb long, both long")
     union = F.col("na") + F.col("nb") - F.col("both")
     return found.select("a", "b", (100 * F.col("both") >= PERCENT * union).alias("linked"), (1 - F.col("both") / union).alias("d"))
 
 
-def _open_regions(regions: DataFrame, roots: DataFrame) -> DataFrame:
-    """region, sid, n, root, size of regions whose members are not all joined yet; of regions with the same members one stays."""
-    known = regions.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    info = known.groupBy("region").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.sum(F.xxhash64(F.lit(1), "sid").cast("decimal(38,0)")).alias("s"))
-    one = info.filter("low <> high").groupBy("size", "x", "s").agg(F.min("region").alias("region")).select("region", "size")
-    return cut(known.join(one, "region"), "regions")
+def _members(sets: DataFrame) -> DataFrame:
+    """region, id, n, cap and off of each set in each region of its window.
+
+    If a region is the first that two sets share, their overlap is at most the number of either's shingles from there on, which
+    come after ``place`` others. With that bound a partner of more than ``cap`` shingles is out of the threshold. ``off`` is the
+    part of a set's shingles, in thousandths, that no other set has: how far it is from the core of its regions.
+    """
+    shared = (F.length("shared") / 8).cast("long")
+    rows = sets.select("id", "n", shared.alias("m"), F.posexplode("regions").alias("i", "region"))
+    cap = F.floor((F.lit(100 + PERCENT) * (F.col("m") - F.col("i")) - PERCENT * F.col("n")) / F.lit(PERCENT))
+    off = F.floor(1000 * (F.col("n") - F.col("m")) / F.col("n"))
+    return rows.select("region", "id", F.col("n").cast("int"), cap.cast("int").alias("cap"), off.cast("int").alias("off")).filter(f"100 * cap >= {PERCENT} * n")
 
 
-def _first(regions: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links of each set with one pivot: the first of those that its regions have, all in one order. A group's members mostly
-    share it, so this joins most of a group with one distance for each member."""
-    order = F.struct(F.xxhash64(F.lit(7), "sid").alias("o"), "sid")
-    pivots = regions.groupBy("region").agg(F.min(order).alias("p"), F.count("*").alias("size")).filter("size > 1").select("region", "p")
-    best = regions.join(pivots, "region").groupBy("sid").agg(F.min("p").alias("p"))
-    return overlaps(best.select(F.col("p.sid").alias("a"), F.col("sid").alias("b")).filter("a <> b"), sets).filter("linked").select("a", "b")
+def _first(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of each set with one pivot: of the sets next to the core of one of its regions, the one that all regions have in
+    the same order first. A group's members mostly share it, so one distance for each member joins most of a group."""
+    order = F.struct("off", F.xxhash64(F.lit(7), "id").alias("o"), "id")
+    pivots = members.groupBy("region").agg(F.min(order).alias("p"), F.count("*").alias("size")).filter("size > 1").select("region", "p")
+    best = members.select("region", "id").join(pivots, "region").groupBy("id").agg(F.min("p").alias("p"))
+    return overlaps(best.select(F.col("p.id").alias("a"), F.col("id").alias("b")).filter("a <> b"), sets).filter("linked").select("a", "b")
+
+
+def _reachable(members: DataFrame) -> DataFrame:
+    """Members (region, id, n, cap, root) whose size and cap fit the sizes and caps of members of another component.
+
+    The region's largest component is told from all others, so its members are held against the others only.
+    """
+    own = members.groupBy("region", "root").agg(F.count("*").alias("c"), F.min("n").alias("low"), F.max("cap").alias("high"))
+    main = own.groupBy("region").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("roots")).filter("roots > 1").select("region", F.col("m.root").alias("main"))
+    other = F.col("root") != F.col("main")
+    bounds = own.join(main, "region").groupBy("region", "main").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min(F.when(other, F.col("low"))).alias("low2"), F.max(F.when(other, F.col("high"))).alias("high2"))
+    fits = F.when(other, (F.col("cap") >= F.col("low")) & (F.col("n") <= F.col("high"))).otherwise((F.col("cap") >= F.col("low2")) & (F.col("n") <= F.col("high2")))
+    return members.join(bounds, "region").filter(fits).select("region", "id", "n", "cap", "root")
+
+
+def _open_regions(regions: DataFrame, roots: DataFrame) -> DataFrame:
+    """region, id, n, cap, root, size of members that may still be linked across components; of regions with the same members
+    one stays, with each member's largest cap in any of them."""
+    known = regions.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("region", "id", "n", "cap", F.coalesce("root", "id").alias("root"))
+    known = cut(known, "known")
+    once = cut(_reachable(known), "reachable")
+    drop_cut(known)
+    twice = cut(_reachable(once), "reachable")
+    drop_cut(once)
+    info = twice.groupBy("region").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), F.bit_xor(F.xxhash64("id", "cap")).alias("x"), F.sum(F.xxhash64(F.lit(1), "id", "cap").cast("decimal(38,0)")).alias("s"))
+    one = info.filter("low < high").groupBy("size", "x", "s").agg(F.min("region").alias("region")).select("region", "size")
+    members = cut(twice.join(one, "region"), "regions")
+    drop_cut(twice)
+    return members
 
 
 def links(sets: DataFrame) -> DataFrame:
-    """Edges (a, b) between set ids that join every two linked sets, directly or by way of others both are linked to.
+    """Edges (a, b) between ids of sets that join every two linked sets, directly or by way of others both are linked to.
 
-    Only components are asked for, so what is joined already needs no more comparing: after each round regions within one
-    component are closed, and only members of different components are paired.
+    Only components are asked for, so what is joined already needs no more comparing: after each round regions keep only what
+    may link different components, and only members of different components are paired.
     """
-    regions = cut(sets.select(F.explode("regions").alias("region"), "sid", "n"), "regions")
+    regions = cut(_members(sets), "regions")
     edges, level, tau = cut(_first(regions, sets), "links"), 0, 1 - PERCENT / 100
     while True:
         roots = components(edges)
@@ -284,32 +344,33 @@ def links(sets: DataFrame) -> DataFrame:
         if members.isEmpty():
             return edges
         small, large = members.filter(F.col("size") <= LEAF), members.filter(F.col("size") > LEAF)
-        of = lambda k: small.select("region", F.col("sid").alias(k), F.col("n").alias(f"n{k}"), F.col("root").alias(f"r{k}"))
-        # sizes of linked sets are within the threshold of each other
-        near = of("a").join(of("b"), "region").filter(f"a < b and ra <> rb and 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b").distinct()
-        found = overlaps(near, sets).filter("linked").select("a", "b")
+        of = lambda k: small.select("region", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "cap", "root")))
+        near = of("a").join(of("b"), "region").filter("id_a < id_b and root_a <> root_b and n_a <= cap_b and n_b <= cap_a")
+        found = overlaps(near.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), sets).filter("linked").select("a", "b")
         if large.isEmpty():
             return edges.union(cut(found, "links"))
         k = PIVOTS[min(level, len(PIVOTS) - 1)]
         # pivots come from the smaller components of a region first, whose members have most left to be compared with
         share = large.groupBy("region", "root").agg(F.count("*").alias("own"))
-        order = F.struct(F.col("own"), F.xxhash64(F.lit(7), "sid").alias("o"), F.col("sid"))
-        pivots = large.join(share, ["region", "root"]).groupBy("region", F.pmod(F.xxhash64(F.lit(11 + level), "root"), F.lit(k)).alias("j")).agg(F.min(order).alias("p"), F.min_by("root", order).alias("pivot_root")).select("region", F.col("p.sid").alias("pivot"), "pivot_root")
+        order = F.struct(F.col("own"), F.xxhash64(F.lit(7), "id").alias("o"), F.col("id"))
+        pivots = large.join(share, ["region", "root"]).groupBy("region", F.pmod(F.xxhash64(F.lit(11 + level), "root"), F.lit(k)).alias("j")).agg(F.min(order).alias("p")).select("region", F.col("p.id").alias("pivot"))
         pivots = cut(pivots, "pivots")
         # a pivot is compared with all members of its region, so it is done
-        rest = large.join(pivots.select("region", F.col("pivot").alias("sid")), ["region", "sid"], "left_anti")
-        against = rest.join(pivots, "region").select("region", "sid", "n", "pivot")
-        pairs = against.select(F.col("pivot").alias("a"), F.col("sid").alias("b")).union(_among(pivots)).distinct()
+        rest = large.join(pivots.select("region", F.col("pivot").alias("id")), ["region", "id"], "left_anti")
+        against = rest.join(pivots, "region").select("region", "id", "n", "cap", "pivot")
+        pairs = against.select(F.col("pivot").alias("a"), F.col("id").alias("b")).union(_among(pivots)).distinct()
         distances = cut(overlaps(pairs, sets), "distances")
-        at = against.join(distances.select(F.col("a").alias("pivot"), F.col("b").alias("sid"), "linked", "d"), ["pivot", "sid"])
-        nearest = at.groupBy("region", "sid").agg(F.min("d").alias("least"))
-        homes = at.join(nearest, ["region", "sid"]).filter(F.col("d") <= F.col("least") + 2 * tau + 1e-9)
+        at = against.join(distances.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "linked", "d"), ["pivot", "id"])
+        nearest = at.groupBy("region", "id").agg(F.min("d").alias("least"))
+        homes = at.join(nearest, ["region", "id"]).filter(F.col("d") <= F.col("least") + 2 * tau + 1e-9)
         outside = homes.filter("not linked").groupBy("region", "pivot").agg(F.min("d").alias("reach"))
         homes = homes.join(outside, ["region", "pivot"]).filter(~F.col("linked") | (F.col("d") >= F.col("reach") - tau - 1e-9))
-        regions = cut(homes.select(F.xxhash64("region", "pivot").alias("region"), "sid", "n"), "regions")
+        regions = cut(homes.select(F.xxhash64("region", "pivot").alias("region"), "id", "n", "cap"), "regions")
         new = cut(edges.union(found).union(distances.filter("linked").select("a", "b")), "links")
         drop_cut(edges)
         drop_cut(distances)
+        drop_cut(pivots)
+        drop_cut(members)
         edges, level = new, level + 1
 
 
@@ -323,8 +384,11 @@ def near_groups(docs: DataFrame, keep: tuple = ()) -> DataFrame:
     """doc_id, n_shingles, root and the columns ``keep`` of each row of ``docs`` (doc_id, text): rows that links tie together, and
     no others, have the same root. It is null without words."""
     meta = cut(set_table(docs, keep), "sets")
-    sets = cut(candidate_sets(docs), "candidates")
-    roots = components(links(sets)).select(F.col("node").alias("sid"), "root")
+    shingles = meta.agg(F.sum("n_shingles")).first()[0] or 0
+    # ids are given once, as the table is written
+    sets = cut(candidate_sets(docs, shingles).withColumn("id", F.monotonically_increasing_id()), "candidates")
+    group = F.concat(F.lit("component "), F.col("root").cast("string")).cast("binary")
+    roots = components(links(sets)).join(sets.select(F.col("id").alias("node"), "sid"), "node").select("sid", group.alias("root"))
     return meta.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")).drop("sid")
 
 
