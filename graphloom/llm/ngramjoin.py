@@ -35,7 +35,7 @@ COMMON = 64
 #: Sets whose shingles are sent to the index together, and shingles at which such a group ends early.
 GROUP, GROUP_SHINGLES = 4096, 1 << 21
 #: Shingles that a part of the index is meant to hold, so that its task's memory does not grow with the data.
-PART_SHINGLES = 1 << 22
+PART_SHINGLES = 1 << 21
 
 #: Of a shingle's hash the index keeps 48 bits; the low ones hold its class in replies.
 _CLASS, _KEPT = np.uint64(7), ~np.uint64(0xFFFF)
@@ -145,9 +145,9 @@ def _post(parts: int):
                     if len(s):
                         held += len(s)
                         sets[set_id(s)] = s
-                if len(sets) >= GROUP or held >= GROUP_SHINGLES:
-                    yield from send(sets)
-                    sets, held = {}, 0
+                    if len(sets) >= GROUP or held >= GROUP_SHINGLES:
+                        yield from send(sets)
+                        sets, held = {}, 0
         yield from send(sets)
 
     return run

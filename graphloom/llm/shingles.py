@@ -13,7 +13,7 @@ import pyarrow as pa
 #: Words of a shingle.
 SIZE = 5
 #: Bytes of text that are hashed at once; a longer text is hashed alone.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
