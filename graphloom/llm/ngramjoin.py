@@ -27,7 +27,7 @@ from .tables import cut, drop_cut, table
 #: Two sets are linked when 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: A region of so many members or fewer is compared pair by pair.
-LEAF = 24
+LEAF = 64
 #: Pivots of a region in the first, second, ... round of splitting; the last number holds from there on.
 PIVOTS = (4, 16, 48)
 #: A shingle in so many sets or more is common: rarer ones come before all common ones.
@@ -40,8 +40,8 @@ PART_SHINGLES = 1 << 21
 #: Of a shingle's hash the index keeps 48 bits; the low ones hold its class in replies.
 _CLASS, _KEPT = np.uint64(7), ~np.uint64(0xFFFF)
 _META = "doc_id long, n_shingles long, sid binary"
-_OWNER = np.dtype([("sid", "S16"), ("n", "<i4")])
-_REPLY = np.dtype([("sid", "S16"), ("n", "<i4"), ("count", "<i4")])
+_OWNER = np.dtype("S12")
+_REPLY = np.dtype([("sid", _OWNER), ("n", "<i4"), ("count", "<i4")])
 
 
 def _meta(batches):
@@ -64,14 +64,18 @@ def _classes(df: np.ndarray) -> np.ndarray:
     return np.minimum(np.frexp(df.astype(np.float64))[1], 7).astype(np.uint64)
 
 
+def _targets(sid: np.ndarray, targets: int) -> np.ndarray:
+    return np.ascontiguousarray(sid).view("<u4")[::3].astype(np.int64) % targets
+
+
 def _pack_replies(owners: np.ndarray, at: np.ndarray, e: np.ndarray, targets: int):
     """(target, blob) of shingles, with their class in the low bits, for the sets that hold them: ``at`` are places in ``owners``."""
     order = np.lexsort((e, at))
     at, e = at[order], e[order]
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
     heads = np.zeros(len(first), dtype=_REPLY)
-    heads["sid"], heads["n"], heads["count"] = owners["sid"][at[first]], owners["n"][at[first]], np.diff(np.append(first, len(at)))
-    target = np.ascontiguousarray(heads["sid"]).view("<u8")[::2] % np.uint64(targets)
+    heads["sid"], heads["count"] = owners[at[first]], np.diff(np.append(first, len(at)))
+    target = _targets(heads["sid"], targets)
     of_row = np.repeat(target, heads["count"])
     for t in np.unique(target):
         some = heads[target == t]
@@ -79,21 +83,23 @@ def _pack_replies(owners: np.ndarray, at: np.ndarray, e: np.ndarray, targets: in
 
 
 def _pack_postings(owners: np.ndarray, e: np.ndarray, at: np.ndarray) -> bytes:
-    """The owners, then the steps from one shingle to the next, in 32 bits each if they fit, then each shingle's owner."""
+    """The owners, then the steps from one shingle to the next, in as many bytes as the longest takes, then each shingle's owner."""
     held, place = np.unique(at, return_inverse=True)
     step = np.diff(e >> np.uint64(16), prepend=np.uint64(0))
-    wide = len(step) > 1 and step[1:].max() >> np.uint64(32)
-    head = np.array([len(held), len(e), wide], "<i4").tobytes() + step[:1].astype("<u8").tobytes()
-    return head + owners[held].tobytes() + step[1:].astype("<u8" if wide else "<u4").tobytes() + place.astype("<u2").tobytes()
+    width = max(1, -(-int(step[1:].max(initial=0)).bit_length() // 8))
+    steps = step[1:].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    head = np.array([len(held), len(e), width], "<i4").tobytes() + step[:1].astype("<u8").tobytes()
+    return head + owners[held].tobytes() + steps.tobytes() + place.astype("<u2").tobytes()
 
 
 def _unpack_postings(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    held, n, wide = np.frombuffer(blob, "<i4", 3).tolist()
+    held, n, width = np.frombuffer(blob, "<i4", 3).tolist()
     at = 20 + held * _OWNER.itemsize
-    kind = np.dtype("<u8" if wide else "<u4")
-    step = np.concatenate([np.frombuffer(blob, "<u8", 1, 12), np.frombuffer(blob, kind, n - 1, at)])
-    place = np.frombuffer(blob, "<u2", n, at + (n - 1) * kind.itemsize)
-    return np.frombuffer(blob, _OWNER, held, 20), np.cumsum(step, dtype=np.uint64) << np.uint64(16), place
+    step = np.zeros((n, 8), np.uint8)
+    step[0] = np.frombuffer(blob, np.uint8, 8, 12)
+    step[1:, :width] = np.frombuffer(blob, np.uint8, (n - 1) * width, at).reshape(-1, width)
+    place = np.frombuffer(blob, "<u2", n, at + (n - 1) * width)
+    return np.frombuffer(blob, _OWNER, held, 20), np.cumsum(step.view("<u8").ravel(), dtype=np.uint64) << np.uint64(16), place
 
 
 _ROWS = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
@@ -105,23 +111,27 @@ def _rows(rows: list[tuple]):
 
 def _post(parts: int):
     """Sends the shingles of each group of documents to the part of the index that their hash falls in. Kind 0 holds the sets'
-    ids and sizes, then (shingle, set) pairs; kind 1 is a shingle that is common within the group, told once without its sets;
-    kind 2 is the reply for those sets, which the index passes on."""
+    ids, then (shingle, set) pairs; kind 1 is a shingle that is common within the group, told once without its sets;
+    kind 2 is the reply for those sets, and the sizes of all sets, which the index passes on."""
 
     def send(sets: dict[bytes, np.ndarray]):
         if not sets:
             return
-        owners = np.array([(k, len(s)) for k, s in sets.items()], dtype=_OWNER)
+        owners = np.array(list(sets), dtype=_OWNER)
+        sizes = np.array([len(s) for s in sets.values()])
         e = np.concatenate(list(sets.values())) & _KEPT
-        at = np.repeat(np.arange(len(owners), dtype=np.uint16), owners["n"])
+        at = np.repeat(np.arange(len(owners), dtype=np.uint16), sizes)
         order = np.argsort(e, kind="stable")
         e, at = e[order], at[order]
         first = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]]))
         many = np.diff(np.append(first, len(e)))
         common = np.repeat(many >= COMMON, many)
-        rows = []
+        heads = np.zeros(len(owners), dtype=_REPLY)
+        heads["sid"], heads["n"] = owners, sizes
+        target, spread = _targets(owners, parts), int.from_bytes(next(iter(sets))[:4], "little")
+        rows = [((int(t) * 7919 + spread) % parts, 2, np.array([t, (target == t).sum()], "<i4").tobytes() + heads[target == t].tobytes()) for t in np.unique(target)]
         if common.any():
-            c, spread = e[common], int.from_bytes(next(iter(sets))[:4], "little")
+            c = e[common]
             for t, blob in _pack_replies(owners, at[common], c | _CLASS, parts):
                 rows.append(((t * 7919 + spread) % parts, 2, np.int32(t).tobytes() + blob))
             told = np.unique(c)
@@ -225,18 +235,18 @@ def _gather(batches):
     head, starts = head[order], starts[order]
     first = np.flatnonzero(np.concatenate([[True], head["sid"][1:] != head["sid"][:-1]]))
     # a set that came from several groups may have been told of a common shingle more than once, so this is an upper bound
-    told = np.add.reduceat(head["count"], first)
+    told, size = np.add.reduceat(head["count"], first), np.maximum.reduceat(head["n"], first)
     ends = np.append(first[1:], len(head))
     out = {k: [] for k in _SETS.names}
-    for g in np.flatnonzero(100 * told >= PERCENT * head["n"][first]).tolist():
+    for g in np.flatnonzero(100 * told >= PERCENT * size).tolist():
         pieces = [e[starts[i] : starts[i] + head["count"][i]] for i in range(first[g], ends[g])]
         own = np.unique(np.concatenate(pieces))
-        n = int(head["n"][first[g]])
+        n = int(size[g])
         if 100 * len(own) < PERCENT * n:
             continue
         window = n - -(-PERCENT * n // 100) + 1 - (n - len(own))
         rarest = own[np.lexsort((own, own & _CLASS))][:window]
-        out["sid"].append(head[first[g]].tobytes()[:16])
+        out["sid"].append(head[first[g]].tobytes()[: _OWNER.itemsize])
         out["n"].append(n)
         out["shared"].append((own & ~_CLASS).tobytes())
         out["regions"].append((rarest & ~_CLASS).view(np.int64).tolist())
@@ -315,17 +325,15 @@ def _reachable(members: DataFrame) -> DataFrame:
 
 def _open_regions(regions: DataFrame, roots: DataFrame) -> DataFrame:
     """region, id, n, cap, root, size of members that may still be linked across components; of regions with the same members
-    one stays, with each member's largest cap in any of them."""
+    and caps one stays."""
     known = regions.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("region", "id", "n", "cap", F.coalesce("root", "id").alias("root"))
     known = cut(known, "known")
-    once = cut(_reachable(known), "reachable")
+    fit = cut(_reachable(known), "reachable")
     drop_cut(known)
-    twice = cut(_reachable(once), "reachable")
-    drop_cut(once)
-    info = twice.groupBy("region").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), F.bit_xor(F.xxhash64("id", "cap")).alias("x"), F.sum(F.xxhash64(F.lit(1), "id", "cap").cast("decimal(38,0)")).alias("s"))
+    info = fit.groupBy("region").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), F.bit_xor(F.xxhash64("id", "cap")).alias("x"), F.sum(F.xxhash64(F.lit(1), "id", "cap").cast("decimal(38,0)")).alias("s"))
     one = info.filter("low < high").groupBy("size", "x", "s").agg(F.min("region").alias("region")).select("region", "size")
-    members = cut(twice.join(one, "region"), "regions")
-    drop_cut(twice)
+    members = cut(fit.join(one, "region"), "regions")
+    drop_cut(fit)
     return members
 
 
@@ -343,10 +351,17 @@ def links(sets: DataFrame) -> DataFrame:
         drop_cut(regions)
         if members.isEmpty():
             return edges
+        # from here on only the sets of open regions are read
+        used = cut(members.select("id").distinct(), "used")
+        left = cut(sets.select("id", "n", "shared").join(used, "id", "left_semi"), "left")
+        if level:
+            drop_cut(sets)
+        sets = left
         small, large = members.filter(F.col("size") <= LEAF), members.filter(F.col("size") > LEAF)
         of = lambda k: small.select("region", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "cap", "root")))
         near = of("a").join(of("b"), "region").filter("id_a < id_b and root_a <> root_b and n_a <= cap_b and n_b <= cap_a")
-        found = overlaps(near.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), sets).filter("linked").select("a", "b")
+        near = cut(near.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "near")
+        found = overlaps(near, sets).filter("linked").select("a", "b")
         if large.isEmpty():
             return edges.union(cut(found, "links"))
         k = PIVOTS[min(level, len(PIVOTS) - 1)]
@@ -357,8 +372,8 @@ def links(sets: DataFrame) -> DataFrame:
         pivots = cut(pivots, "pivots")
         # a pivot is compared with all members of its region, so it is done
         rest = large.join(pivots.select("region", F.col("pivot").alias("id")), ["region", "id"], "left_anti")
-        against = rest.join(pivots, "region").select("region", "id", "n", "cap", "pivot")
-        pairs = against.select(F.col("pivot").alias("a"), F.col("id").alias("b")).union(_among(pivots)).distinct()
+        against = cut(rest.join(pivots, "region").select("region", "id", "n", "cap", "pivot"), "against")
+        pairs = cut(against.select(F.col("pivot").alias("a"), F.col("id").alias("b")).union(_among(pivots)).distinct(), "pairs")
         distances = cut(overlaps(pairs, sets), "distances")
         at = against.join(distances.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "linked", "d"), ["pivot", "id"])
         nearest = at.groupBy("region", "id").agg(F.min("d").alias("least"))
@@ -367,10 +382,8 @@ def links(sets: DataFrame) -> DataFrame:
         homes = homes.join(outside, ["region", "pivot"]).filter(~F.col("linked") | (F.col("d") >= F.col("reach") - tau - 1e-9))
         regions = cut(homes.select(F.xxhash64("region", "pivot").alias("region"), "id", "n", "cap"), "regions")
         new = cut(edges.union(found).union(distances.filter("linked").select("a", "b")), "links")
-        drop_cut(edges)
-        drop_cut(distances)
-        drop_cut(pivots)
-        drop_cut(members)
+        for done in (edges, members, used, near, pivots, against, pairs, distances):
+            drop_cut(done)
         edges, level = new, level + 1
 
 

@@ -2,7 +2,7 @@
 
 Words are runs of anything but space and the ASCII controls 9 to 13, with A-Z lower-cased. A text's set holds its distinct
 shingles of ``SIZE`` consecutive words; a text of fewer words has the whole sequence as its one shingle, one without words has
-none. Equal hashes are taken for equal shingles, and equal set ids, of 128 bits, for equal sets.
+none. Equal hashes are taken for equal shingles, and equal set ids, of 96 bits, for equal sets.
 """
 
 from __future__ import annotations
@@ -85,11 +85,11 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
 
 def set_id(s: np.ndarray) -> bytes:
-    """The 16 bytes that name a set: two sums over its hashes that have nothing in common, so their order does not matter."""
+    """The 12 bytes that name a set: two sums over its hashes that have nothing in common, so their order does not matter."""
     size = np.uint64(len(s))
     one = mix(mix(s ^ _RADIX).sum(dtype=np.uint64, keepdims=True) + size)
     two = mix(mix(s * _PLACE[0] + _PLACE[1]).sum(dtype=np.uint64, keepdims=True) ^ size)
-    return one.tobytes() + two.tobytes()
+    return one.tobytes() + two.tobytes()[:4]
 
 
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
