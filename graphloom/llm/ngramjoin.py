@@ -413,8 +413,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     text is one set. Other columns are ignored; an empty table gives an empty one.
     """
     grouped = near_groups(docs)
-    least = grouped.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    found = grouped.join(least, "root", "left")
+    several = grouped.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).filter("n > 1")
+    # written, so that a root with many rows can be split in the join
+    found = grouped.join(cut(several.drop("n"), "least"), "root", "left")
     return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

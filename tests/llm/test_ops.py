@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat, decontaminate, linededup, mixing, ngramjoin, pqdedup, quality, simple8b, tokenids, toxicity, urlfilter
+from graphloom.llm import chat, decontaminate, linededup, mixing, ngramjoin, pqdedup, quality, simple8b, tokenids, urlfilter
 from graphloom.llm.components import components
 
 DOCS = "doc_id long, text string, source string"
@@ -150,19 +150,6 @@ def test_near_vectors(spark):
     assert got == {i: (len(link.get(i, ())), up[i], up[i] == i) for i in got}
 
 
-def test_toxicity_learns(rng):
-    clean = texts(rng, 150)
-    bad = [t + " you idiot ." if i % 2 else "what a moron " + t for i, t in enumerate(texts(rng, 50))]
-    m = toxicity.fit(clean[:100] + bad[:30], [0] * 100 + [1] * 30)
-    score = lambda t: m.probability(m.margins(toxicity.spans(t)).max() if toxicity.spans(t) else -2.0)
-    assert sum(score(t) >= 0.7 for t in bad[30:]) >= 18 and sum(score(t) >= 0.7 for t in clean[100:]) <= 1
-    assert score("") < 0.7 and score("w1 w2 idi-ot") > score("w1 w2 w3")
-
-
-def test_toxicity_without_labels():
-    assert 0 <= toxicity.fit([], []).probability(1.0) <= 1
-
-
 def test_quality_learns(spark, rng):
     good, bad = texts(rng, 120), [t.upper().replace(" ", "!! ") for t in texts(rng, 120)]
     n = quality.fit(good[:90] + bad[:90], [1] * 90 + [0] * 90)
