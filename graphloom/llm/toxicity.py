@@ -31,13 +31,13 @@ POWER = 3
 #: Clean spans that the machine is fitted against, at most: the hardest ones.
 AGAINST = 4000
 #: Letters that a subsequence may spread over, and the weight of each.
-WINDOW, DECAY = 7, 0.9
+WINDOW, DECAY = 6, 0.9
 #: Letters of a span that are compared at once; a longer span is compared in overlapping pieces.
 PIECE = 26
 #: Letters of a fragment, at most: neighbouring fragments that are no common words are also read as one word.
 FRAGMENT = 4
 #: Scores that a worker keeps, at most.
-CACHE = 200_000
+CACHE = 400_000
 
 # Letters: 0 nothing, 1 marks, which are dropped, 2 start, 3 end, 4 to 29 a to z, from 30 on letters of other scripts, several to
 # one code, from 44 on accents, which follow their letter.
@@ -72,30 +72,44 @@ _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 def words(text: str | None) -> list[str]:
     """The text's words between white space, lower-cased, without marks at their ends; words of marks only are left out."""
-    return [w for w in (_EDGE.sub("", w) for w in (text or "").lower().split()) if w]
+    return [w for w in (x if x.isalnum() else _EDGE.sub("", x) for x in (text or "").lower().split()) if w]
 
 
 def fragments(found: list[str], common: frozenset) -> list[str]:
     """Neighbouring words read as one: three single letters or more, and two to four words that are short and not common ones,
     at least one of them of at most ``FRAGMENT`` letters. Single letters in a row count as one word there."""
+    most = FRAGMENT + 2
+    short = [i for i, w in enumerate(found) if len(w) <= most and (w not in common or len(w) == 1)]
+    out, at, n = [], 0, len(short)
+    while at < n:
+        to = at + 1  # a stretch of neighbours
+        while to < n and short[to] == short[to - 1] + 1:
+            to += 1
+        if to - at > 1:
+            out += _joined(found[short[at] : short[to - 1] + 1], common)
+        at = to
+    return out
+
+
+def _joined(stretch: list[str], common: frozenset) -> list[str]:
     out, some, row = [], [], []
-    for w in [*found, ""]:
+    for w in [*stretch, ""]:
         if len(w) == 1:
             row.append(w)
             continue
         if len(row) > 2:
             out.append("".join(row))
-            some.append((out[-1], True, True))
+            some.append((out[-1], True))
         else:
-            some += [(x, x not in common, x not in common) for x in row]
+            some += [(x, x not in common) for x in row]
         row = []
-        short = len(w) <= FRAGMENT + 2 and w not in common
-        some.append((w, short and 0 < len(w) <= FRAGMENT, short and len(w) > 0))
-    for at, (w, loose, joins) in enumerate(some):
-        if not joins:
+        if w:
+            some.append((w, len(w) <= FRAGMENT))
+    for at, (w, loose) in enumerate(some):
+        if len(w) == 1 and not loose:
             continue
-        for nxt, also, fits in some[at + 1 : at + 4]:
-            if not fits or len(w) > PIECE:
+        for nxt, also in some[at + 1 : at + 4]:
+            if len(w) > PIECE or (len(nxt) == 1 and not also):
                 break
             w, loose = w + nxt, loose or also
             if loose:
@@ -111,21 +125,31 @@ def spans(text: str | None, common: frozenset = frozenset()) -> list[str]:
 
 def _coded(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Letters of the spans' pieces, one row each, and the span that each piece belongs to."""
-    rows, owner = [], []
-    for i, w in enumerate(some):
-        raw = np.frombuffer(w.encode("utf-32-le", "replace"), np.uint32)
-        raw = raw if len(raw) == 0 or raw.max() < 1 << 16 else np.minimum(raw, 0xFFFF)
-        codes = _TABLE[raw]
-        if not w.isascii():
-            codes = np.stack([codes, _ACCENT[raw]], axis=1).ravel()
-            codes = codes[codes > 0]
-        raw = b"\x02" + codes.tobytes().replace(b"\x01", b"") + b"\x03"
-        for at in range(0, max(1, len(raw) - PIECE // 2), PIECE // 2):
-            rows.append(raw[at : at + PIECE])
-            owner.append(i)
-    width = max(map(len, rows), default=0) + WINDOW
-    out = np.frombuffer(b"".join(r.ljust(width, b"\0") for r in rows), np.uint8).reshape(len(rows), width)
-    return out, np.array(owner, dtype=np.int64)
+    sizes = np.fromiter(map(len, some), np.int64, len(some))
+    raw = np.frombuffer("".join(some).encode("utf-32-le", "replace"), np.uint32)
+    raw = np.minimum(raw, 0xFFFF)
+    codes, owner = _TABLE[raw], np.repeat(np.arange(len(some)), sizes)
+    accent = _ACCENT[raw]
+    if accent.any():
+        codes, owner = np.stack([codes, accent], axis=1).ravel(), np.repeat(owner, 2)
+    keep = codes > 1
+    codes, owner = codes[keep], owner[keep]
+    # start, letters, end of each span, one after the other
+    sizes = np.bincount(owner, minlength=len(some)) + 2
+    ends = np.cumsum(sizes)
+    flat = np.zeros(int(ends[-1]) if len(some) else 0, dtype=np.uint8)
+    flat[ends - sizes], flat[ends - 1] = 2, 3
+    flat[np.arange(len(codes)) + 2 * owner + 1] = codes
+    half = PIECE // 2
+    pieces = np.maximum(1, -(-(sizes - half) // half))
+    of = np.repeat(np.arange(len(some)), pieces)
+    begin = (ends - sizes)[of] + half * (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    length = np.minimum(PIECE, ends[of] - begin)
+    width = int(length.max(initial=0)) + WINDOW
+    at = np.arange(width)
+    inside = at < length[:, None]
+    out = np.where(inside, flat[np.minimum(begin[:, None] + at, max(0, len(flat) - 1))] if len(flat) else 0, 0).astype(np.uint8)
+    return out, of
 
 
 _STEPS = [(a, b, c) for c in range(3, WINDOW) for b in range(2, c) for a in range(1, b)]
