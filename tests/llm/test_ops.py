@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat, decontaminate, linededup, mixing, ngramjoin, pqdedup, quality, simple8b, tokenids, urlfilter
+from graphloom.llm import chat, decontaminate, linededup, ngramjoin, pqdedup, quality, simple8b, tokenids, urlfilter
 from graphloom.llm.components import components
 
 DOCS = "doc_id long, text string, source string"
@@ -100,20 +100,6 @@ def test_line_dedup(spark):
     assert got[3].text is None and got[4].text == "" and got[6].text == "a"
 
 
-def test_mixing(spark, rng):
-    rows = [(i, t, "big" if i % 10 else "small") for i, t in enumerate(texts(rng, 400))] + [(900, None, None), (901, "a b", None)]
-    d = docs(spark, rows)
-    whole = mixing.mix(d, budget=None, repeats=2.0).collect()
-    times = {}
-    for r in whole:
-        times[r.doc_id] = times.get(r.doc_id, 0) + 1
-    assert set(times) == {r[0] for r in rows} and max(times.values()) <= 3
-    budget = mixing.mix(d, budget=2000, repeats=4.0)
-    spent = budget.agg(F.sum("mix_tokens")).first()[0]
-    assert 1900 <= spent <= 2200
-    assert mixing.mix(docs(spark, [])).count() == 0
-
-
 def test_near_duplicates(spark, rng):
     base = texts(rng, 6, 120)
     rows = []
