@@ -10,12 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import table
+from .tables import small_batches, table, text_first
 
 #: Words of a window.
 WINDOW = 13
-#: Bytes of benchmark text that one automaton may be built from; more of it is scanned for in further passes.
-AUTOMATON_BYTES = 16 << 20
+#: Characters of benchmark text that one automaton may be built from, and texts that are scanned with one before the next is built.
+#: A benchmark within the former, as those in use are, has one automaton a task. Of a larger one only one is held at a time.
+AUTOMATON_BYTES, SCANNED_BYTES = 16 << 20, 64 << 20
 
 #: Word bytes are digits, letters and all bytes over 0x7F; A-Z are lower-cased, everything else is a space.
 _NORMAL = bytes((c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32) for c in range(256))
@@ -97,7 +98,7 @@ _HITS = pa.schema([("n_words", pa.int64()), ("ranges", pa.list_(pa.list_(pa.int6
 def _scanner(chunks, spans: bool):
     def run(batches):
         built = automaton(windows(chunks[0])) if len(chunks) == 1 else None
-        for batch in batches:
+        for batch in batches if len(chunks) == 1 else _gathered(batches):
             texts = batch.column(0).to_pylist()
             split = [normal(t) for t in texts]
             hits, items = [np.zeros((0, 2), np.int64)] * len(texts), [set() for _ in texts]
@@ -120,6 +121,19 @@ def _scanner(chunks, spans: bool):
     return run
 
 
+def _gathered(batches):
+    """The batches, joined until they hold ``SCANNED_BYTES``."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= SCANNED_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _chunks(benchmark: DataFrame) -> list[list[tuple]]:
     """The benchmark's (item_id, text) in lists of ``AUTOMATON_BYTES`` or one item. The driver holds the benchmark, a set of
     test items made by hand; the corpus itself never comes here. Items without a text are not looked for."""
@@ -139,10 +153,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: tuple = ("doc_id"
 
     A window is 13 consecutive words of an item; an item of fewer words is one window; one without words is none. Null and
     empty texts have no words. Repeated rows are judged each for itself, repeated items count once by id. Items with a null id
-    are looked for too, but are not in items. A very long text is
-    one row, scanned once. No shuffle.
+    are looked for too, but are not in items. A very long text is one row, scanned once. Columns of ``keep`` that are named like the
+    added ones are replaced. An empty table gives an empty one. No shuffle.
     """
-    rows = docs.select(text, *keep)
+    rows = small_batches(text_first(docs, text, keep, ("n_words", "ranges", "spans", "items")))
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[1:])
     return rows.mapInArrow(_scanner(_chunks(benchmark), spans), kept + "n_words bigint, ranges array<array<bigint>>, spans array<array<bigint>>, items array<string>")
 

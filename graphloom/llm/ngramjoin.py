@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shingles import set_id, steps
-from .tables import cut, drop_cut, table
+from .tables import cut, drop_cut, give_back, small_batches, table
 
 #: Two sets are linked when 100 * intersection >= PERCENT * union.
 PERCENT = 80
@@ -56,7 +56,7 @@ def _meta(batches):
 def set_table(docs: DataFrame, keep: tuple = ()) -> DataFrame:
     """doc_id, n_shingles, the set's id (null for an empty set) and the columns ``keep`` of each document; no shuffle."""
     rows = docs.select(F.col("doc_id").cast("long"), "text", *keep)
-    return rows.mapInArrow(_meta, _META + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:]))
+    return small_batches(rows).mapInArrow(_meta, _META + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:]))
 
 
 def _classes(df: np.ndarray) -> np.ndarray:
@@ -159,6 +159,8 @@ def _post(parts: int):
                         yield from send(sets)
                         sets, held = {}, 0
         yield from send(sets)
+        sets.clear()
+        give_back()
 
     return run
 
@@ -208,8 +210,12 @@ def _index(parts: int):
         many = np.diff(np.append(first, len(e)))
         kind = np.where(known, _CLASS, np.repeat(_classes(many), many))
         keep = kind > 1
-        for t, blob in _pack_replies(owners, at[keep], (e | kind)[keep], parts):
+        at, e = at[keep], (e | kind)[keep]
+        twin = known = kind = None
+        for t, blob in _pack_replies(owners, at, e, parts):
             yield _rows([(t, 2, blob)])
+        owners = at = e = None
+        give_back()
 
     return run
 
@@ -267,7 +273,7 @@ def candidate_sets(docs: DataFrame, shingles: int = 0) -> DataFrame:
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shingles // PART_SHINGLES))
     ddl = "part int, kind int, blob binary"
-    posted = docs.select("text").mapInArrow(_post(parts), ddl)
+    posted = small_batches(docs.select("text")).mapInArrow(_post(parts), ddl)
     answered = posted.repartition(parts, "part").mapInArrow(_index(parts), ddl)
     return answered.repartition(parts, "part").mapInArrow(_gather, "sid binary, n long, shared binary, regions array<long>")
 

@@ -5,9 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .tables import table
+from .tables import small_batches, table, text_first
 from .toxicity import held_out, sample
 
 #: Labelled documents that are learnt from, at most, and the longest of them.
@@ -152,9 +151,10 @@ def score_texts(docs: DataFrame, network: Network, threshold: float = THRESHOLD,
     """The columns ``keep`` of each row with score (0 to 1, higher is better) and predicted (1 from ``threshold`` on).
 
     The chunks cover the whole text. Null and empty texts have no chunk and get the score of no answers. Rows are judged each for
-    itself, without a shuffle; very long texts are one row of many chunks.
+    itself, without a shuffle, so repeated rows get the same score each; very long texts are one row of many chunks. Columns of
+    ``keep`` that are named like the added ones are replaced. An empty table gives an empty one.
     """
-    rows = docs.select(text, *keep)
+    rows = small_batches(text_first(docs, text, keep, ("score", "predicted")))
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[1:])
     return rows.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(network), threshold), kept + "score double, predicted int")
 

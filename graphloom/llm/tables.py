@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Texts that are sent to a Python worker at once, at most; a session that asks for fewer gets fewer.
+BATCH_ROWS = 512
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,6 +39,32 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def text_first(docs: DataFrame, text: str, keep: tuple, added: tuple) -> DataFrame:
+    """The column ``text``, under a name that no other has, and the columns ``keep`` without those named like ``added`` ones."""
+    kept, name = [c for c in keep if c not in added], "text"
+    while name in (*kept, *added):
+        name += "_"
+    return docs.select(docs[f"`{text}`"].alias(name), *(docs[f"`{c}`"] for c in kept))
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on sends Python workers batches of at most ``BATCH_ROWS`` rows: texts may be long."""
+    conf = df.sparkSession.conf
+    asked = int(conf.get(_BATCH_CONF))
+    if not 0 < asked <= BATCH_ROWS:
+        conf.set(_BATCH_CONF, str(BATCH_ROWS))
+    return df
+
+
+def give_back() -> None:
+    """Return a worker's freed memory to the system: workers stay for later tasks, and would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch path; one that is gone already is fine."""
     jvm = spark.sparkContext._jvm

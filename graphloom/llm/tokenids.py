@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .tables import scratch, table
+from .tables import give_back, scratch, small_batches, table
 
 #: A segment ends with the document that brings it to so many ids; a longer document is a segment of its own.
 SEGMENT_IDS = 1 << 18
@@ -117,6 +117,7 @@ def _segments(path: str, end_id: int, batches):
                     yield segment()
     if ids:
         yield segment()
+    give_back()
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
@@ -131,7 +132,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) ->
     rows = docs.select("doc_id", "text")
     order = ["doc_id", F.xxhash64("text")]
     spread = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    spread.mapInArrow(lambda b: _segments(tokenizer, end_id, b), SHARDS).write.parquet(path)
+    small_batches(spread).mapInArrow(lambda b: _segments(tokenizer, end_id, b), SHARDS).write.parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import table
+from .tables import give_back, small_batches, table, text_first
 
 #: Labelled documents that are learnt from, at most (those with the smallest hashes of their ids), and the longest of them.
 SAMPLE, SAMPLE_CHARS = 4000, 20_000
@@ -453,6 +453,8 @@ def _scorer(machine, threshold: float):
                 score += [m.probability(np.fromiter(map(get, b), np.float64, len(b))) for b in bags]
             score = np.array(score)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], names=[*batch.schema.names[1:], "score", "predicted"])
+        kept.clear()
+        give_back()
 
     return run
 
@@ -464,7 +466,7 @@ def score_texts(docs: DataFrame, machine: Machine, threshold: float, keep: tuple
     judged each for itself, without a shuffle, so repeated rows get the same score each; very long texts are one row. Columns of
     ``keep`` that are named like the added ones are replaced. An empty table gives an empty one.
     """
-    rows = docs.select(F.col(text).alias("__text"), *(F.col(f"`{c}`") for c in keep if c not in ("score", "predicted")))
+    rows = small_batches(text_first(docs, text, keep, ("score", "predicted")))
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[1:])
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     return rows.mapInArrow(_scorer(shared, threshold), kept + "score double, predicted int")
