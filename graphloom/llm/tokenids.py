@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import zlib
@@ -30,9 +31,13 @@ class Encoder:
     """Encodes texts with a ``tokenizers`` file; each distinct word goes through the library once while it is kept.
 
     Text is cut at spaces and line feeds only, where the tokenizer itself always splits. ``special`` holds the strings of its
-    added tokens; a word that holds one goes to the library as it is. Works for tokenizers that drop white space.
+    added tokens; a word that holds one goes to the library as it is. Works for tokenizers that drop white space, with or without
+    case. Many words go to the library as one text, with a mark between them whose id parts the answer again, if the tokenizer is
+    seen to keep that mark apart.
     """
 
+    MARK = "~"
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -41,11 +46,28 @@ class Encoder:
         self.width = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.words: dict[str, bytes] = {"": b""}
         self.halves: dict[str, bytes] = {}
+        one = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.fold = one("Word") == one("word") and one("\u00c9T\u00c9") == one("\u00e9t\u00e9")
+        mark = one(self.MARK)
+        apart = len(mark) == 1 and one(f"ab {self.MARK} c,{self.MARK}") != one("ab c,") and one(f"ab {self.MARK} {self.MARK} c,") == one("ab") + mark * 2 + one("c,")
+        self.mark = mark[0] if apart else None
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def _library(self, pieces: list[str]) -> list[bytes]:
+    def _each(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.width).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
+    def _library(self, pieces: list[str]) -> list[bytes]:
+        if self.mark is None or len(pieces) < 2:
+            return self._each(pieces)
+        ids = np.array(self.tokenizer.encode_batch_fast([f" {self.MARK} ".join(pieces)], add_special_tokens=False)[0].ids, dtype=self.width)
+        at = np.flatnonzero(ids == self.mark)
+        if len(at) != len(pieces) - 1:  # some piece holds the mark itself: those go alone
+            held = {i: b for i, b in zip((k for k, p in enumerate(pieces) if self.MARK in p), self._each([p for p in pieces if self.MARK in p]))}
+            rest = iter(self._library([p for p in pieces if self.MARK not in p]) if held and len(held) < len(pieces) else self._each([p for p in pieces if self.MARK not in p]))
+            return [held[i] if i in held else next(rest) for i in range(len(pieces))]
+        raw, size = ids.tobytes(), self.width.itemsize
+        return [raw[i:j] for i, j in zip([0, *((at + 1) * size).tolist()], [*(at * size).tolist(), len(raw)])]
+
     @staticmethod
     def _trim(kept: dict, most: int) -> None:
         if len(kept) > most:
@@ -54,25 +76,27 @@ class Encoder:
                     del kept[k]
 
     def _learn(self, new: set[str], special: bool) -> None:
-        split, whole = [], []
-        halves: set[str] = set()
-        for w in new:
-            m = _SIMPLE.fullmatch(w)
-            if m and not (special and any(s in w for s in self.special)):
-                a, b = m.groups()
-                a = a.lower()
-                split.append((w, a, b))
-                halves.add(a)
-                halves.add(b)
-            else:
-                whole.append(w)
-        self._trim(self.halves, CACHE_HALVES)
-        fresh = list(halves.difference(self.halves))
-        self.halves.update(zip(fresh, self._library(fresh)))
-        known = self.halves
-        for w, a, b in split:
-            self.words[w] = known[a] + known[b]
-        self.words.update(zip(whole, self._library(whole)))
+        match, plain, known, words = _SIMPLE.fullmatch, str.lower if self.fold else str, self.halves, self.words
+        apart = [w for w in new if any(s in w for s in self.special)] if special else []
+        new = new.difference(apart)
+        # words of letters and digits alone, then those with marks behind, then all others
+        bare = [w for w in new if w.isascii() and w.isalnum()]
+        new = new.difference(bare)
+        found = {w: m.groups() for w in new if (m := match(w))}
+        whole = [w for w in new if w not in found]
+        self._trim(known, CACHE_HALVES)
+        halves = {plain(w) for w in bare}
+        halves.update(plain(a) for a, _ in found.values())
+        halves.update(b for _, b in found.values())
+        fresh = list(halves.difference(known))
+        known.update(zip(fresh, self._library(fresh)))
+        words.update(zip(whole, self._library(whole)))
+        for w in apart:  # an added token may be a neighbour's end
+            words[w] = self._each([w])[0]
+        for w in bare:
+            words[w] = known[plain(w)]
+        for w, (a, b) in found.items():
+            words[w] = known[plain(a)] + known[b]
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         self._trim(self.words, CACHE_WORDS)
@@ -95,6 +119,7 @@ def encoder(path: str) -> Encoder:
 
 def _segments(path: str, end_id: int, batches):
     shard, seq, first = TaskContext.get().partitionId(), 0, 0
+    gc.disable()  # the caches hold a million strings and no cycle
     encode, schema = encoder(path), pa.schema([("shard", pa.int32()), ("seq", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())])
     ids, parts, held = [], [], 0
 
@@ -117,6 +142,7 @@ def _segments(path: str, end_id: int, batches):
                     yield segment()
     if ids:
         yield segment()
+    gc.enable()
     give_back()
 
 
