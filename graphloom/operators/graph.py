@@ -110,7 +110,7 @@ class Graph:
         entities = not_among(_named(other.entities), "id", self.entities)
         relations = not_among(_named(other.relations), "id", self.relations)
         all_entities, all_relations = self.entities.unionByName(entities), self.relations.unionByName(relations)
-        incoming = valid_triples(other.triples.dropDuplicates(["id"]), all_entities, all_relations)
+        incoming = valid_triples(one_of_each(other.triples), all_entities, all_relations)
         fresh = not_among(incoming, "id", self.triples)
         kept, added = self.triples, fresh
         if wins is not None:
@@ -197,9 +197,21 @@ def _queried(df: DataFrame, name: str, type: str, properties: dict | None, limit
     return df.orderBy("id").limit(limit) if limit else df
 
 
+def canonical(df: DataFrame, column: str) -> Column:
+    """A column as something that can be compared: maps as sorted entries."""
+    c = F.col(column)
+    return F.to_json(F.sort_array(F.map_entries(c))) if dict(df.dtypes)[column].startswith("map") else c
+
+
+def one_of_each(df: DataFrame, key: str = "id") -> DataFrame:
+    """One row of each key, that which sorts first by its columns in order (nulls first), so always the same one."""
+    order = F.struct(*[canonical(df, c) for c in df.columns if c != key])
+    return df.groupBy(key).agg(F.min_by(F.struct(*df.columns), order).alias("row")).select("row.*")
+
+
 def _named(df: DataFrame) -> DataFrame:
     """Rows with an id, one of each."""
-    return df.filter("id is not null and id <> ''").dropDuplicates(["id"])
+    return one_of_each(df.filter("id is not null and id <> ''"))
 
 
 def _inserted(old: DataFrame, new: DataFrame) -> DataFrame:

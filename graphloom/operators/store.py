@@ -1,20 +1,24 @@
 """Graphs on disk: Parquet tables partitioned by graph, upserts, versions, batches, backups.
 
-Spark has no transactions, so each change writes a new folder and then swaps the pointer to the current one. What is being
-written is never what is being read.
+Spark has no transactions, so each change writes a new folder and then a head, a small file under the next number that names it.
+The head with the largest number is the current one. What is being written is never what is being read, and what was loaded
+before stays readable until ``vacuum``.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import dataclass, field
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema
-from .graph import Graph, not_among
+from ..sources.graphs import write_json
+from .graph import Graph, canonical, not_among, one_of_each
 
 TABLES = {"entities": schema.ENTITIES, "relations": schema.RELATIONS, "triples": schema.TRIPLES}
 
@@ -26,16 +30,18 @@ def parse_connection(text: str) -> dict[str, str]:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """New rows win over old ones of the same key; of several new ones the one that sorts first."""
-    fresh = new.dropDuplicates([key])
+    """New rows win over old ones of the same key; of several new ones the one that sorts first by its columns in order."""
+    fresh = one_of_each(new, key)
     return not_among(old, key, fresh, key).unionByName(fresh, allowMissingColumns=True)
 
 
 def upsert_triples(old: DataFrame, new: DataFrame) -> DataFrame:
-    """A triple that is there gets the new confidence only; its properties change if the new one has any."""
-    n = new.dropDuplicates(["id"]).select("id", F.col("confidence").alias("_c"), F.col("properties").alias("_p"))
+    """A triple that is there gets the new confidence only; its properties change if the new one has any. Of several new ones
+    the one that sorts first counts."""
+    fresh = one_of_each(new)
+    n = fresh.select("id", F.col("confidence").alias("_c"), F.col("properties").alias("_p"))
     kept = old.join(n, "id", "left").withColumn("confidence", F.coalesce("_c", "confidence")).withColumn("properties", F.when(F.coalesce(F.size("_p") > 0, F.lit(False)), F.col("_p")).otherwise(F.col("properties"))).drop("_c", "_p")
-    return kept.unionByName(not_among(new.dropDuplicates(["id"]), "id", old).select(*old.columns))
+    return kept.unionByName(not_among(fresh, "id", old).select(*old.columns))
 
 
 def cascade_delete(graph: Graph, ids: DataFrame) -> Graph:
@@ -63,13 +69,23 @@ class Store:
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
     def _put(self, path: str, text: str) -> None:
+        """The file appears whole, under its name, or not at all."""
         fs, p = self._fs(path)
-        out = fs.create(p, True)
+        _, part = self._fs(f"{path}.{uuid.uuid4().hex}.part")
+        out = fs.create(part, True)
         out.write(bytearray(text.encode()))
         out.close()
+        if not fs.rename(part, p):
+            fs.delete(part, False)
+            raise FileExistsError(path)
 
     def _get(self, path: str) -> str:
-        return self.spark.read.text(path, wholetext=True).first()[0]
+        fs, p = self._fs(path)
+        into = fs.open(p)
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(into, "UTF-8")
+        finally:
+            into.close()
 
     def _delete(self, path: str) -> None:
         fs, p = self._fs(path)
@@ -80,25 +96,42 @@ class Store:
     def graphs(self) -> list[str]:
         return self._list(f"{self.path}/graphs")
 
+    def _heads(self, name: str) -> list[str]:
+        return [x for x in self._list(f"{self.path}/graphs/{name}") if x.startswith("head-") and x.endswith(".json")]
+
     def save(self, graph: Graph, name: str | None = None) -> None:
-        """All of a graph, isolated entities and unused relations too, in place of what has its name."""
+        """All of a graph, isolated entities and unused relations too, in place of what has its name. What was there before can
+        still be read by those who loaded it. Of two writers at once the later one gets an error where the file system refuses
+        to rename over a file."""
         name = name or graph.name
-        root, run = f"{self.path}/graphs/{name}", uuid.uuid4().hex
-        for table in TABLES:
-            getattr(graph, table).write.parquet(f"{root}/{run}/{table}")
-        old = self._list(root)
-        self._put(f"{root}/current.json", json.dumps({"run": run, "name": name, "description": graph.description}))
-        for x in old:
-            if x not in ("current.json", run):
-                self._delete(f"{root}/{x}")
+        root, run, heads = f"{self.path}/graphs/{name}", uuid.uuid4().hex, self._heads(name)
+        try:
+            for table in TABLES:
+                getattr(graph, table).write.parquet(f"{root}/{run}/{table}")
+            number = int(heads[-1][5:-5]) + 1 if heads else 1
+            self._put(f"{root}/head-{number:012d}.json", json.dumps({"run": run, "name": name, "description": graph.description}))
+        except BaseException:
+            self._delete(f"{root}/{run}")
+            raise
 
     def load(self, name: str) -> Graph:
-        root = f"{self.path}/graphs/{name}"
-        if not self._exists(f"{root}/current.json"):
+        root, heads = f"{self.path}/graphs/{name}", self._heads(name)
+        if not heads:
             raise KeyError(f"no graph {name}")
-        head = json.loads(self._get(f"{root}/current.json"))
+        head = json.loads(self._get(f"{root}/{heads[-1]}"))
         return Graph(*(self.spark.read.schema(s).parquet(f"{root}/{head['run']}/{t}") for t, s in TABLES.items()), name, head["description"])
 
+    def vacuum(self, name: str, keep: int = 1) -> int:
+        """Delete all but the ``keep`` last states of a graph; how many folders went. Nobody may be reading them any more."""
+        root, heads = f"{self.path}/graphs/{name}", self._heads(name)
+        used = {json.loads(self._get(f"{root}/{h}"))["run"] for h in heads[-keep:]}
+        for h in heads[:-keep]:
+            self._delete(f"{root}/{h}")
+        gone = [x for x in self._list(root) if not x.startswith("head-") and x not in used]
+        for x in gone:
+            self._delete(f"{root}/{x}")
+        return len(gone)
+
     def delete(self, name: str) -> bool:
         there = self._exists(f"{self.path}/graphs/{name}")
         self._delete(f"{self.path}/graphs/{name}")
@@ -123,16 +156,20 @@ class Store:
 
     def create_version(self, name: str, description: str = "", author: str = "") -> str:
         """A copy of the current graph under the next number, with what changed since the last version."""
-        g, root = self.load(name), f"{self.path}/versions/{name}"
-        number = len(self.versions(name)) + 1
+        g, root, before = self.load(name), f"{self.path}/versions/{name}", self.versions(name)
+        number = max((v["number"] for v in before), default=0) + 1
         id_ = f"{name}_{number:06d}"
-        base = self.load_version(name, self.versions(name)[-1]["id"]) if number > 1 else Graph.empty(self.spark)
-        for table in TABLES:
-            getattr(g, table).write.parquet(f"{root}/{id_}/{table}")
-        changes = diff(base, g)
-        changes.write.parquet(f"{root}/{id_}/changes")
-        counted = {f"{r.kind}_{r.change}": r.n for r in changes.groupBy("kind", "change").agg(F.count("*").alias("n")).collect()}
-        self._put(f"{root}/{id_}/version.json", json.dumps({"id": id_, "graph": name, "number": number, "description": description, "author": author, "changes": counted}))
+        base = self.load_version(name, before[-1]["id"]) if before else Graph.empty(self.spark)
+        try:
+            for table in TABLES:
+                getattr(g, table).write.parquet(f"{root}/{id_}/{table}")
+            diff(base, g).write.parquet(f"{root}/{id_}/changes")
+            changes = self.spark.read.parquet(f"{root}/{id_}/changes")
+            counted = {f"{r.kind}_{r.change}": r.n for r in changes.groupBy("kind", "change").agg(F.count("*").alias("n")).collect()}
+            self._put(f"{root}/{id_}/version.json", json.dumps({"id": id_, "graph": name, "number": number, "description": description, "author": author, "created": time.time(), "changes": counted}))
+        except BaseException:  # a version is there whole or not at all
+            self._delete(f"{root}/{id_}")
+            raise
         return id_
 
     def versions(self, name: str) -> list[dict]:
@@ -149,19 +186,25 @@ class Store:
     def rollback(self, name: str, id_: str) -> None:
         self.save(self.load_version(name, id_), name)
 
-    def compare(self, name: str, a: str, b: str) -> str:
-        """What changed from a to b, as JSON: ids by kind and change."""
-        found = diff(self.load_version(name, a), self.load_version(name, b)).groupBy("kind", "change").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-        out: dict = {k: {c: [] for c in ("added", "modified", "deleted")} for k in ("entity", "relation", "triple")}
-        for r in found.collect():
-            out[r.kind][r.change] = r.ids
-        return json.dumps({"base": a, "new": b, "changes": out}, ensure_ascii=False)
+    def compare(self, name: str, a: str, b: str) -> DataFrame:
+        """kind, id, change: what changed from version a to version b."""
+        return diff(self.load_version(name, a), self.load_version(name, b))
+
+    def export_comparison(self, name: str, a: str, b: str, path: str) -> None:
+        """The same as JSON lines, in files by kind and change."""
+        self.compare(name, a, b).write.partitionBy("kind", "change").json(path)
+
+    def export_version(self, name: str, id_: str, path: str) -> None:
+        """A version's graph as JSON lines, with its head."""
+        head = self.version(name, id_)
+        write_json(self.load_version(name, id_), path)
+        self._put(f"{path}/version.json", json.dumps(head))
 
     # Backups
 
     def backup(self, kind: str = "full", name: str = "", base: str | None = None) -> str:
         """A full copy of all graphs, or what differs from the backup ``base``. The counts of each graph go with it."""
-        number = len(self.backups()) + 1
+        number = max((b["number"] for b in self.backups()), default=0) + 1
         id_ = f"{name or kind}_{number:06d}"
         counts = {}
         for graph in self.graphs():
@@ -171,12 +214,12 @@ class Store:
                 rows = getattr(g, table)
                 if kind == "incremental":
                     before = getattr(self._backed(base, graph), table)
-                    key = F.xxhash64(*[_canonical(rows, c) for c in rows.columns])
-                    rows = rows.withColumn("_k", key).join(before.select("id", F.xxhash64(*[_canonical(before, c) for c in before.columns]).alias("_k")), ["id", "_k"], "left_anti").drop("_k").withColumn("gone", F.lit(False))
+                    key = F.xxhash64(*[canonical(rows, c) for c in rows.columns])
+                    rows = rows.withColumn("_k", key).join(before.select("id", F.xxhash64(*[canonical(before, c) for c in before.columns]).alias("_k")), ["id", "_k"], "left_anti").drop("_k").withColumn("gone", F.lit(False))
                     gone = before.join(getattr(g, table).select("id"), "id", "left_anti").withColumn("gone", F.lit(True))
                     rows = rows.unionByName(gone)
                 rows.write.parquet(f"{self.path}/backups/{id_}/{graph}/{table}")
-        self._put(f"{self.path}/backups/{id_}/backup.json", json.dumps({"id": id_, "number": number, "kind": kind, "base": base, "counts": counts}))
+        self._put(f"{self.path}/backups/{id_}/backup.json", json.dumps({"id": id_, "number": number, "kind": kind, "base": base, "created": time.time(), "counts": counts}))
         return id_
 
     def backups(self) -> list[dict]:
@@ -216,27 +259,22 @@ class Store:
         self._delete(f"{self.path}/backups/{id_}")
         return True
 
-    def cleanup(self, keep: int = 10) -> list[str]:
-        """Delete the oldest backups beyond ``keep`` that nothing rests on."""
-        gone = []
-        for b in self.backups()[: max(0, len(self.backups()) - keep)]:
-            if self.delete_backup(b["id"]):
+    def cleanup(self, keep: int = 10, days: float | None = 30) -> list[str]:
+        """Delete backups beyond the newest ``keep`` and those older than ``days``, but none that another rests on."""
+        found, gone, now = self.backups(), [], time.time()
+        for place, b in enumerate(reversed(found)):  # the newest first, so what rests on a backup goes before it
+            old = days is not None and now - b.get("created", now) > days * 86_400
+            if (place >= keep or old) and self.delete_backup(b["id"]):
                 gone.append(b["id"])
         return gone
 
 
-def _canonical(df: DataFrame, column: str):
-    """A column as something that can be compared: maps as sorted entries."""
-    c = F.col(column)
-    return F.to_json(F.sort_array(F.map_entries(c))) if dict(df.dtypes)[column].startswith("map") else c
-
-
 def diff(base: Graph, new: Graph) -> DataFrame:
     """kind, id, change (added, modified, deleted) by content: a full outer join on the id and a comparison of hashes."""
     out = None
     for kind, a, b in (("entity", base.entities, new.entities), ("relation", base.relations, new.relations), ("triple", base.triples, new.triples)):
         # nulls, too, must differ from values
-        key = lambda df: F.sha2(F.to_json(F.struct(*[_canonical(df, c).alias(c) for c in sorted(df.columns) if c != "id"])), 256)
+        key = lambda df: F.sha2(F.to_json(F.struct(*[canonical(df, c).alias(c) for c in sorted(df.columns) if c != "id"])), 256)
         x, y = a.select("id", key(a).alias("x")), b.select("id", key(b).alias("y"))
         change = F.when(F.col("x").isNull(), "added").when(F.col("y").isNull(), "deleted").when(F.col("x") != F.col("y"), "modified")
         one = x.join(y, "id", "full_outer").select(F.lit(kind).alias("kind"), "id", change.alias("change")).filter("change is not null")
@@ -257,32 +295,72 @@ class Batch:
     def __init__(self, store: Store):
         self.store, self.operations = store, {}
 
-    def run(self, kind: str, name: str, rows: DataFrame) -> str:
-        """``kind`` is save_ or delete_ with entities, relations or triples."""
+    def run(self, kind: str, name: str, rows: DataFrame, errors: int = 100) -> str:
+        """``kind`` is save_ or delete_ with entities, relations or triples. Rows without an id are errors and are left out; with
+        more than ``errors`` of them nothing is written."""
         op = uuid.uuid4().hex
+        self._begin(op, kind)
+        self._run(op, kind, name, rows, errors)
+        return op
+
+    def start(self, kind: str, name: str, rows: DataFrame, errors: int = 100) -> str:
+        """The same beside the caller, who can ask for its status, cancel it or wait."""
+        op = uuid.uuid4().hex
+        self._begin(op, kind)
+
+        def work():
+            try:
+                self._run(op, kind, name, rows, errors)
+            except Exception:  # its status says so
+                pass
+
+        thread = InheritableThread(target=work, session=self.store.spark)
+        self.operations[op]["thread"] = thread
+        thread.start()
+        return op
+
+    def wait(self, op: str) -> dict:
+        self.operations[op]["thread"].join()
+        return self.status(op)
+
+    def export(self, name: str, path: str) -> None:
+        """A graph as JSON lines."""
+        write_json(self.store.load(name), path)
+
+    def _begin(self, op: str, kind: str) -> None:
+        self.operations[op] = {"id": op, "kind": kind, "state": "running", "total": 0, "done": 0, "errors": 0, "error": ""}
+
+    def _run(self, op: str, kind: str, name: str, rows: DataFrame, errors: int) -> None:
         action, table = kind.split("_")
-        status = self.operations[op] = {"id": op, "kind": kind, "state": "running", "total": rows.count(), "done": 0, "error": ""}
-        context = self.store.spark.sparkContext
+        status, context = self.operations[op], self.store.spark.sparkContext
         context.setJobGroup(op, f"{kind} {name}", True)
         try:
-            (self.store.save_rows if action == "save" else self.store.delete_rows)(name, **{table: rows})
-            status.update(state="done", done=status["total"])
+            named = F.coalesce(F.col("id") != "", F.lit(False))
+            n = rows.agg(F.count("*").alias("all"), F.count_if(~named).alias("bad")).first()
+            status.update(total=n["all"], errors=n.bad)
+            if n.bad > errors:
+                raise ValueError(f"{n.bad} rows have no id")
+            if status["state"] == "cancelled":
+                raise RuntimeError("cancelled")
+            (self.store.save_rows if action == "save" else self.store.delete_rows)(name, **{table: rows.filter(named)})
+            status.update(state="done", done=n["all"] - n.bad)
         except Exception as e:
-            status.update(state="failed", error=str(e)[:100])
+            if status["state"] != "cancelled":
+                status.update(state="failed", error=str(e)[:100])
             raise
         finally:
             context.setLocalProperty("spark.jobGroup.id", None)
-        return op
 
     def status(self, op: str) -> dict:
-        s = self.operations[op]
+        s = {k: v for k, v in self.operations[op].items() if k != "thread"}
         return s | {"percent": 100.0 if not s["total"] else 100.0 * s["done"] / s["total"]}
 
     def cancel(self, op: str) -> bool:
         if self.operations.get(op, {}).get("state") != "running":
             return False
-        self.store.spark.sparkContext.cancelJobGroup(op)
         self.operations[op]["state"] = "cancelled"
+        # jobs of the operation that have not begun yet must not run either
+        self.store.spark.sparkContext._jsc.sc().cancelJobGroupAndFutureJobs(op)
         return True
 
     def cleanup(self) -> int:
