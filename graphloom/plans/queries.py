@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chunks, metadata, names, text, tokens, vectors
 from ..functions.names import triple_id
-from ..operators import answers, caches, dialogue, extraction, questions, search, similar, store, tfidf
+from ..operators import answers, caches, dialogue, extraction, preprocess, questions, search, similar, store, tfidf
 from ..operators import graph as g
 from ..sources import graphs
 from ..sources import sql as gsql
@@ -365,6 +365,20 @@ def doc_chunk_metadata(spark, d):
 
 _MARKS = "[!-/:-@\\[-`{-~]"
 _TOK = f"list_filter(list_transform(string_split_regex(lower(text), '{_WS}+'), lambda x: regexp_replace(x, '{_MARKS}', '', 'g')), lambda x: x <> '')"
+_SEGMENTS = "regexp_extract_all(t, '[A-Za-z0-9]+|[\\p{L}\\p{N}]+')"
+
+
+@query(
+    f"with c as (select doc_id, {_CLEAN.format('text')} as t from documents), w as (select doc_id, unnest({_SEGMENTS}) as word from c), k as (select doc_id, word, count(*) as n, row_number() over (partition by doc_id order by count(*) desc, word) as place from w group by 1, 2), "
+    "j as (select doc_id, string_agg(word, ', ' order by place) as keywords from k where place <= 5 group by 1) "
+    f"select doc_id, greatest(1, ceil(length(t) / 800.0))::int as n_chunks, strlen(t)::varchar as character_count, len({_SEGMENTS})::int as n_tokens, j.keywords from c left join j using (doc_id)"
+)
+def doc_preprocess(spark, d):
+    steps = [preprocess.cleaning(), preprocess.splitting, preprocess.extracting_metadata, preprocess.tokenizing(), preprocess.extracting_keywords(stop_words=())]
+    found = preprocess.Pipeline(steps)(_docs(spark, d), preprocess.Options(keyword_count=5))
+    return found.select("doc_id", F.size("chunks").alias("n_chunks"), F.col("metadata")["character_count"].alias("character_count"), F.size("tokens").alias("n_tokens"), F.col("metadata")["keywords"].alias("keywords"))
+
+
 _TF = f"tok as (select doc_id, unnest({_TOK}) as term from documents), tf as (select doc_id, term, count(*) as tf from tok group by 1, 2), n as (select count(*) as n from documents), df as (select term, count(*) as df from tf group by 1), idf as (select term, df, ln((n + 1.0::double) / (df + 1.0::double)) + 1 as idf from df, n)"
 
 
