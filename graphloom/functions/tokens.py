@@ -20,7 +20,7 @@ SEED_WORDS = ("北京", "上海", "中国", "天安门", "清华大学", "北京
 
 def plain_tokens(c: Column) -> Column:
     """Between white space, lower-cased, ASCII marks out, empty ones dropped."""
-    return F.filter(F.transform(F.split(F.lower(c), f"{SPACE}+"), lambda t: F.regexp_replace(t, MARKS, "")), lambda t: t != "")
+    return F.array_remove(F.split(F.regexp_replace(F.lower(c), f"{MARKS}+", ""), f"{SPACE}+"), "")
 
 
 def drop_stop_words(tokens: Column, stop_words=STOP_WORDS) -> Column:

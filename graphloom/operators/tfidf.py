@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import drop_stop_words, plain_tokens
 
 
 def term_frequencies(docs: DataFrame, text: str = "text", tokenizer: Callable[[Column], Column] = plain_tokens, stop_words=(), binary: bool = False) -> DataFrame:
-    """doc_id, term, tf. Raw counts, or 1 each if ``binary``."""
+    """doc_id, term, tf. Raw counts, or 1 each if ``binary``.
+
+    The terms are dealt out by document: counting, norms and ranks by document need no further exchange, and what counts them
+    twice in one plan, as a vocabulary and its use do, shares this one.
+    """
     tokens = tokenizer(F.col(text))
     if stop_words:
         tokens = drop_stop_words(tokens, stop_words)
-    counted = docs.select("doc_id", F.explode(tokens).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    counted = docs.select("doc_id", F.explode(tokens).alias("term")).repartition("doc_id").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     return counted.withColumn("tf", F.lit(1).cast("long")) if binary else counted
 
 
@@ -67,8 +72,13 @@ class TfIdf:
 
 
 def feature_names(vocabulary: DataFrame) -> DataFrame:
-    """term and its index by df (falling) and name."""
-    return vocabulary.select("term", (F.row_number().over(Window.orderBy(F.desc("df"), "term")) - 1).alias("index"))
+    """term and its index by df (falling) and name. Terms of one df and two first letters are numbered among themselves, after
+    all that come before: one window holds the sizes of these groups, the others a group each."""
+    dealt = vocabulary.select("term", "df").withColumn("letter", F.substring("term", 1, 2))
+    sizes = dealt.groupBy("df", "letter").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.sum("n").over(Window.orderBy(F.desc("df"), "letter")) - F.col("n")).drop("n")
+    inner = F.row_number().over(Window.partitionBy("df", "letter").orderBy("term"))
+    return dealt.join(before, ["df", "letter"]).select("term", (F.col("before") + inner - 1).cast("int").alias("index"))
 
 
 def keywords(docs: DataFrame, k: int = 10, text: str = "text", idf: DataFrame | None = None, vectorizer: TfIdf | None = None) -> DataFrame:
@@ -89,3 +99,22 @@ def create_vectorizer(kind: str, **params) -> TfIdf:
         raise ValueError(f"unknown vectorizer {kind}")
     kinds = {"min_df": float, "max_df": float, "max_features": int, "smooth": float}
     return VECTORIZERS[kind](**{k: kinds[k](v) if k in kinds else v for k, v in params.items()})
+
+
+def save_vectorizer(vectorizer: TfIdf, vocabulary: DataFrame, path: str) -> None:
+    """Parameters and vocabulary below ``path``; the tokenizer is code and is not saved."""
+    params = {k: v for k, v in vars(vectorizer).items() if k != "tokenizer"}
+    vocabulary.write.parquet(f"{path}/vocabulary")
+    vocabulary.sparkSession.createDataFrame([(json.dumps(params),)], "value string").coalesce(1).write.text(f"{path}/parameters")
+
+
+def load_vectorizer(spark: SparkSession, path: str, tokenizer: Callable[[Column], Column] = plain_tokens) -> tuple[TfIdf, DataFrame]:
+    """What ``save_vectorizer`` wrote."""
+    params = json.loads(spark.read.text(f"{path}/parameters").first()[0])
+    return TfIdf(**{**params, "stop_words": tuple(params["stop_words"])}, tokenizer=tokenizer), spark.read.parquet(f"{path}/vocabulary")
+
+
+def load_stop_words(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """One word a line; empty lines and those that begin with # are left out."""
+    rows = spark.read.text(path).select(F.trim("value").alias("w")).filter("w <> '' and w not like '#%'").distinct().collect()
+    return tuple(sorted(r.w for r in rows))
