@@ -1,8 +1,11 @@
 """Operator 5: near-duplicate vectors by product quantisation: inverted lists, residual codes, table look-ups, exact rerank.
 
-The search loses nothing. Vectors are scaled to unit length, so a cosine bound is a bound on the distance. A vector probes every
-list whose border with its own list is within that distance, and the error of each code is kept, so that a look-up distance can
-only rule out vectors that are too far away. What remains is compared by cosine in double precision.
+By default the search loses nothing. Vectors are scaled to unit length, so a cosine bound is a bound on the distance. A vector
+probes every list whose border with its own list is within that distance, and the error of each code is kept, so that a look-up
+distance can only rule out vectors that are too far away. What remains is compared by cosine in double precision. Of two lists
+only the vectors of the first ask the second. Where the vectors of a label have no structure that lists can follow, borders are
+near and most lists are probed: then the work grows with the square of a label's vectors. With ``probes`` a vector asks only that
+many of its nearest lists, whose number grows with the vectors; links that cross other borders are lost.
 """
 
 from __future__ import annotations
@@ -19,8 +22,9 @@ from .tables import cut, table
 
 #: Vectors that the lists and codes are fitted on, at most: those with the smallest hashes.
 SAMPLE = 16_384
-#: Coarse lists, subspaces and codes of each subspace, at most.
-LISTS, PARTS, CODES = 64, 8, 256
+#: Coarse lists, at least; subspaces and codes of each subspace, at most. With a number of probes there are more lists: the square
+#: root of the number of vectors, while the sample has ``PER_LIST`` vectors for each.
+LISTS, PARTS, CODES, PER_LIST = 64, 8, 256, 16
 #: Vectors and queries of a block; larger lists are split into several.
 BLOCK, QUERIES = 2048, 2048
 _SLACK = 1e-6
@@ -50,10 +54,11 @@ def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 class Quantiser:
     """Coarse centroids and the code books of the residuals, fitted on unit vectors."""
 
-    def __init__(self, sample: np.ndarray, cosine: float, seed: int = 0):
+    def __init__(self, sample: np.ndarray, cosine: float, lists: int = LISTS, asks: int | None = None, seed: int = 0):
         rng = np.random.default_rng(seed)
+        self.asks = asks
         self.reach = math.sqrt(max(0.0, 2 - 2 * cosine)) + _SLACK
-        self.lists = _kmeans(sample, LISTS, rng)
+        self.lists = _kmeans(sample, lists, rng)
         self.edges = np.array_split(np.arange(sample.shape[1]), min(PARTS, sample.shape[1]))
         rest = sample - self.lists[_nearest(sample, self.lists)]
         self.books = [_kmeans(np.ascontiguousarray(rest[:, e]), CODES, rng) for e in self.edges]
@@ -68,10 +73,15 @@ class Quantiser:
         return home, codes, error
 
     def probes(self, x: np.ndarray, home: np.ndarray) -> np.ndarray:
-        """Row and list of each list that may hold a vector within reach: x is not further than that from the lists' border."""
+        """Row and list of each list that x asks: its own, and later ones that may hold a vector within reach, as x is not further
+        than that from the lists' border. With a number of asks, the nearest of those, earlier ones too."""
         d = ((x * x).sum(1)[:, None] - 2 * x @ self.lists.T) + (self.lists**2).sum(1)
         to_border = (d - d[np.arange(len(x)), home][:, None]) / (2 * self.between[home])
         near = to_border <= self.reach
+        if self.asks is None:
+            near &= np.arange(len(self.lists)) > home[:, None]
+        elif self.asks < near.shape[1]:
+            near &= to_border <= np.partition(to_border, self.asks - 1, axis=1)[:, self.asks - 1 : self.asks]
         near[np.arange(len(x)), home] = True
         return np.argwhere(near)
 
@@ -107,7 +117,7 @@ def _assign(model):
                 row = np.concatenate([np.arange(len(x)), probes[:, 0]])
                 kept = some.take(pa.array(row)).select(["uid", "label", "times", "embedding"])
                 code = pa.array([c.tobytes() for c in codes] + [None] * len(probes), pa.binary())
-                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(np.concatenate([home, probes[:, 1]]), pa.int32()), code, pa.array(np.concatenate([error, np.full(len(probes), np.nan)]))], names=["uid", "label", "times", "embedding", "list", "code", "error"])
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(np.concatenate([home, probes[:, 1]]), pa.int32()), code, pa.array(np.concatenate([error, np.where((probes[:, 1] == home[probes[:, 0]]) | (q.asks is not None), 0.0, 1.0)]))], names=["uid", "label", "times", "embedding", "list", "code", "error"])
 
     return run
 
@@ -143,6 +153,7 @@ def _search(model, cosine: float):
             codes = np.frombuffer(b"".join(one(db, "code").to_pylist()), np.uint8).reshape(db.num_rows, -1)
             allowed = (q.reach + one(db, "error").to_numpy() + _SLACK) ** 2
             times, ids, asked = (one(db, "times").to_numpy(), one(db, "uid").to_numpy(), one(ask, "uid").to_numpy())
+            many, back = one(ask, "times").to_numpy(), one(ask, "error").to_numpy() > 0  # these are not asked in return
             at = table.column("list")[0].as_py()
             for lo in range(0, len(asked), 512):
                 i, j = np.nonzero(q.look_up(raw_q[lo : lo + 512], at, codes) <= allowed)
@@ -156,6 +167,10 @@ def _search(model, cosine: float):
                     uid.append(asked[n > 0])
                     link.append(n[n > 0].astype(np.int64))
                     edges.append(_forest(asked[i], ids[j]))
+                    i, j = i[back[i]], j[back[i]]
+                    n = np.bincount(j, weights=many[i], minlength=len(ids))
+                    uid.append(ids[n > 0])
+                    link.append(n[n > 0].astype(np.int64))
         uid = np.concatenate([np.zeros(0, np.int64), *uid])
         pairs = np.concatenate([np.zeros((0, 2), np.int64), *edges])
         return pa.table({"uid": pa.array(np.concatenate([uid, pairs[:, 0]]), pa.int64()), "links": pa.array(np.concatenate([np.zeros(0, np.int64), *link, np.zeros(len(pairs), np.int64)]), pa.int64()), "other": pa.concat_arrays([pa.nulls(len(uid), pa.int64()), pa.array(pairs[:, 1], pa.int64())])})
@@ -163,12 +178,13 @@ def _search(model, cosine: float):
     return run
 
 
-def find_links(distinct: DataFrame, cosine: float) -> DataFrame:
+def find_links(distinct: DataFrame, cosine: float, probes: int | None = None) -> DataFrame:
     """(uid, links, other) for distinct vectors (uid, label, embedding, times) of one length: how many rows are linked to uid in
     one block of one list, or, with ``other``, an edge. The edges join what is linked, with at most a row for each vector of a block."""
     spark = distinct.sparkSession
     sample = distinct.orderBy(F.xxhash64("uid"), "uid").limit(SAMPLE).select("embedding").toArrow().column(0).combine_chunks()
-    model = spark.sparkContext.broadcast(Quantiser(_unit(_matrix(sample)), cosine))
+    lists = LISTS if probes is None else max(LISTS, min(len(sample) // PER_LIST, math.isqrt(distinct.count())))
+    model = spark.sparkContext.broadcast(Quantiser(_unit(_matrix(sample)), cosine, lists, probes))
     label = distinct.schema["label"].dataType.simpleString()
     spread = cut(distinct.select("uid", "label", "times", "embedding").mapInArrow(_assign(model), f"uid long, label {label}, times long, embedding array<{distinct.schema['embedding'].dataType.elementType.simpleString()}>, list int, code binary, error double"), "probes")
     sizes = spread.groupBy("label", "list").agg(F.ceil(F.count("code") / F.lit(BLOCK)).cast("int").alias("blocks"), F.ceil((F.count("*") - F.count("code")) / F.lit(QUERIES)).cast("int").alias("asks"))
@@ -180,8 +196,9 @@ def find_links(distinct: DataFrame, cosine: float) -> DataFrame:
     return db.unionByName(ask).groupBy("label", "list", "block", "ask").applyInArrow(_search(model, cosine), "uid long, links long, other long")
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
-    """vec_id, n_links, component_id, kept of each row of ``vectors`` (vec_id, embedding, label).
+def near_vectors(vectors: DataFrame, cosine: float = 0.93, probes: int | None = None) -> DataFrame:
+    """vec_id, n_links, component_id, kept of each row of ``vectors`` (vec_id, embedding, label). With ``probes`` a vector asks at
+    most so many lists: links are then lost, never invented.
 
     Rows are linked when their labels are equal and not null and their cosine is at least ``cosine``. Null, empty and zero
     vectors, those with null or non-finite components and those of another length link with nothing. Equal vectors are
@@ -195,7 +212,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     distinct = cut(distinct, "vectors")
     found = None
     for row in distinct.select(F.size("embedding").alias("n")).distinct().toLocalIterator():
-        one = find_links(distinct.filter(F.size("embedding") == row.n), cosine)
+        one = find_links(distinct.filter(F.size("embedding") == row.n), cosine, probes)
         found = one if found is None else found.union(one)
     if found is None:
         return v.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
