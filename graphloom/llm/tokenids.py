@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,14 +98,27 @@ class Encoder:
         for w, (a, b) in found.items():
             words[w] = known[plain(a)] + known[b]
 
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+    def __call__(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
+        """The ids of each text. Arrow numbers the distinct words, so that only those are looked up one by one."""
+        column = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts
+        if not len(column):
+            return []
+        column = column.fill_null("")
+        cut_up = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
+        numbered = cut_up.flatten().dictionary_encode()
+        distinct, place = numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), numbered.indices.to_numpy()
         self._trim(self.words, CACHE_WORDS)
-        cut_up = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*cut_up).difference(self.words)
+        new = {w for w in distinct if w not in self.words}
         if new:
-            self._learn(new, any(s in t for s in self.special for t in texts if t))
-        get = self.words.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), self.width) for words in cut_up]
+            self._learn(new, any(pc.any(pc.match_substring(column, s)).as_py() for s in self.special))
+        blobs = list(map(self.words.__getitem__, distinct))
+        flat = np.frombuffer(b"".join(blobs), self.width)
+        size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // self.width.itemsize
+        start, n = (np.cumsum(size) - size)[place], size[place]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(start - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        edges = np.concatenate([[0], ends])[cut_up.offsets.to_numpy() - cut_up.offsets[0].as_py()]
+        return [ids[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -119,7 +132,6 @@ def encoder(path: str) -> Encoder:
 
 def _segments(path: str, end_id: int, batches):
     shard, seq, first = TaskContext.get().partitionId(), 0, 0
-    gc.disable()  # the caches hold a million strings and no cycle
     encode, schema = encoder(path), pa.schema([("shard", pa.int32()), ("seq", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())])
     ids, parts, held = [], [], 0
 
@@ -132,17 +144,14 @@ def _segments(path: str, end_id: int, batches):
 
     end = np.array([end_id], dtype=encode.width)
     for batch in batches:
-        for at in range(0, batch.num_rows, 128):
-            some = batch.slice(at, 128)
-            for doc, part in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist()), strict=True):
-                ids.append(doc)
-                parts.append(np.concatenate([part, end]))
-                held += len(part) + 1
-                if held >= SEGMENT_IDS:
-                    yield segment()
+        for doc, part in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+            ids.append(doc)
+            parts.append(np.concatenate([part, end]))
+            held += len(part) + 1
+            if held >= SEGMENT_IDS:
+                yield segment()
     if ids:
         yield segment()
-    gc.enable()
     give_back()
 
 
