@@ -75,28 +75,34 @@ class Encoder:
                 if k:
                     del kept[k]
 
-    def _learn(self, new: set[str], special: bool) -> None:
-        match, plain, known, words = _SIMPLE.fullmatch, str.lower if self.fold else str, self.halves, self.words
-        apart = [w for w in new if any(s in w for s in self.special)] if special else []
-        new = new.difference(apart)
+    def _learn(self, new: list[str], special: bool) -> None:
+        """The ids of words that are not kept; ``special`` if any of them may hold an added token."""
+        match, known, words = _SIMPLE.fullmatch, self.halves, self.words
+        if special:
+            apart = [w for w in new if any(s in w for s in self.special)]
+            words.update(zip(apart, self._each(apart)))
+            apart = set(apart)
+            new = [w for w in new if w not in apart]
         # words of letters and digits alone, then those with marks behind, then all others
-        bare = [w for w in new if w.isascii() and w.isalnum()]
-        new = new.difference(bare)
-        found = {w: m.groups() for w in new if (m := match(w))}
-        whole = [w for w in new if w not in found]
+        bare, front, back, marked, whole = [], [], [], [], []
+        for w in new:
+            if w.isalnum() and w.isascii():
+                bare.append(w)
+            elif m := match(w):
+                a, b = m.groups()
+                marked.append(w)
+                front.append(a)
+                back.append(b)
+            else:
+                whole.append(w)
+        low, front = (list(map(str.lower, bare)), list(map(str.lower, front))) if self.fold else (bare, front)
         self._trim(known, CACHE_HALVES)
-        halves = {plain(w) for w in bare}
-        halves.update(plain(a) for a, _ in found.values())
-        halves.update(b for _, b in found.values())
-        fresh = list(halves.difference(known))
+        fresh = [h for h in {*low, *front, *back} if h not in known]
         known.update(zip(fresh, self._library(fresh)))
         words.update(zip(whole, self._library(whole)))
-        for w in apart:  # an added token may be a neighbour's end
-            words[w] = self._each([w])[0]
-        for w in bare:
-            words[w] = known[plain(w)]
-        for w, (a, b) in found.items():
-            words[w] = known[plain(a)] + known[b]
+        get = known.__getitem__
+        words.update(zip(bare, map(get, low)))
+        words.update(zip(marked, map(bytes.__add__, map(get, front), map(get, back))))
 
     def __call__(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
         """The ids of each text. Arrow numbers the distinct words, so that only those are looked up one by one."""
@@ -108,7 +114,7 @@ class Encoder:
         numbered = cut_up.flatten().dictionary_encode()
         distinct, place = numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), numbered.indices.to_numpy()
         self._trim(self.words, CACHE_WORDS)
-        new = {w for w in distinct if w not in self.words}
+        new = [w for w in distinct if w not in self.words]
         if new:
             self._learn(new, any(pc.any(pc.match_substring(column, s)).as_py() for s in self.special))
         blobs = list(map(self.words.__getitem__, distinct))
