@@ -42,7 +42,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row at least once; rows of small sources up to one and a half times, to flatten the sources' shares."""
+    """Every row at least once; small sources up to one and a half times over, to flatten the sources' shares."""
     return mixing.mix(docs, budget=None, repeats=1.5).select(*COLUMNS)
 
 
@@ -69,6 +69,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: The classifier, the join's pivots and the tokenizer are beyond SQL; tests/llm/test_pipeline.py holds drop_near_copies and
-#: drop_contaminated against small cases. The other stages and ``run`` have no test of their own, only their operators do.
+#: The classifier, the join's pivots and the tokenizer are beyond SQL; tests/llm/test_pipeline.py runs all stages over planted
+#: cases, and holds drop_near_copies, drop_contaminated and mix_sources against what they should keep.
 ORACLE_SQL = None
