@@ -20,6 +20,8 @@ from .tables import give_back, scratch, small_batches, table
 SEGMENT_IDS = 1 << 18
 #: Words, and halves of words, that a worker keeps ready, at most; then the older half of them is dropped.
 CACHE_WORDS, CACHE_HALVES = 500_000, 1_000_000
+#: A batch of fewer bytes is encoded with the next one.
+PAIR_BYTES = 4 << 20
 SHARDS = "shard int, seq int, first long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
 
 #: Letters and digits that neither normalisation nor a neighbouring mark can change, then ASCII marks without the apostrophe.
@@ -114,15 +116,19 @@ class Encoder:
         numbered = cut_up.flatten().dictionary_encode()
         distinct, place = numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), numbered.indices.to_numpy()
         self._trim(self.words, CACHE_WORDS)
-        new = [w for w in distinct if w not in self.words]
-        if new:
+        blobs = list(map(self.words.get, distinct))
+        at = [i for i, b in enumerate(blobs) if b is None]
+        if at:
+            new = [distinct[i] for i in at]
             self._learn(new, any(pc.any(pc.match_substring(column, s)).as_py() for s in self.special))
-        blobs = list(map(self.words.__getitem__, distinct))
+            for i, b in zip(at, map(self.words.__getitem__, new)):
+                blobs[i] = b
         flat = np.frombuffer(b"".join(blobs), self.width)
         size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // self.width.itemsize
         start, n = (np.cumsum(size) - size)[place], size[place]
         ends = np.cumsum(n)
-        ids = flat[np.repeat(start - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        whole = np.int32 if len(flat) + (ends[-1] if len(ends) else 0) < 1 << 30 else np.int64
+        ids = flat[np.repeat((start - (ends - n)).astype(whole), n) + np.arange(int(ends[-1]) if len(ends) else 0, dtype=whole)]
         edges = np.concatenate([[0], ends])[cut_up.offsets.to_numpy() - cut_up.offsets[0].as_py()]
         return [ids[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
 
@@ -136,6 +142,21 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def _paired(batches):
+    """Two small batches as one: they share many words."""
+    held = None
+    for batch in batches:
+        if held is None and batch.nbytes < PAIR_BYTES:
+            held = batch
+        elif held is None:
+            yield batch
+        else:
+            yield from pa.Table.from_batches([held, batch]).combine_chunks().to_batches()
+            held = None
+    if held is not None:
+        yield held
+
+
 def _segments(path: str, end_id: int, batches):
     shard, seq, first = TaskContext.get().partitionId(), 0, 0
     encode, schema = encoder(path), pa.schema([("shard", pa.int32()), ("seq", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())])
@@ -149,7 +170,7 @@ def _segments(path: str, end_id: int, batches):
         return row
 
     end = np.array([end_id], dtype=encode.width)
-    for batch in batches:
+    for batch in _paired(batches):
         for doc, part in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
             ids.append(doc)
             parts.append(np.concatenate([part, end]))
