@@ -119,10 +119,11 @@ def nearest(relations: DataFrame, entities: DataFrame) -> DataFrame:
     """
     e = entities.select("doc_id", "position", F.lit(0).alias("kind"), F.struct("label", "type", "position").alias("entity"), F.lit(None).cast(_struct(relations)).alias("relation"))
     r = relations.select("doc_id", "position", F.lit(1).alias("kind"), F.lit(None).cast(e.schema["entity"].dataType).alias("entity"), F.struct("label", "type", "position").alias("relation"))
-    order = Window.partitionBy("doc_id").orderBy("position")
-    back, ahead = order.rangeBetween(Window.unboundedPreceding, -1), order.rangeBetween(1, Window.unboundedFollowing)
+    # both frames only grow as the rows go by, so each row is added once; a frame up to the end would be read anew for each row
+    up, down = Window.partitionBy("doc_id").orderBy("position"), Window.partitionBy("doc_id").orderBy(F.desc("position"))
+    back, ahead = up.rangeBetween(Window.unboundedPreceding, -1), down.rangeBetween(Window.unboundedPreceding, -1)
     both = e.unionByName(r)
-    both = both.withColumn("before", F.last("entity", True).over(back)).withColumn("after", F.first("entity", True).over(ahead))
+    both = both.withColumn("before", F.last("entity", True).over(back)).withColumn("after", F.last("entity", True).over(ahead))
     return both.filter("kind = 1").select("doc_id", "relation", "before", "after")
 
 

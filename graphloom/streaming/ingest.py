@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chunks, text
@@ -25,8 +26,31 @@ def cleaned_chunks(docs: DataFrame, splitter: Callable = chunks.sentence_chunks)
     return docs.select("doc_id", F.posexplode(splitter(text.Cleaner("structured")(F.col("text")))).alias("idx", "chunk"))
 
 
-def run_available(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """What a stream gives for the rows that are there now, as a table."""
-    name = f"stream_{uuid.uuid4().hex}"
-    stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+def run_available(stream: DataFrame, mode: str = "complete", path: str | None = None) -> DataFrame:
+    """What a stream gives for the rows that are there now, as a table: in append mode all that it wrote, else its last state.
+
+    Each batch is written as files below ``path`` (by default a new folder in ``spark.checkpoint.dir``), so the result is never
+    gathered on the driver. A batch that is run again writes its folder anew.
+    """
+    spark = stream.sparkSession
+    path = path or f"{_shared(spark)}/graphloom/stream-{uuid.uuid4().hex}"
+    seen: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        seen.append(number)
+
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+    wanted = sorted(set(seen)) if mode == "append" else sorted(set(seen))[-1:]
+    if not wanted:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*[f"{path}/batch={n}" for n in wanted])
+
+
+def _shared(spark: SparkSession) -> str:
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.partition("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return "file://" + tempfile.mkdtemp(prefix="graphloom-")
