@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, decontaminate, linededup, mixing, ngramjoin, pqdedup, quality, sweep, tokenids, toxicity, urlfilter
+from . import chat, decontaminate, lexical, linededup, mixing, ngramjoin, pqdedup, quality, sweep, tokenids, toxicity, urlfilter
 
 
 def queries() -> dict:
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op8_quality": quality.op8_quality,
         "op9_mix_sources": mixing.op9_mix_sources,
         "op10_url_filter": urlfilter.op10_url_filter,
+        "op11_lexical_search": lexical.op11_lexical_search,
         "op13_peak_sweep": sweep.op13_peak_sweep,
         "pipeline": corpus_pipeline.run,
     }
@@ -34,5 +35,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_repeated_runs": linededup.OP6_RUNS_SQL,
         "op7_decontaminate": decontaminate.OP7_SQL,
         "op10_url_filter": urlfilter.OP10_SQL,
+        "op11_lexical_search": lexical.OP11_SQL,
         "op13_peak_sweep": sweep.OP13_SQL,
     }
