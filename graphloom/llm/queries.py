@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, decontaminate, lexical, linededup, mixing, ngramjoin, pqdedup, quality, sweep, tokenids, toxicity, urlfilter
+from . import chat, decontaminate, lexical, linededup, mixing, ngramjoin, packing, pqdedup, quality, sweep, tokenids, toxicity, urlfilter
 
 
 def queries() -> dict:
@@ -21,6 +21,7 @@ def queries() -> dict:
         "op9_mix_sources": mixing.op9_mix_sources,
         "op10_url_filter": urlfilter.op10_url_filter,
         "op11_lexical_search": lexical.op11_lexical_search,
+        "op12_best_fit_packing": packing.op12_best_fit_packing,
         "op13_peak_sweep": sweep.op13_peak_sweep,
         "pipeline": corpus_pipeline.run,
     }
