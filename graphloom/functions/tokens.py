@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .names import STOP_WORDS
+from .segment import SEED_WORDS, Segmenter  # noqa: F401
 from .text import SPACE
 
 #: ASCII marks.
 MARKS = r"[!-/:-@\[-`{-~]"
-#: A few words, so that the segmenter works without a dictionary of one's own.
-SEED_WORDS = ("北京", "上海", "中国", "天安门", "清华大学", "北京大学", "计算机", "计算机科学", "人工智能", "知识图谱", "大学", "学习", "科学", "长江", "黄河", "李白", "杜甫", "首都", "城市", "工作")
-
-
 def plain_tokens(c: Column) -> Column:
     """Between white space, lower-cased, ASCII marks out, empty ones dropped."""
     return F.array_remove(F.split(F.regexp_replace(F.lower(c), f"{MARKS}+", ""), f"{SPACE}+"), "")
@@ -28,57 +21,6 @@ def drop_stop_words(tokens: Column, stop_words=STOP_WORDS) -> Column:
     return F.filter(tokens, lambda t: ~F.array_contains(words, t))
 
 
-class Segmenter:
-    """Longest match over a dictionary, for runs of Han characters; other runs of letters and digits are one word.
-
-    ``modes``: DEFAULT and MIX give the longest matches, SEARCH also the dictionary words inside them, HMM reads characters
-    outside the dictionary as one word.
-    """
-
-    def __init__(self, words=SEED_WORDS):
-        self.words = set(words)
-        self.longest = max(map(len, self.words), default=1)
-
-    def add(self, word: str) -> Segmenter:
-        self.words.add(word)
-        self.longest = max(self.longest, len(word))
-        return self
-
-    def _run(self, run: str, mode: str) -> Iterator[str]:
-        at, loose = 0, ""
-        while at < len(run):
-            n = next((k for k in range(min(self.longest, len(run) - at), 1, -1) if run[at : at + k] in self.words), 1)
-            word = run[at : at + n]
-            if n == 1 and mode == "HMM" and word not in self.words:
-                loose += word
-            else:
-                if loose:
-                    yield loose
-                    loose = ""
-                if mode == "SEARCH" and n > 2:
-                    yield from (word[i : i + k] for k in range(2, n) for i in range(n - k + 1) if word[i : i + k] in self.words)
-                yield word
-            at += n
-        if loose:
-            yield loose
-
-    def cut(self, text: str | None, mode: str = "DEFAULT") -> list[str]:
-        out: list[str] = []
-        for m in re.finditer(r"[一-龥]+|[A-Za-z0-9]+|[^\W_]+", text or ""):
-            out.extend(self._run(m.group(), mode) if "一" <= m.group()[0] <= "龥" else [m.group()])
-        return out
-
-    def column(self, c: Column, mode: str = "DEFAULT", stop_words: bool = False) -> Column:
-        """The tokens of a column. Dictionary look-ups are beyond SQL, so this is a pandas UDF over Arrow batches."""
-        segment = self
-
-        @F.pandas_udf("array<string>")
-        def cut(texts: pd.Series) -> pd.Series:
-            return texts.map(lambda t: segment.cut(t, mode))
-
-        return drop_stop_words(cut(c)) if stop_words else cut(c)
-
-
 def top_words(tokens: Column, k: int = 10) -> Column:
     """(word, weight) of the ``k`` most frequent tokens, by weight and then word; the weight is the share of the tokens."""
     n = F.size(tokens)

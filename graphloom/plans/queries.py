@@ -444,16 +444,6 @@ def doc_hashed_embedding(spark, d):
     return short.select("item_id", F.round(vectors.norm(vectors.hashed_embedding(F.col("t"), 64)), 6).alias("size"))
 
 
-_HAN = [(1, "我爱北京天安门"), (2, "清华大学在北京，AI 2024"), (3, ""), (4, None)]
-
-
-@query()
-def doc_cjk_tokens(spark, d):
-    rows = spark.createDataFrame(_HAN, "doc_id long, text string")
-    cut = tokens.Segmenter().column(F.col("text"))
-    return rows.select("doc_id", cut.alias("tokens"))
-
-
 # Extraction
 
 _TEXTS = [(1, "张三就职于北京大学，李白出生于中国。"), (2, "1998年10月，长江公司位于上海市，王五创建了红星集团。"), (3, "唐朝的安史战争与春节庆典。"), (4, ""), (5, None), (6, "美国位于中国属于日本")]
