@@ -56,17 +56,17 @@ def _joined(batches):
         yield pa.RecordBatch.from_arrays([pa.array(nodes, schema.types[0]), pa.array([top(x) for x in nodes], schema.types[0])], names=["node", "root"])
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", one_task: int | None = None) -> DataFrame:
     """(node, root): the smallest node that is reachable, for each node with an edge to another one.
 
     Nulls and edges from a node to itself are ignored; repeated edges and either direction count once. Empty in, empty out.
-    Up to ``ONE_TASK`` edges are joined by one task. Of more, each round writes its edges to the shared folder, so the plan stays
+    Up to ``one_task`` edges (``ONE_TASK`` unless given) are joined by one task in Python; 0 keeps all in SQL functions. Of more, each round writes its edges to the shared folder, so the plan stays
     short and survives lost executors; the number of rounds grows with the logarithm of the largest component.
     """
     e = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a is not null and b is not null and a <> b").distinct()
     e = cut(e, "edges")
     mark = _mark(e)
-    if mark[0] <= ONE_TASK:
+    if mark[0] <= (ONE_TASK if one_task is None else one_task):
         kind = e.schema["a"].dataType.simpleString()
         roots = cut(e.coalesce(1).mapInArrow(_joined, f"node {kind}, root {kind}"), "roots")
         drop_cut(e)
