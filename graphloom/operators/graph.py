@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions.names import triple_id
+from .scratch import cut
 
 
 @dataclass(frozen=True)
@@ -240,21 +241,35 @@ def _hops(triples: DataFrame) -> DataFrame:
 def paths(triples: DataFrame, pairs: DataFrame, depth: int = 3) -> DataFrame:
     """(query_id, source, target, length, nodes, steps) of all simple paths of at most ``depth`` triples, in either direction of them.
 
-    One join per hop, unrolled: walks start at the pairs' sources only, and a walk that is as long as it may be is kept only if
-    the last hop reaches the target. A pair of an entity with itself has no path.
+    Walks start at both ends and meet in the middle: half of the hops before the middle triple go from the source, the others from
+    the target, so up to a depth of 3 either end takes one hop only. Of the triples, only those that lie between an end of a walk
+    from a source and one from a target are joined with walks at all, from whichever side fewer walks stand at, so an entity
+    with many triples is never expanded into all its walks. The walks and those triples are written to the shared folder once. A
+    pair of an entity with itself has no path; nulls meet nothing.
     """
-    hops = _hops(triples)
-    walks = pairs.filter("source <> target").select("query_id", "source", "target", F.col("source").alias("at"), F.array("source").alias("nodes"), F.array().cast("array<string>").alias("steps"))
-    done = None
-    for n in range(1, depth + 1):
-        met = [walks["at"] == hops["u"]] + ([walks["target"] == hops["v"]] if n == depth else [])
-        on = met[0] if len(met) == 1 else met[0] & met[1]
-        moved = walks.join(hops, on).filter(~F.array_contains("nodes", F.col("v")))
-        walks = moved.select("query_id", "source", "target", F.col("v").alias("at"), F.concat("nodes", F.array("v")).alias("nodes"), F.concat("steps", F.array("id")).alias("steps"))
-        arrived = walks.filter("at = target").select("query_id", "source", "target", F.lit(n).alias("length"), "nodes", "steps")
-        done = arrived if done is None else done.unionByName(arrived)
-        walks = walks.filter("at <> target")
-    return done
+    hops, key = _hops(triples), ["query_id", "source", "target"]
+    ends = F.array(F.struct(F.lit(True).alias("ahead"), F.col("source").alias("at")), F.struct(F.lit(False).alias("ahead"), F.col("target").alias("at")))
+    level = pairs.filter("source <> target").select(*key, F.explode(ends).alias("e")).select(*key, "e.*", F.lit(0).alias("n"), F.array("e.at").alias("nodes"), F.array().cast("array<string>").alias("steps"))
+    walks = level
+    for n in range(1, depth // 2 + 1):
+        moving = level if n <= (depth - 1) // 2 else level.filter("ahead")
+        free = ~F.array_contains("nodes", F.col("v")) & (F.col("v") != F.when(F.col("ahead"), F.col("target")).otherwise(F.col("source")))
+        moved = moving.join(hops, moving["at"] == hops["u"]).filter(free)
+        level = moved.select(*key, "ahead", F.col("v").alias("at"), F.lit(n).alias("n"), F.concat("nodes", F.array("v")).alias("nodes"), F.concat("steps", F.array("id")).alias("steps"))
+        walks = walks.unionByName(level)
+    walks = cut(walks, "walks")
+    side = lambda ahead, at, p: walks.filter("ahead" if ahead else "not ahead").select(*key, F.col("at").alias(at), F.col("n").alias(f"{p}_n"), F.col("nodes").alias(f"{p}_nodes"), F.col("steps").alias(f"{p}_steps"))
+    there, back = side(True, "u", "a"), side(False, "v", "b")
+    stand = lambda some, at: some.groupBy(at).agg(F.count("*").alias(f"n_{at}"))
+    middle = cut(hops.join(stand(there, "u"), "u").join(stand(back, "v"), "v"), "middle")
+    fits = (F.col("a_n") - F.col("b_n")).isin(0, 1) & (F.col("a_n") + F.col("b_n") < depth) & ~F.arrays_overlap("a_nodes", "b_nodes")
+    met = middle.filter("n_u <= n_v").join(there, "u").join(back, [*key, "v"]).unionByName(middle.filter("n_u > n_v").join(back, "v").join(there, [*key, "u"]))
+    return met.filter(fits).select(
+        *key,
+        (F.col("a_n") + F.col("b_n") + 1).alias("length"),
+        F.concat("a_nodes", F.reverse("b_nodes")).alias("nodes"),
+        F.concat("a_steps", F.array("id"), F.reverse("b_steps")).alias("steps"),
+    )
 
 
 def shortest(found: DataFrame) -> DataFrame:

@@ -8,15 +8,6 @@ from pyspark.sql import functions as F
 from .graph import Graph, describe, path_items, paths
 from .questions import normalised
 
-#: The columns of a result.
-ITEM = ("query_id", "triple_id", "subject", "relation", "object", "relation_type", "confidence", "relevance", "path_index", "path_length")
-
-
-def _items(df: DataFrame, relevance: Column, extra: tuple = ()) -> DataFrame:
-    none = F.lit(None).cast("int")
-    return df.select("query_id", F.col("id").alias("triple_id"), "subject", "relation", "object", "relation_type", "confidence", relevance.cast("double").alias("relevance"), none.alias("path_index"), none.alias("path_length"), *extra)
-
-
 def by_entity(graph: Graph, wanted: DataFrame) -> DataFrame:
     """Triples that start or end at an entity, for (query_id, entity_id, others); a triple from an entity to itself is found twice."""
     t = graph.triples
@@ -36,39 +27,76 @@ def relevance(subject: Column, obj: Column, relation: Column, entities: Column,
     return F.round(F.least(F.lit(1.0), score + F.when(F.exists(attributes, lambda a: (a != "") & F.contains(relation, a)), 0.2).otherwise(0.0)), 6)
 
 
-def exact(graph: Graph, parsed: DataFrame, links: DataFrame) -> DataFrame:
-    """Results of every question by its type. ``links`` has the entities of ``questions.link_entities`` that exist."""
-    q = parsed.select("query_id", "type", "entities", "relations", "attributes", "params")
-    first = q.join(links.filter("nth = 0").select("query_id", "entity_id"), "query_id")
+def _hits(rows: DataFrame, way: str, relevance: Column | None = None) -> DataFrame:
+    """Triples found for questions, not yet described: by which way, and for paths how relevant and where."""
+    none = lambda kind: F.lit(None).cast(kind)
+    of_path = (relevance.cast("double"), F.col("path_index"), F.col("path_length")) if relevance is not None else (none("double"), none("int"), none("int"))
+    return rows.select("query_id", F.lit(way).alias("way"), "id", "subject_id", "relation_id", "object_id", "confidence", of_path[0].alias("given"), of_path[1].alias("path_index"), of_path[2].alias("path_length"))
+
+
+def _around(graph: Graph, wanted: DataFrame, way: str) -> DataFrame:
+    """Triples at the entities of (query_id, entity_id); one from an entity to itself is found twice."""
+    ends = graph.triples.select("id", "subject_id", "relation_id", "object_id", "confidence", F.explode(F.array("subject_id", "object_id")).alias("entity_id"))
+    return _hits(wanted.select("query_id", "entity_id").join(ends, "entity_id"), way)
+
+
+def _of_first(graph: Graph, q: DataFrame, links: DataFrame) -> DataFrame:
+    first = links.filter("nth = 0").select("query_id", "entity_id")
+    return _around(graph, q.filter("type in ('ENTITY', 'ATTRIBUTE', 'LIST', 'FACT', 'DEFINITION')").select("query_id").join(first, "query_id"), "first")
+
+
+def _of_all(graph: Graph, q: DataFrame, links: DataFrame) -> DataFrame:
+    """Triples around every entity that a question names, and of every relation that it names. Duplicates stay."""
+    around = _around(graph, q.select("query_id").join(links.select("query_id", "entity_id"), "query_id"), "any")
+    said = q.select("query_id", F.explode("relations").alias("relation_name"))
+    kinds = graph.relations.select(F.col("id").alias("relation_id"), normalised(F.col("name")).alias("relation_name"))
+    return around.unionByName(_hits(said.join(kinds, "relation_name").join(graph.triples, "relation_id"), "any"))
+
+
+def _between(graph: Graph, q: DataFrame, links: DataFrame, depth: int) -> DataFrame:
+    """The triples of all simple paths between the first two entities of questions (query_id, most: triples of a path at most);
+    each triple of a path of n has relevance 1/n."""
+    a = links.filter("nth = 0").select("query_id", F.col("entity_id").alias("source"))
+    b = links.filter("nth = 1").select("query_id", F.col("entity_id").alias("target"))
+    pairs = q.select("query_id", "most").join(a, "query_id").join(b, "query_id")
+    found = paths(graph.triples, pairs, depth).join(q.select("query_id", "most").distinct(), "query_id").filter("length <= most").drop("most")
+    items = path_items(found).withColumnRenamed("triple_id", "id")
+    return _hits(items.join(graph.triples, "id"), "path", F.col("relevance"))
+
+
+def _judged(graph: Graph, hits: DataFrame, q: DataFrame, links: DataFrame) -> DataFrame:
+    """Results from hits: all are described at once, then kept and scored by their question's type and the way they were found."""
     second = links.filter("nth = 1").select("query_id", F.col("entity_id").alias("other_id"))
-    around = by_entity(graph, first.filter("type in ('ENTITY', 'ATTRIBUTE', 'LIST', 'FACT', 'DEFINITION')")).join(second, "query_id", "left")
+    asked = q.select("query_id", "type", "entities", "relations", "attributes", "params").join(second, "query_id", "left")
+    d = describe(hits, graph.entities, graph.relations).join(asked, "query_id")
     holds = F.exists("attributes", lambda a: (a != "") & F.contains(F.col("relation"), a)) | (F.col("relation_type") == "HAS_PROPERTY")
     listed = F.contains(F.col("relation"), F.coalesce(F.try_element_at("params", F.lit("list_type")), F.lit("")))
-    rel = F.when(F.col("type").isin("ATTRIBUTE", "LIST"), 0.9).otherwise(1.0)
-    keep = F.when(F.col("type") == "ATTRIBUTE", holds).when(F.col("type") == "LIST", listed).when(F.col("type") == "FACT", F.col("object_id") == F.col("other_id")).otherwise(F.lit(True))
-    found = _items(around.filter(keep), rel)
-    related = related_items(graph, q.filter("type = 'RELATION'"), links, 2)
-    return found.unionByName(related).unionByName(generic(graph, q.filter("type in ('COMPARISON', 'OPEN', 'UNKNOWN')"), links))
+    kept = F.when(F.col("type") == "ATTRIBUTE", holds).when(F.col("type") == "LIST", listed).when(F.col("type") == "FACT", F.col("object_id") == F.col("other_id")).otherwise(F.lit(True))
+    score = relevance(normalised(F.col("subject")), normalised(F.col("object")), normalised(F.col("relation")), F.col("entities"), F.col("relations"), F.col("attributes"))
+    by_type = F.when(F.col("type").isin("ATTRIBUTE", "LIST"), 0.9).otherwise(1.0)
+    rel = F.when(F.col("way") == "path", F.col("given")).when(F.col("way") == "first", by_type).otherwise(score).cast("double")
+    items = d.filter((F.col("way") != "first") | kept)
+    return items.select("query_id", F.col("id").alias("triple_id"), "subject", "relation", "object", "relation_type", "confidence", rel.alias("relevance"), "path_index", "path_length")
+
+
+_OPEN = "type in ('COMPARISON', 'OPEN', 'UNKNOWN')"
+
+
+def exact(graph: Graph, parsed: DataFrame, links: DataFrame) -> DataFrame:
+    """Results of every question by its type. ``links`` has the entities of ``questions.link_entities`` that exist."""
+    related = parsed.filter("type = 'RELATION'").select("query_id", F.lit(2).alias("most"))
+    hits = _of_first(graph, parsed, links).unionByName(_between(graph, related, links, 2)).unionByName(_of_all(graph, parsed.filter(_OPEN), links))
+    return _judged(graph, hits, parsed, links)
 
 
 def related_items(graph: Graph, q: DataFrame, links: DataFrame, depth: int) -> DataFrame:
     """The triples of all simple paths between the first two entities of questions; each triple of a path of n has relevance 1/n."""
-    a = links.filter("nth = 0").select("query_id", F.col("entity_id").alias("source"))
-    b = links.filter("nth = 1").select("query_id", F.col("entity_id").alias("target"))
-    pairs = q.select("query_id").join(a, "query_id").join(b, "query_id")
-    items = path_items(paths(graph.triples, pairs, depth))
-    named = describe(items.join(graph.triples, items["triple_id"] == F.col("id")), graph.entities, graph.relations)
-    return named.select("query_id", "triple_id", "subject", "relation", "object", "relation_type", "confidence", "relevance", "path_index", "path_length")
+    return _judged(graph, _between(graph, q.select("query_id", F.lit(depth).alias("most")), links, depth), q, links)
 
 
 def generic(graph: Graph, q: DataFrame, links: DataFrame) -> DataFrame:
     """Triples around every entity that a question names, and of every relation that it names, by relevance. Duplicates stay."""
-    around = by_entity(graph, q.join(links.select("query_id", "entity_id"), "query_id"))
-    said = q.select("*", F.explode("relations").alias("relation_name"))
-    kinds = graph.relations.select(F.col("id").alias("relation_id"), normalised(F.col("name")).alias("relation_name"))
-    of = by_relation(graph, said.join(kinds, "relation_name").drop("relation_name"))
-    score = relevance(normalised(F.col("subject")), normalised(F.col("object")), normalised(F.col("relation")), F.col("entities"), F.col("relations"), F.col("attributes"))
-    return _items(around, score).unionByName(_items(of, score))
+    return _judged(graph, _of_all(graph, q, links), q, links)
 
 
 def ranked(items: DataFrame, min_confidence: float = 0.0, offset: int = 0, limit: int = 10) -> DataFrame:
@@ -93,6 +121,7 @@ def search(graph: Graph, parsed: DataFrame, links: DataFrame, strategy: str = "H
     """Ranked results of all questions, each by the way its type and the strategy say."""
     known = links.filter("confidence > 0")
     routed = parsed.withColumn("way", route(F.col("type"), F.size("entities"), strategy))
-    straight = exact(graph, routed.filter("way <> 'PATH_FINDING'"), known)
-    ways = related_items(graph, routed.filter("way = 'PATH_FINDING'"), known, depth)
-    return ranked(straight.unionByName(ways), min_confidence, offset, limit)
+    straight, depths = routed.filter("way <> 'PATH_FINDING'"), F.when(F.col("way") == "PATH_FINDING", depth).when(F.col("type") == "RELATION", 2)
+    between = routed.withColumn("most", depths).filter("most is not null")
+    hits = _of_first(graph, straight, known).unionByName(_between(graph, between, known, max(depth, 2))).unionByName(_of_all(graph, straight.filter(_OPEN), known))
+    return ranked(_judged(graph, hits, parsed, known), min_confidence, offset, limit)

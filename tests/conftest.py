@@ -1,3 +1,4 @@
+import random
 import sys
 from pathlib import Path
 
@@ -16,3 +17,8 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+
+
+@pytest.fixture()
+def rng():
+    return random.Random(7)
