@@ -1,8 +1,8 @@
-"""Graphs on disk: Parquet tables partitioned by graph, upserts, versions, batches, backups.
+"""Graphs on disk: Parquet tables in buckets by the hash of the id, upserts, versions, batches, backups.
 
-Spark has no transactions, so each change writes a new folder and then a head, a small file under the next number that names it.
-The head with the largest number is the current one. What is being written is never what is being read, and what was loaded
-before stays readable until ``vacuum``.
+Spark has no transactions, so each change writes a new folder and then a head, a small file under the next number that names the
+folder of each bucket. The head with the largest number is the current one. A change of some rows writes the buckets that hold
+them and no others. What is being written is never what is being read, and what was loaded before stays readable until ``vacuum``.
 """
 
 from __future__ import annotations
@@ -44,6 +44,11 @@ def upsert_triples(old: DataFrame, new: DataFrame) -> DataFrame:
     return kept.unionByName(not_among(fresh, "id", old).select(*old.columns))
 
 
+def bucket_of(buckets: int):
+    """The bucket of a row by its id."""
+    return F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
+
+
 def cascade_delete(graph: Graph, ids: DataFrame) -> Graph:
     return graph.remove_entities(ids)
 
@@ -54,6 +59,8 @@ class Store:
 
     spark: SparkSession
     path: str
+    #: Buckets of a table that is saved as a whole from now on; changes keep to the number that the graph has.
+    buckets: int = 32
     _known: dict = field(default_factory=dict)
 
     def _fs(self, path: str):
@@ -104,33 +111,59 @@ class Store:
         still be read by those who loaded it. Of two writers at once the later one gets an error where the file system refuses
         to rename over a file."""
         name = name or graph.name
+        tables = {t: (getattr(graph, t), None) for t in TABLES}
+        self._change(name, {"name": name, "description": graph.description, "buckets": self.buckets, "tables": {}}, tables)
+
+    def _change(self, name: str, head: dict, tables: dict[str, tuple[DataFrame, list[int] | None]]) -> None:
+        """A new head like ``head``, with some tables' buckets (all: None) replaced by rows, which are written first."""
         root, run, heads = f"{self.path}/graphs/{name}", uuid.uuid4().hex, self._heads(name)
+        places = dict(head["tables"])
         try:
-            for table in TABLES:
-                getattr(graph, table).write.parquet(f"{root}/{run}/{table}")
+            for table, (rows, replaced) in tables.items():
+                # a bucket goes to one task, or to several where it is large
+                dealt = rows.withColumn("bucket", bucket_of(head["buckets"])).hint("rebalance", "bucket")
+                dealt.write.partitionBy("bucket").parquet(f"{root}/{run}/{table}")
+                kept = {} if replaced is None else {b: r for b, r in places[table].items() if int(b) not in replaced}
+                places[table] = kept | {x[7:]: run for x in self._list(f"{root}/{run}/{table}") if x.startswith("bucket=")}
             number = int(heads[-1][5:-5]) + 1 if heads else 1
-            self._put(f"{root}/head-{number:012d}.json", json.dumps({"run": run, "name": name, "description": graph.description}))
+            self._put(f"{root}/head-{number:012d}.json", json.dumps(head | {"tables": places}))
         except BaseException:
             self._delete(f"{root}/{run}")
             raise
 
-    def load(self, name: str) -> Graph:
-        root, heads = f"{self.path}/graphs/{name}", self._heads(name)
+    def _head(self, name: str) -> dict:
+        heads = self._heads(name)
         if not heads:
             raise KeyError(f"no graph {name}")
-        head = json.loads(self._get(f"{root}/{heads[-1]}"))
-        return Graph(*(self.spark.read.schema(s).parquet(f"{root}/{head['run']}/{t}") for t, s in TABLES.items()), name, head["description"])
+        return json.loads(self._get(f"{self.path}/graphs/{name}/{heads[-1]}"))
+
+    def _table(self, name: str, head: dict, table: str, buckets: list[int] | None = None) -> DataFrame:
+        """A table's rows, or those of some buckets."""
+        places = [(b, run) for b, run in head["tables"][table].items() if buckets is None or int(b) in buckets]
+        if not places:
+            return self.spark.createDataFrame([], TABLES[table])
+        return self.spark.read.schema(TABLES[table]).parquet(*(f"{self.path}/graphs/{name}/{run}/{table}/bucket={b}" for b, run in places))
+
+    def load(self, name: str) -> Graph:
+        head = self._head(name)
+        return Graph(*(self._table(name, head, t) for t in TABLES), name, head["description"])
 
     def vacuum(self, name: str, keep: int = 1) -> int:
-        """Delete all but the ``keep`` last states of a graph; how many folders went. Nobody may be reading them any more."""
+        """Delete all but the ``keep`` last states of a graph, and the buckets that none of these rests on; how many states went.
+        Nobody may be reading them any more."""
         root, heads = f"{self.path}/graphs/{name}", self._heads(name)
-        used = {json.loads(self._get(f"{root}/{h}"))["run"] for h in heads[-keep:]}
+        used = {(run, table, f"bucket={b}") for h in heads[-keep:] for table, places in json.loads(self._get(f"{root}/{h}"))["tables"].items() for b, run in places.items()}
         for h in heads[:-keep]:
             self._delete(f"{root}/{h}")
-        gone = [x for x in self._list(root) if not x.startswith("head-") and x not in used]
-        for x in gone:
-            self._delete(f"{root}/{x}")
-        return len(gone)
+        for run in (x for x in self._list(root) if not x.startswith("head-")):
+            if run not in {r for r, _, _ in used}:
+                self._delete(f"{root}/{run}")
+                continue
+            for table in self._list(f"{root}/{run}"):
+                for b in self._list(f"{root}/{run}/{table}"):
+                    if b.startswith("bucket=") and (run, table, b) not in used:
+                        self._delete(f"{root}/{run}/{table}/{b}")
+        return len(heads[:-keep])
 
     def delete(self, name: str) -> bool:
         there = self._exists(f"{self.path}/graphs/{name}")
@@ -138,19 +171,40 @@ class Store:
         return there
 
     def save_rows(self, name: str, **rows: DataFrame) -> dict[str, int]:
-        """Upsert of entities, relations or triples in one write; how many rows of each were given."""
-        g = self.load(name)
-        entities = upsert(g.entities, rows["entities"]) if "entities" in rows else g.entities
-        relations = upsert(g.relations, rows["relations"]) if "relations" in rows else g.relations
-        triples = upsert_triples(g.triples, rows["triples"]) if "triples" in rows else g.triples
-        self.save(Graph(entities, relations, triples, name, g.description))
+        """Upsert of entities, relations or triples in one write; how many rows of each were given.
+
+        The buckets of the given ids, whose numbers alone go to the driver, are read, merged and written; the files of all other
+        buckets stay as they are and belong to the new state too.
+        """
+        head, changed = self._head(name), {}
+        for table, given in rows.items():
+            buckets = self._touched(given, head)
+            merge = upsert_triples if table == "triples" else upsert
+            changed[table] = merge(self._table(name, head, table, buckets), given), buckets
+        self._change(name, head, changed)
         return {k: v.count() for k, v in rows.items()}
 
+    @staticmethod
+    def _touched(rows: DataFrame, head: dict) -> list[int]:
+        return [r.b for r in rows.select(bucket_of(head["buckets"]).alias("b")).distinct().collect()]
+
     def delete_rows(self, name: str, **ids: DataFrame) -> None:
+        """Remove entities, relations or triples by their ids, with the triples that would be left without an end; only buckets that lose rows are written."""
+        head, changed = self._head(name), {}
         g = self.load(name)
         for kind, rows in ids.items():
             g = getattr(g, f"remove_{kind}")(rows)
-        self.save(g, name)
+            if kind != "triples":
+                changed[kind] = self._touched(rows, head)
+        lost = self._touched(not_among(self._table(name, head, "triples"), "id", g.triples), head)
+        if lost:
+            changed["triples"] = lost
+        for kind, buckets in changed.items():
+            part = Graph(*(self._table(name, head, t, buckets if t == kind else []) for t in TABLES), name)
+            for deleted, rows in ids.items():
+                part = getattr(part, f"remove_{deleted}")(rows)
+            changed[kind] = getattr(part, kind), buckets
+        self._change(name, head, changed)
 
     # Versions
 
