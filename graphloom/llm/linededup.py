@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .tables import cut, table
 
@@ -22,8 +23,19 @@ def _held(df: DataFrame, name: str, value) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with dk (the id; null: the smallest long) and tk (hash of the text)."""
-    return docs.withColumn("dk", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("tk", F.xxhash64(F.coalesce("text", F.lit(""))))
+    """``docs`` with dk (the id; null is smaller than all) and tk (hash of the text)."""
+    whole = isinstance(docs.schema["doc_id"].dataType, IntegralType)
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))) if whole else F.struct(F.col("doc_id").isNotNull(), "doc_id")
+    return docs.withColumn("dk", key).withColumn("tk", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
+def _others(docs: DataFrame, made: tuple) -> tuple[DataFrame, list]:
+    """doc_id, text and all other columns as one, so that their names meet none of those in between; and how to get them back.
+    Columns named like ``made`` are left out."""
+    names = [c for c in docs.columns if c.lower() not in ("doc_id", "text", *made)]
+    if not names:
+        return docs.select("doc_id", "text"), []
+    return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in names)).alias("others")), [F.col(f"others.`{c}`").alias(c) for c in names]
 
 
 def _split(docs: DataFrame) -> DataFrame:
@@ -56,10 +68,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     its first place: the document with the smallest id (a null id is smaller than all), and there the first line. Chunks count
     as equal when their bytes are; where two different chunks have one hash, both stay. Rows that share id and text are cleaned
     alike; rows that share an id only rank as one document. Null texts stay null and have no lines. Shuffles each chunk's bytes
-    and each text once; equal chunks of a task are merged before. Columns named like the result's own are replaced.
+    and each text once; equal chunks of a task are merged before. Ids may be of any type that can be sorted. Columns named like the
+    result's own are replaced, all others are kept, whatever their names.
     """
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "dk", "tk", "lines", "spans", "n_lines", "removed_lines", "removed_chunks", "removed")]
-    base = docs.select("doc_id", "text", *others)
+    base, others = _others(docs, ("n_lines", "removed_lines", "removed_chunks"))
     one = F.explode("spans").alias("span")
     chunks = _chunked(docs.select("doc_id", "text")).select("dk", "tk", "lines", one).filter(F.col("span") % _PACK - F.shiftright("span", 31) >= LEAST_LINES)
     bodies = chunks.select("dk", "tk", "span", F.array_join(_lines(F.col("span")), "\n").alias("body")).filter(F.btrim("body", F.lit(_SPACES)) != "")
@@ -74,7 +86,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     kept = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(F.transform(F.array_except("spans", "removed"), _lines)), "\n"))
     lost = F.coalesce(F.aggregate("removed", F.lit(0).cast("long"), lambda s, x: s + x % _PACK - F.shiftright(x, 31)), F.lit(0).cast("long"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long")
-    return rows.select("doc_id", *others, kept.alias("text"), n_lines.alias("n_lines"), lost.alias("removed_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("removed_chunks")).withColumn("removed_chunks", F.greatest("removed_chunks", F.lit(0).cast("long")))
+    chunks_gone = F.greatest(F.coalesce(F.size("removed"), F.lit(0)).cast("long"), F.lit(0).cast("long"))
+    done = rows.select("doc_id", *(["others"] if others else []), kept.alias("text"), n_lines.alias("n_lines"), lost.alias("removed_lines"), chunks_gone.alias("removed_chunks"))
+    return done.select("doc_id", *others, "text", "n_lines", "removed_lines", "removed_chunks")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,11 +127,10 @@ def dedup_runs(docs: DataFrame) -> DataFrame:
     smaller id (a null id is smaller than all), or further up in the same one, not overlapping. Such runs are made of
     neighbouring lines that an earlier place holds as neighbours, so comparing those finds all of them whole. The first place of
     every line stays. Rows that share id and text are cleaned alike; rows that share an id only rank as one document. Null texts
-    stay null and have no lines. Shuffles a digest for each two neighbouring lines, and each text once. Columns named like the
-    result's own are replaced.
+    stay null and have no lines. Shuffles a digest for each two neighbouring lines, and each text once. Ids and other
+    columns are as in ``dedup_lines``.
     """
-    made = ("doc_id", "text", "dk", "tk", "lines", "at", "spans", "n_lines", "removed_lines", "removed_runs")
-    others = [c for c in docs.columns if c not in made]
+    base, others = _others(docs, ("n_lines", "removed_lines", "removed_runs"))
     pairs = _pairs(docs.select("doc_id", "text"))
     repeated = pairs.groupBy("key").agg(F.count("*").alias("n"), F.min("dk").alias("first")).filter("n > 1").select("key", "first")
     own = F.when(F.col("dk") == F.col("first"), F.col("key"))
@@ -125,7 +138,7 @@ def dedup_runs(docs: DataFrame) -> DataFrame:
     least = F.min("at").over(Window.partitionBy("dk", "tk", "own"))
     found = again.withColumn("least", least).filter(f"own is null or at >= least + {LEAST_LINES}")
     gone = found.groupBy("dk", "tk").agg(F.sort_array(F.collect_set("at")).alias("at"))
-    rows = _split(_keyed(docs.select("doc_id", "text", *others)).join(gone, ["dk", "tk"], "left"))
+    rows = _split(_keyed(base).join(gone, ["dk", "tk"], "left"))
     starts = F.filter("at", lambda x, i: (i == 0) | (F.get("at", i - 1) < x - 1))
     ends = F.transform(F.filter("at", lambda x, i: (i == F.size("at") - 1) | (F.get("at", i + 1) > x + 1)), lambda x: x + 2)
     part = lambda a, b: F.slice("lines", a + 1, b - a)
@@ -136,7 +149,8 @@ def dedup_runs(docs: DataFrame) -> DataFrame:
     lost = F.coalesce(F.aggregate("spans", F.lit(0), lambda s, x: s + x["b"] - x["a"]), F.lit(0)).cast("long")
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long")
     runs = F.when(F.col("spans").isNull(), 0).otherwise(F.size("spans")).cast("long")
-    return rows.select("doc_id", *others, kept.alias("text"), n_lines.alias("n_lines"), lost.alias("removed_lines"), runs.alias("removed_runs"))
+    done = rows.select("doc_id", *(["others"] if others else []), kept.alias("text"), n_lines.alias("n_lines"), lost.alias("removed_lines"), runs.alias("removed_runs"))
+    return done.select("doc_id", *others, "text", "n_lines", "removed_lines", "removed_runs")
 
 
 def op6_repeated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

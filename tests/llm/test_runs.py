@@ -1,5 +1,8 @@
 """Whole repeated runs of lines against a plain version."""
 
+import pytest
+from pyspark.sql import functions as F
+
 from graphloom.llm import linededup
 
 
@@ -36,3 +39,20 @@ def test_repeated_runs(spark, rng):
     assert sorted(map(tuple, got), key=order) == sorted(plain(rows), key=order)
     whole = {r.doc_id: r for r in got}
     assert whole[2].text == "a\nb" and whole[2].removed_lines == 12 and whole[3].text == "" and whole[8].text == "q\nq"
+
+
+@pytest.mark.parametrize("clean", [linededup.dedup_lines, linededup.dedup_runs])
+def test_any_columns_ids_and_empty_tables(spark, clean):
+    text = "one line\nand two\nand three\nfour\nfive\nsix"
+    names = "hashes rolling starts spans lines dk tk at removed own body h others doc span n".split()
+    schema = "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in [*names, "a.b"])
+    rows = [(i, t, *(f"{n}{i}" for n in [*names, "a.b"])) for i, t in ((1, text), (2, f"other\n{text}"), (None, None), (3, ""))]
+    df = spark.createDataFrame(rows, schema)
+    got = {r.doc_id: r.asDict() for r in clean(df).collect()}
+    plain = {r.doc_id: r.text for r in clean(df.select("doc_id", "text")).collect()}
+    assert {i: r["text"] for i, r in got.items()} == plain and len(plain[2]) < len(text)
+    for i, _, *values in rows:
+        assert [got[i][n] for n in [*names, "a.b"]] == values
+    by_name = clean(df.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string"))))
+    assert {r.doc_id: r.text for r in by_name.collect()} == {i and f"d{i}": t for i, t in plain.items()}
+    assert clean(df.limit(0)).collect() == []
