@@ -73,11 +73,31 @@ _MENTIONS = "rule_name string, type string, label string, text string, position
 
 
 def mentions(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
-    """doc_id, seq, rule_name, type, label, text, position, length of every match. Positions are code points; Spark's own regular
-    expressions do not tell them, so this is a batched scan in Python."""
+    """doc_id, seq, rule_name, type, label, text, position, length of every match, position and length in code points.
 
+    What a pattern cuts a text into, and what it matches, follow each other, so a match's place is the sum of the lengths before it:
+    built-in functions alone. Only rules that can match nothing at all, where that does not hold, are looked for in Python.
+    """
+    odd = {i for i, r in enumerate(rules) if re.compile(r.pattern).search("") is not None}
+    found = _placed(docs, [(i, r) for i, r in enumerate(rules) if i not in odd], text)
+    return found.unionByName(_scanned(docs, [(i, r) for i, r in enumerate(rules) if i in odd], text)) if odd else found
+
+
+def _placed(docs: DataFrame, rules: list[tuple[int, Rule]], text: str) -> DataFrame:
+    body = F.col(text)
+    struct = lambda i, r: F.struct(F.lit(i).alias("seq"), F.lit(r.name).alias("rule_name"), F.lit(r.type).alias("type"), F.lit(r.label).alias("given"), F.regexp_extract_all(body, F.lit(r.pattern), F.lit(0)).alias("texts"), F.split(body, r.pattern, -1).alias("pieces"))
+    each = docs.select("doc_id", F.explode(F.array(*[struct(i, r) for i, r in rules]) if rules else F.array().cast("array<struct<seq:int,rule_name:string,type:string,given:string,texts:array<string>,pieces:array<string>>>")).alias("m")).select("doc_id", "m.*").filter(F.size("texts") > 0)
+    steps = F.zip_with("texts", F.slice("pieces", 1, F.size("texts")), lambda t, p: F.struct(F.char_length(p).alias("gap"), F.char_length(t).alias("n")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("places"))
+    places = F.aggregate(steps, start, lambda s, x: F.struct((s["at"] + x["gap"] + x["n"]).alias("at"), F.concat(s["places"], F.array(s["at"] + x["gap"])).alias("places")), lambda s: s["places"])
+    rows = each.withColumn("places", places).select("doc_id", "seq", "rule_name", "type", "given", F.explode(F.arrays_zip("texts", "places")).alias("x"))
+    label = F.when(F.col("given") != "", F.col("given")).otherwise(F.col("x.texts"))
+    return rows.select("doc_id", "seq", "rule_name", "type", label.alias("label"), F.col("x.texts").alias("text"), F.col("x.places").alias("position"), F.char_length("x.texts").alias("length"))
+
+
+def _scanned(docs: DataFrame, rules: list[tuple[int, Rule]], text: str) -> DataFrame:
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = [(i, r, re.compile(r.pattern)) for i, r in enumerate(rules)]
+        known = [(i, r, re.compile(r.pattern)) for i, r in rules]
         for pdf in batches:
             rows = [
                 (doc, i, r.name, r.type, r.label or m.group(), m.group(), m.start(), len(m.group()))
@@ -115,15 +135,16 @@ def token_matches(tokens: DataFrame, rules: list[Rule]) -> DataFrame:
 def nearest(relations: DataFrame, entities: DataFrame) -> DataFrame:
     """Each relation mention (doc_id, label, position) with the nearest entity mention before and after it, as an as-of join.
 
-    Both are put in one order per document, and the last and next entity are read off by windows, so no pairs are made.
+    Both are put in one order per document, and the last and next entity are read off by windows, so no pairs are made. Of several
+    entities at one place the last by name and type counts before the relation, and the first after it.
     """
-    e = entities.select("doc_id", "position", F.lit(0).alias("kind"), F.struct("label", "type", "position").alias("entity"), F.lit(None).cast(_struct(relations)).alias("relation"))
+    e = entities.select("doc_id", "position", F.lit(0).alias("kind"), F.struct("position", "label", "type").alias("entity"), F.lit(None).cast(_struct(relations)).alias("relation"))
     r = relations.select("doc_id", "position", F.lit(1).alias("kind"), F.lit(None).cast(e.schema["entity"].dataType).alias("entity"), F.struct("label", "type", "position").alias("relation"))
     # both frames only grow as the rows go by, so each row is added once; a frame up to the end would be read anew for each row
     up, down = Window.partitionBy("doc_id").orderBy("position"), Window.partitionBy("doc_id").orderBy(F.desc("position"))
     back, ahead = up.rangeBetween(Window.unboundedPreceding, -1), down.rangeBetween(Window.unboundedPreceding, -1)
     both = e.unionByName(r)
-    both = both.withColumn("before", F.last("entity", True).over(back)).withColumn("after", F.last("entity", True).over(ahead))
+    both = both.withColumn("before", F.max("entity").over(back)).withColumn("after", F.min("entity").over(ahead))
     return both.filter("kind = 1").select("doc_id", "relation", "before", "after")
 
 

@@ -446,8 +446,10 @@ def doc_hashed_embedding(spark, d):
 
 # Extraction
 
-_TEXTS = [(1, "张三就职于北京大学，李白出生于中国。"), (2, "1998年10月，长江公司位于上海市，王五创建了红星集团。"), (3, "唐朝的安史战争与春节庆典。"), (4, ""), (5, None), (6, "美国位于中国属于日本")]
-_TEXT_SQL = ", ".join(f"({i}, {'null' if t is None else chr(39) + t + chr(39)})" for i, t in _TEXTS)
+#: A text about each customer, and the same in SQL.
+_PARTS = ("'张三就职于'", "{seg}", "'大学，李'", "{seg}", "'出生于中国。第'", "{key}", "'号'", "{seg}", "'集团位于'", "{place}", "'，'", "{year}", "'年'", "{month}", "'月创建'", "{seg}", "'公司。'")
+_PART_SQL = {"seg": "lower(c_mktsegment)", "key": "c_custkey::varchar", "place": "case c_nationkey % 3 when 0 then '上海市' when 1 then '美国' else '' end", "year": "(1990 + c_custkey % 30)::varchar", "month": "(1 + c_custkey % 12)::varchar"}
+_TEXT_SQL = f"d as (select c_custkey as doc_id, case when c_custkey % 50 = 0 then null when c_custkey % 50 = 1 then '' else {' || '.join(_PARTS).format(**_PART_SQL)} end as text from customer)"
 _E_RULES, _R_RULES = extraction.rule_set("chinese_all")
 
 
@@ -456,31 +458,56 @@ def _rule_sql(rules) -> str:
     return " union all ".join(f"select doc_id, {i} as seq, '{r.name}' as rule_name, '{r.type}' as type, unnest(regexp_extract_all(text, '{pattern(r.pattern)}')) as text from d" for i, r in enumerate(rules))
 
 
-def _texts(spark):
-    return spark.createDataFrame(_TEXTS, "doc_id long, text string")
+def _texts(spark, d):
+    key = F.col("c_custkey")
+    place = F.when(F.col("c_nationkey") % 3 == 0, "上海市").when(F.col("c_nationkey") % 3 == 1, "美国").otherwise("")
+    columns = {"seg": F.lower("c_mktsegment"), "key": key.cast("string"), "place": place, "year": (1990 + key % 30).cast("string"), "month": (1 + key % 12).cast("string")}
+    text = F.concat(*[columns[p[1:-1]] if p[0] == "{" else F.lit(p[1:-1]) for p in _PARTS])
+    return _read(spark, d, "customer").select(key.alias("doc_id"), F.when(key % 50 == 0, None).when(key % 50 == 1, "").otherwise(text).alias("text"))
 
 
-@query(f"with d as (select * from (values {_TEXT_SQL}) v(doc_id, text)) select * from ({_rule_sql(_E_RULES)}) where text <> ''")
+def _placed_sql(rules, name: str) -> str:
+    """A CTE of mentions with their places, as ``extraction.mentions`` finds them."""
+    pattern = lambda p: p.replace("\\u4e00", "\\x{4e00}").replace("\\u9fa5", "\\x{9fa5}")
+    found = " union all ".join(f"select doc_id, {i} as seq, '{r.name}' as rule_name, '{r.type}' as type, '{r.label}' as label, regexp_extract_all(text, '{pattern(r.pattern)}') as ts, string_split_regex(text, '{pattern(r.pattern)}') as ps from d" for i, r in enumerate(rules))
+    return f"""{name}_all as (select doc_id, seq, rule_name, type, case label when '' then ts[i] else label end as label, ts[i] as text,
+  (list_sum(list_transform(ps[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(ts[1:i - 1], lambda x: len(x))), 0))::int as position
+  from (select *, unnest(range(1, len(ts) + 1)) as i from ({found}))),
+{name} as (select * from {name}_all qualify row_number() over (partition by doc_id, label order by seq, position) = 1)"""
+
+
+@query(f"with {_TEXT_SQL} select * from ({_rule_sql(_E_RULES)}) where text <> ''")
 def ext_entities_rules(spark, d):
-    return extraction.rule_matches(_texts(spark), _E_RULES).drop("label")
+    return extraction.rule_matches(_texts(spark, d), _E_RULES).drop("label")
 
 
-@query(f"with d as (select * from (values {_TEXT_SQL}) v(doc_id, text)) select doc_id, rule_name, type, text from ({_rule_sql(_R_RULES)})")
+@query(f"with {_TEXT_SQL} select doc_id, rule_name, type, text from ({_rule_sql(_R_RULES)})")
 def ext_relations_rules(spark, d):
-    return extraction.rule_matches(_texts(spark), _R_RULES).select("doc_id", "rule_name", "type", "text")
+    return extraction.rule_matches(_texts(spark, d), _R_RULES).select("doc_id", "rule_name", "type", "text")
 
 
-@query(f"with d as (select * from (values {_TEXT_SQL}) v(doc_id, text)) select doc_id, text, min(seq) as seq from ({_rule_sql(_E_RULES)}) where text <> '' group by 1, 2")
+@query(f"with {_TEXT_SQL} select doc_id, text, min(seq) as seq from ({_rule_sql(_E_RULES)}) where text <> '' group by 1, 2")
 def ext_entity_dedup(spark, d):
-    found = extraction.RuleExtractor().entities(_texts(spark))
+    found = extraction.RuleExtractor().entities(_texts(spark, d))
     return found.select("doc_id", "text", "seq")
 
 
-@query("select * from (values (1, 'a', 'r1', 'b'), (1, 'b', 'r2', null), (2, null, 'r1', 'c')) v(doc_id, before, relation, after)")
+_NEAREST = f"""with {_TEXT_SQL}, {_placed_sql(_E_RULES, 'e')}, {_placed_sql(_R_RULES, 'r')},
+n as (select r.doc_id, r.label as relation, r.type as relation_type, r.position, max({{'p': e.position, 'label': e.label, 'type': e.type}}) filter (e.position < r.position) as b, min({{'p': e.position, 'label': e.label, 'type': e.type}}) filter (e.position > r.position) as a
+  from r left join e on e.doc_id = r.doc_id group by all)"""
+
+
+@query(f"{_NEAREST} select doc_id, b.label as before, relation, a.label as after from n")
 def ext_nearest_association(spark, d):
-    e = spark.createDataFrame([(1, "a", "X", 0), (1, "b", "X", 5), (2, "c", "X", 9)], "doc_id long, label string, type string, position int")
-    r = spark.createDataFrame([(1, "r1", "R", 2), (1, "r2", "R", 7), (2, "r1", "R", 3)], "doc_id long, label string, type string, position int")
-    return extraction.nearest(r, e).select("doc_id", F.col("before.label").alias("before"), F.col("relation.label").alias("relation"), F.col("after.label").alias("after"))
+    rules = extraction.RuleExtractor()
+    texts = _texts(spark, d)
+    found = extraction.nearest(rules.relations(texts), rules.entities(texts))
+    return found.select("doc_id", F.col("before.label").alias("before"), F.col("relation.label").alias("relation"), F.col("after.label").alias("after"))
+
+
+@query(f"with {_TEXT_SQL}, {_placed_sql(_E_RULES, 'e')} select doc_id, seq, rule_name, text, position from e_all")
+def ext_mention_places(spark, d):
+    return extraction.mentions(_texts(spark, d), _E_RULES).select("doc_id", "seq", "rule_name", "text", "position")
 
 
 #: The same search for mentions over whole documents: languages' articles as entities, line ends as relations.
@@ -493,27 +520,36 @@ def ext_document_mentions(spark, d):
     return found.groupBy("rule_name").agg(F.count("*").alias("n"), F.countDistinct("text").alias("n_texts"))
 
 
-@query()
+@query(f"with d as (select doc_id, text from documents), {_placed_sql(_EN_RULES, 'e')} select doc_id, seq, count(*) as n, sum(position)::bigint as places, sum(position * len(text))::bigint as spread from e_all group by 1, 2")
+def ext_document_places(spark, d):
+    found = extraction.mentions(_docs(spark, d), _EN_RULES)
+    return found.groupBy("doc_id", "seq").agg(F.count("*").alias("n"), F.sum(F.col("position").cast("long")).alias("places"), F.sum(F.col("position").cast("long") * F.col("length")).alias("spread"))
+
+
+@query(f"{_NEAREST} select doc_id, b.label as subject, relation, a.label as object from n where a is not null and b is not null")
 def ext_triples(spark, d):
-    return extraction.RuleExtractor().triples(_texts(spark)).select("doc_id", "subject", "relation", "object")
+    return extraction.RuleExtractor().triples(_texts(spark, d)).select("doc_id", "subject", "relation", "object")
 
 
-@query()
+@query(f"{_NEAREST}, t as (select distinct b.label, b.type, relation, relation_type, a.label, a.type from n where a is not null and b is not null) select 'entity' as kind, count(*) as n from (select distinct label, type from e) union all select 'relation', count(*) from (select distinct label, type from r) union all select 'triple', count(*) from t")
 def ext_graph_build(spark, d):
-    return extraction.Extractors().build(_texts(spark)).counts()
+    return extraction.Extractors().build(_texts(spark, d)).counts()
 
 
-@query("select * from (values (1, '我', '学习', '计算机科学')) v(doc_id, subject, relation, object)")
+@query(f"with {_TEXT_SQL} select doc_id, regexp_extract(text, '李([a-z]+)', 1) as subject, '出生于' as relation, '中国' as object from d where text <> ''")
 def ext_model_hook(spark, d):
-    rows = spark.createDataFrame([(1, "我在清华大学学习计算机科学"), (2, "")], "doc_id long, text string")
-    model = extraction.ModelExtractor(lambda t: [("我", "PERSON", 0.9), ("计算机科学", "CONCEPT", 0.8), ("弱", "CONCEPT", 0.1)], lambda t, e: [(0, 1, "学习", "CUSTOM", 0.9), (1, 0, "弱", "CUSTOM", 0.1)])
-    return model.triples(rows).select("doc_id", "subject", "relation", "object")
+    """A model that finds whoever was born in a country, and something that it is not sure of."""
+    model = extraction.ModelExtractor(lambda t: [(t.split("李")[1].split("出生于")[0], "PERSON", 0.9), ("中国", "LOCATION", 0.8), ("弱", "CONCEPT", 0.1)], lambda t, e: [(0, 1, "出生于", "BORN_IN", 0.9), (1, 0, "弱", "CUSTOM", 0.1)])
+    return model.triples(_texts(spark, d)).select("doc_id", "subject", "relation", "object")
+
+
+_TOKEN_RULES = [extraction.Rule("capital_word", "CONCEPT", "[A-Z][a-z]+"), extraction.Rule("short", "CONCEPT", "[A-Za-z]{2,3}")]
 
 
-@query("select * from (values (1, '北京大学', 'chinese_school'), (1, '中国', 'chinese_country')) v(doc_id, text, rule_name)")
+@query("with t as (select item_id as doc_id, unnest(string_split(text, ' ')) as text from benchmark) select doc_id, text, rule_name from t join (values ('capital_word', '^(?:[A-Z][a-z]+)$'), ('short', '^(?:[A-Za-z]{2,3})$')) r(rule_name, p) on regexp_matches(text, p) where len(text) >= 2")
 def ext_token_matches(spark, d):
-    rows = spark.createDataFrame([(1, ["北京大学", "中国", "我", "x"])], "doc_id long, tokens array<string>")
-    return extraction.token_matches(rows, _E_RULES).select("doc_id", "text", "rule_name")
+    rows = _read(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.split("text", " ").alias("tokens"))
+    return extraction.token_matches(rows, _TOKEN_RULES).select("doc_id", "text", "rule_name")
 
 
 # Questions
