@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -125,12 +126,15 @@ def kg_to_string(spark, d):
     return e.select("id", names.entity_string(F.col("id"), F.col("name"), F.col("type"), F.col("properties")).alias("shown"))
 
 
-@query("select c as code, case c when 0 then 'PERSON' when 2 then 'LOCATION' when 9 then 'UNKNOWN' else 'UNKNOWN' end as name, c = 8 as symmetric, case c when 8 then '相关' when 2 then '位置包含' else '' end as inverse from (values (0), (2), (8), (9), (99)) v(c) where c <> 8 union all select 8, 'MOUNTAIN', true, '相关'")
+def _named(types) -> str:
+    return "case n_nationkey " + " ".join(f"when {i} then '{t}'" for i, t in enumerate(types)) + " else 'UNKNOWN' end"
+
+
+@query(f"with k as (select n_nationkey as code, {_named(names.ENTITY_TYPES)} as name, {_named(names.RELATION_TYPES)} as relation from nation) select code, name, relation = 'RELATED_TO' as symmetric, case relation " + " ".join(f"when '{k}' then '{v}'" for k, v in names.INVERSE_NAMES.items()) + " else '' end as inverse from k")
 def kg_type_names(spark, d):
-    codes = spark.createDataFrame([(0,), (2,), (8,), (9,), (99,)], "code int")
-    kind = names.type_name(F.col("code"), names.RELATION_TYPES)
-    shown = F.when(F.col("code").isin(2, 8), kind).otherwise("X")
-    return codes.select("code", names.type_name(F.col("code"), names.ENTITY_TYPES).alias("name"), names.is_symmetric(shown).alias("symmetric"), names.inverse_name(shown).alias("inverse"))
+    code = F.col("n_nationkey")
+    kind = names.type_name(code, names.RELATION_TYPES)
+    return _read(spark, d, "nation").select(code.alias("code"), names.type_name(code, names.ENTITY_TYPES).alias("name"), names.is_symmetric(kind).alias("symmetric"), names.inverse_name(kind).alias("inverse"))
 
 
 # Graph: changes and sets
@@ -304,10 +308,13 @@ def page_html_metadata(spark, d):
     return m.select("page_id", at("title"), at("h1"), F.size(F.map_filter("m", lambda k, v: k.startswith("meta_"))).cast("long").alias("n_meta"))
 
 
-@query("select v.i as id, v.a as author, v.t as title from (values (1, 'me', 'paper'), (2, null, null)) v(i, a, t)")
+@query("select doc_id as id, case when doc_id % 3 > 0 then coalesce(source, 'none') end as author, case when doc_id % 3 > 1 then 'paper ' || doc_id || ' in ' || coalesce(lang, '?') end as title from documents")
 def pdf_metadata(spark, d):
-    rows = spark.createDataFrame([(1, "%PDF-1.5 /Title (paper) /Author(me)"), (2, "nothing")], "id int, c string")
-    m = rows.select("id", metadata.pdf_metadata(F.col("c")).alias("m"))
+    key = F.col("doc_id")
+    title = F.concat(F.lit(" /Title (paper "), key.cast("string"), F.lit(" in "), F.coalesce("lang", F.lit("?")), F.lit(")"))
+    author = F.concat(F.lit(" /Author("), F.coalesce("source", F.lit("none")), F.lit(")"))
+    content = F.concat(F.lit("%PDF-1.5\n"), F.when(key % 3 > 1, title).otherwise(""), F.when(key % 3 > 0, author).otherwise(""), F.lit("\nendobj"))
+    m = _read(spark, d, "documents").select(key.alias("id"), metadata.pdf_metadata(content).alias("m"))
     return m.select("id", F.try_element_at("m", F.lit("author")).alias("author"), F.try_element_at("m", F.lit("title")).alias("title"))
 
 
@@ -585,20 +592,34 @@ def _parsed(spark):
     return questions.parse(spark.createDataFrame(ASKED, "query_id int, text string"))
 
 
-@query(f"with {_PARSED} select query_id, q as normalized, type, case type " + " ".join(f"when '{k}' then '{v}'" for k, v in names.QUERY_TYPE_LABELS.items()) + " end as label from parsed")
+#: A question about each supplier, of a kind that its key says.
+_KINDS = ("{s}是谁？", "{s}和NATION_{n}有什么关系？", "{s}有哪些位于？", "{s}的地址是什么？", "{s}是不是NATION_{n}？", "什么是{s}？", "{s}和Supplier#{n}相比哪个更大？", "{s} 为什么  THE", "列举一切")
+_KINDS_SQL = " ".join(f"when {i} then '{t}'" for i, t in enumerate(_KINDS)).replace("{s}", "' || s_name || '").replace("{n}", "' || s_nationkey || '")
+_PARSED_ALL = _PARSED.replace(_ASKED_SQL, f"q as (select query_id, {_norm('text')} as q from (select s_suppkey as query_id, case s_suppkey % {len(_KINDS)} {_KINDS_SQL} end as text from supplier))")
+
+
+def _parsed_all(spark, d):
+    of = lambda t: F.concat(*[F.col("s_name") if p == "{s}" else F.col("s_nationkey").cast("string") if p == "{n}" else F.lit(p) for p in re.split(r"(\{[sn]\})", t) if p])
+    text = F.lit(None)
+    for i, t in enumerate(_KINDS):
+        text = F.when(F.col("s_suppkey") % len(_KINDS) == i, of(t)).otherwise(text)
+    return questions.parse(_read(spark, d, "supplier").select(F.col("s_suppkey").alias("query_id"), text.alias("text")))
+
+
+@query(f"with {_PARSED_ALL} select query_id, q as normalized, type, case type " + " ".join(f"when '{k}' then '{v}'" for k, v in names.QUERY_TYPE_LABELS.items()) + " end as label from parsed")
 def qa_parse_type(spark, d):
-    return _parsed(spark).select("query_id", "normalized", "type", names.query_type_label(F.col("type")).alias("label"))
+    return _parsed_all(spark, d).select("query_id", "normalized", "type", names.query_type_label(F.col("type")).alias("label"))
 
 
-@query(f"with {_PARSED} select query_id, array_to_string(entities, '|') as entities, array_to_string(relations, '|') as relations, array_to_string(attributes, '|') as attributes, list_type from parsed")
+@query(f"with {_PARSED_ALL} select query_id, array_to_string(entities, '|') as entities, array_to_string(relations, '|') as relations, array_to_string(attributes, '|') as attributes, list_type from parsed")
 def qa_parse_intent(spark, d):
     j = lambda c: F.array_join(c, "|").alias(c)
-    return _parsed(spark).select("query_id", j("entities"), j("relations"), j("attributes"), F.try_element_at("params", F.lit("list_type")).alias("list_type"))
+    return _parsed_all(spark, d).select("query_id", j("entities"), j("relations"), j("attributes"), F.try_element_at("params", F.lit("list_type")).alias("list_type"))
 
 
-@query(f"with {_PARSED} select query_id, round(case when type = 'UNKNOWN' then 0.0 else 0.3 end + 0.3 * least(1.0, len(entities) / 2.0) + case when len(relations) > 0 then 0.2 else 0 end + case when len(attributes) > 0 then 0.2 else 0 end, 6)::double as parse_confidence from parsed")
+@query(f"with {_PARSED_ALL} select query_id, round(case when type = 'UNKNOWN' then 0.0 else 0.3 end + 0.3 * least(1.0, len(entities) / 2.0) + case when len(relations) > 0 then 0.2 else 0 end + case when len(attributes) > 0 then 0.2 else 0 end, 6)::double as parse_confidence from parsed")
 def qa_parse_confidence(spark, d):
-    return _parsed(spark).select("query_id", "parse_confidence")
+    return _parsed_all(spark, d).select("query_id", "parse_confidence")
 
 
 _LINKS = f"{_PARSED}, en as (select {_norm('name')} as mention, min(id) as entity_id from e group by 1), said as (select query_id, generate_subscripts(entities, 1) - 1 as nth, unnest(entities) as mention from parsed), links as (select query_id, nth, mention, coalesce(entity_id, 'temp_' || mention) as entity_id, case when entity_id is null then 0.0 else 1.0 end as confidence from said left join en using (mention))"
@@ -754,12 +775,10 @@ def qa_generate(spark, d):
     return answers.generate(parsed, found, model=lambda p: F.concat(F.lit("模型："), F.substring(p, 1, 5))).drop("sources")
 
 
-_RAW = [(1, "a  b\n c"), (2, "好。 对， 是"), (3, "x!"), (4, "")]
-
-
-@query("with q as (select * from (values (1, 'a  b' || chr(10) || ' c'), (2, '好。 对， 是'), (3, 'x!'), (4, '')) v(id, a)), p as (select id, " + _POST.format("a") + " as a from q) select id, " + _ended("a") + " as answer from p")
+@query("with q as (select item_id as id, chr(10) || replace(text, '.', '。') || '， ' as a from benchmark), p as (select id, " + _POST.format("a") + " as a from q) select id, " + _ended("a") + " as answer from p")
 def qa_postprocess(spark, d):
-    return spark.createDataFrame(_RAW, "id int, a string").select("id", answers.postprocessed(F.col("a")).alias("answer"))
+    raw = F.concat(F.lit("\n"), F.replace("text", F.lit("."), F.lit("。")), F.lit("， "))
+    return _read(spark, d, "benchmark").select(F.col("item_id").alias("id"), answers.postprocessed(raw).alias("answer"))
 
 
 # Dialogue
@@ -805,12 +824,17 @@ def dlg_attributes(spark, d):
     return dialogue.attributes(writes)
 
 
-@query("select * from (values (1, '北京'), (2, null), (3, '上海')) v(query_id, last_entity)")
+@query(r"""with names as (select distinct w as name from (select unnest(string_split_regex(text, '[\s，。？！,.?!]+')) as w from benchmark) where len(w) > 5),
+m as (select conv_id::varchar as session_id, turn as seq, text from conversations qualify row_number() over (partition by conv_id order by turn desc) <= 5),
+w as (select distinct session_id, seq, name from (select session_id, seq, unnest(string_split_regex(text, '[\s，。？！,.?!]+')) as name from m) join names using (name)),
+l as (select session_id, max({'seq': seq, 'n': len(name), 'name': name}) as x from w group by session_id)
+select query_id, case when query_id % 2 = 0 then x.name end as last_entity from (select distinct conv_id as query_id from conversations) left join l on session_id = query_id::varchar""")
 def dlg_pronoun_context(spark, d):
-    m = spark.createDataFrame([("a", 0, "USER", "北京 怎么样"), ("a", 1, "ASSISTANT", "很好"), ("b", 0, "USER", "上海，中国"), ("b", 1, "USER", "上海 好")], "session_id string, seq int, role string, content string")
-    q = spark.createDataFrame([(1, "a", "它在哪里"), (2, "a", "你好"), (3, "b", "这个呢")], "query_id int, session_id string, text string")
-    e = spark.createDataFrame([("北京",), ("上海",), ("中国",)], "name string")
-    return dialogue.in_context(q, m, e).select("query_id", "last_entity")
+    messages = _messages(spark, d)
+    asked = _read(spark, d, "conversations").select(F.col("conv_id").alias("query_id")).distinct()
+    asked = asked.select("query_id", F.col("query_id").cast("string").alias("session_id"), F.when(F.col("query_id") % 2 == 0, "它在哪里").otherwise("你好").alias("text"))
+    words = _read(spark, d, "benchmark").select(F.explode(F.split("text", r"[\s，。？！,.?!]+")).alias("name")).filter(F.char_length("name") > 5).distinct()
+    return dialogue.in_context(asked, messages, words).select("query_id", "last_entity")
 
 
 # Storage
