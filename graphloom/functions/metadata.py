@@ -99,8 +99,8 @@ def pdf_metadata(c: Column) -> Column:
 
 
 def metadata_by_type(kind: Column, content: Column) -> Column:
-    """Content metadata, and for HTML and PDF their own; the type itself goes in as ``document_type``."""
+    """Content metadata, and for HTML, PDF and Word their own; the type itself goes in as ``document_type``."""
     empty = F.create_map().cast("map<string,string>")
-    own = F.when(kind == "HTML", html_metadata(content)).when(kind == "PDF", pdf_metadata(content)).otherwise(empty)
+    own = F.when(kind == "HTML", html_metadata(content)).when(kind == "PDF", pdf_metadata(content)).when(kind == "WORD", F.create_map(F.lit("document_type_name"), F.lit("WORD"))).otherwise(empty)
     base = F.map_filter(content_metadata(content), lambda k, v: ~F.array_contains(F.map_keys(own), k))
     return F.map_concat(base, own, F.create_map(F.lit("document_type"), kind))

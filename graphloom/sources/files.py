@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import threading
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.metadata import extension
 from ..functions.text import html_text
+from ..operators.scratch import cut
+from .pdf import pdf_text
 
 TEXT_EXTENSIONS, HTML_EXTENSIONS, BINARY_EXTENSIONS = (".txt", ".md", ".csv"), (".html", ".htm"), (".pdf", ".doc", ".docx")
 
@@ -40,15 +43,17 @@ def docx_text(content: bytes) -> str:
     return "\n".join("".join(t.text or "" for t in p.iter(f"{space}t")) for p in root.iter(f"{space}p"))
 
 
-def load_documents(spark: SparkSession, *paths: str, extractors: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
+def load_documents(spark: SparkSession, *paths: str, extractors: dict[str, Callable[[bytes], str]] | None = None, progress: Callable[[int, int], None] | None = None) -> DataFrame:
     """path, loader, text of each file. Text that does not decode, or a file whose extractor fails or is missing, gives an empty text.
 
-    .docx files are read here; PDF and .doc ones need an extractor (extension to function of bytes), as they need a tool of one's own.
+    PDF and .docx files are read here, unless an extractor (extension to function of bytes) is given for them; .doc files need one.
+    ``progress`` is called with the files done and all files whenever a task of the load ends, once ``load_documents`` has
+    counted them; it then writes the texts to the shared folder, so that they are loaded once.
     """
     files = read_binary(spark, *paths).withColumn("loader", loader_of(F.col("path"))).withColumn("ext", extension(F.col("path")))
     text = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.lit(""))
     plain = files.filter("loader in ('text', 'html')").select("path", "loader", F.when(F.col("loader") == "html", html_text(text)).otherwise(text).alias("text"))
-    known = {".docx": docx_text, **(extractors or {})}
+    known = {".docx": docx_text, ".pdf": pdf_text, **(extractors or {})}
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -61,4 +66,33 @@ def load_documents(spark: SparkSession, *paths: str, extractors: dict[str, Calla
             yield pd.DataFrame({"path": pdf["path"], "loader": pdf["loader"], "text": out})
 
     binary = files.filter("loader in ('pdf', 'word')").select("path", "loader", "ext", "content").mapInPandas(extract, "path string, loader string, text string")
-    return plain.unionByName(binary)
+    found = plain.unionByName(binary)
+    return found if progress is None else _told(spark, found, files.count(), progress)
+
+
+def _told(spark: SparkSession, found: DataFrame, n: int, progress: Callable[[int, int], None]) -> DataFrame:
+    """``found``, written while ``progress`` is told of how many rows tasks are done with."""
+    done, over = spark.sparkContext.accumulator(0), threading.Event()
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf
+            done.add(len(pdf))
+
+    def watch() -> None:
+        last = -1
+        while True:
+            ended = over.wait(0.2)
+            if (now := min(done.value, n)) != last:
+                progress(now, n)
+                last = now
+            if ended:
+                return
+
+    told = threading.Thread(target=watch)
+    told.start()
+    try:
+        return cut(found.mapInPandas(counted, found.schema), "documents")
+    finally:
+        over.set()
+        told.join()
