@@ -352,12 +352,20 @@ def doc_paragraph_chunks(spark, d):
     return _docs(spark, d).select("doc_id", F.posexplode(chunks.paragraph_chunks(doubled)).alias("idx", "chunk"))
 
 
-@query()
+@query(r"""with recursive s as (select doc_id, generate_subscripts(l, 1) as i, unnest(l) as p from (select doc_id, list_filter(string_split(regexp_replace(text, '([。！？.!?])', '\1' || chr(1), 'g'), chr(1)), lambda p: p <> '') as l from documents)),
+v as (select *, list_distinct(regexp_extract_all(lower(p), '\w+')) as own, lag(list_distinct(regexp_extract_all(lower(p), '\w+')), 1, []::varchar[]) over (partition by doc_id order by i) as last from s),
+x as (select doc_id, i, p, len(list_intersect(last, own)) / greatest(len(list_distinct(list_concat(last, own))), 1)::double < 0.1 as apart from v),
+w as (select doc_id, i, 0 as chunk, length(p) as chars from x where i = 1
+  union all select x.doc_id, x.i, case when apart or chars + length(p) > 1000 then chunk + 1 else chunk end, case when apart or chars + length(p) > 1000 then length(p) else chars + length(p) end from w join x on x.doc_id = w.doc_id and x.i = w.i + 1)
+select doc_id, chunk as idx, string_agg(p, '' order by i) as chunk from w join x using (doc_id, i) group by doc_id, w.chunk""")
 def doc_semantic_chunks(spark, d):
     return _docs(spark, d).select("doc_id", F.posexplode(chunks.semantic_chunks(F.col("text"))).alias("idx", "chunk"))
 
 
-@query()
+_PARAGRAPHS = "list_filter(list_transform(string_split_regex(text, '\\n[ \\t\\x0B\\f\\r\\n]*\\n'), lambda p: trim(p, ' ' || chr(9) || chr(10) || chr(13))), lambda p: p <> '')"
+
+
+@query("select doc_id, (row_number() over (partition by doc_id order by idx, i) - 1)::int as idx, substr(chunk, (i - 1) * 1000 + 1, 1000) as chunk from (" + _packed(_PARAGRAPHS, 5, 1000, "\n\n") + ") c, generate_series(1, ceil(length(chunk) / 1000.0)::bigint) g(i)")
 def doc_hybrid_chunks(spark, d):
     return _docs(spark, d).select("doc_id", F.posexplode(chunks.hybrid_chunks(F.col("text"))).alias("idx", "chunk"))
 
@@ -768,7 +776,10 @@ def qa_prompts(spark, d):
     return answers.prompts(parsed, found, min_confidence=0.5, language="en")
 
 
-@query()
+@query(sql(f""", {_DIRECT}, mc as (select query_id, round(least(1.0, 0.5 + 0.2 * least(1.0, count(*) / 5.0) + 0.3 * avg(relevance)), 6)::double as surely from hits group by query_id),
+g as (select p.query_id, p.type in ('FACT', 'ATTRIBUTE') or (n = 1 and top_relevance > 0.9) as is_direct from parsed p join agg using (query_id))
+select told.query_id, type, case when is_direct then {_ended('a')} else '模型：{answers.PROMPT_HEAD[:5]}。' end as answer, case when is_direct then confidence else coalesce(surely, 0.5) end::double as confidence, is_direct, not is_direct as is_model
+from told join g using (query_id) left join mc using (query_id)""", True))
 def qa_generate(spark, d):
     """Answers with a stand-in model: templates where they do, the model's text elsewhere."""
     _, parsed, found = _searched(spark, d, min_confidence=0.2)
