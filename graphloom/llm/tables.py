@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import sys
 import tempfile
 import uuid
 
@@ -69,6 +70,14 @@ def give_back() -> None:
         pass
 
 
+def make_room() -> None:
+    """Drop the token caches that tasks of another operator have left in this worker, where there are any."""
+    held = sys.modules.get(f"{__package__}.tokenids")
+    if held is not None and held._ENCODERS:
+        held._ENCODERS.clear()
+        give_back()
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch path; one that is gone already is fine."""
     jvm = spark.sparkContext._jvm

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import give_back, small_batches, table, text_first
+from .tables import give_back, make_room, small_batches, table, text_first
 
 #: Labelled documents that are learnt from, at most (those with the smallest hashes of their ids), and the longest of them.
 SAMPLE, SAMPLE_CHARS = 4000, 20_000
@@ -438,6 +438,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0
 
 def _scorer(machine, threshold: float):
     def run(batches):
+        make_room()
         m, kept = machine.value, {}
         get = kept.__getitem__
         for batch in batches:
