@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The types, with the codes that their order gives.
@@ -73,3 +73,23 @@ def relation_string(id_: Column, name: Column, kind: Column, inverse: Column, sy
 
 def triple_string(subject: Column, relation: Column, obj: Column, confidence: Column) -> Column:
     return F.format_string("Triple{subject=%s, relation=%s, object=%s, confidence=%s}", subject, relation, obj, F.format_number(confidence, 3))
+
+
+def same_row(a: DataFrame, b: DataFrame, key: tuple = ("id",)) -> Column:
+    """Whether two rows are the same entity or relation: their ids, of which null is one."""
+    out = None
+    for k in key:
+        out = a[k].eqNullSafe(b[k]) if out is None else out & a[k].eqNullSafe(b[k])
+    return out
+
+
+def same_triple(a: DataFrame, b: DataFrame) -> Column:
+    """Whether two triples are the same: subject, relation and object, whatever their ids and confidence."""
+    return same_row(a, b, ("subject_id", "relation_id", "object_id"))
+
+
+def random_string(n: int, *parts: Column) -> Column:
+    """``n`` letters and digits that look random and depend on the parts alone, so a task that runs again gives them again."""
+    letters = F.lit("0123456789abcdefghijklmnopqrstuvwxyz")
+    number = lambda i: F.conv(F.substring(F.md5(F.concat_ws("#", *parts, i.cast("string"))), 1, 12), 16, 10).cast("long")
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.substr(letters, (F.pmod(number(i), F.lit(36)) + 1).cast("int"), F.lit(1))), "")

@@ -26,3 +26,13 @@ def top_words(tokens: Column, k: int = 10) -> Column:
     n = F.size(tokens)
     counted = F.transform(F.array_distinct(tokens), lambda w: F.struct((-F.size(F.filter(tokens, lambda t: t == w))).alias("m"), w.alias("word")))
     return F.transform(F.slice(F.array_sort(counted), 1, k), lambda s: F.struct(s["word"].alias("word"), (-s["m"] / n).alias("weight")))
+
+
+def model_tokens(c: Column) -> Column:
+    """What stands between white space, as a stand-in for a model's tokens."""
+    return F.filter(F.split(c, f"{SPACE}+", -1), lambda t: t != "")
+
+
+def joined_tokens(tokens: Column) -> Column:
+    """The text of ``model_tokens``, with one space between."""
+    return F.array_join(tokens, " ")

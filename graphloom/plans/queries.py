@@ -137,6 +137,15 @@ def kg_type_names(spark, d):
     return _read(spark, d, "nation").select(code.alias("code"), names.type_name(code, names.ENTITY_TYPES).alias("name"), names.is_symmetric(kind).alias("symmetric"), names.inverse_name(kind).alias("inverse"))
 
 
+@query(sql(" select a.id, b.id as other from t a join t b on a.subject_id = b.object_id and a.relation_id = b.relation_id and a.object_id = b.subject_id where a.relation_id = 'related_to' union all select id, id from t where relation_id = 'related_to'"))
+def kg_same_triples(spark, d):
+    """Triples of a symmetric relation, and those of the graph that are the same or their opposites."""
+    k = star_graph(spark, d)
+    a = k.triples_by(relation="related_to")
+    b = g.Graph(k.entities, k.relations, a).expanded()
+    return a.alias("a").join(b.alias("b"), names.same_triple(a, b)).select("a.id", F.col("b.id").alias("other"))
+
+
 # Graph: changes and sets
 
 
@@ -453,6 +462,12 @@ def emb_unit(spark, d):
     return e.select("vec_id", F.round(vectors.norm(F.col("embedding")), 6).alias("size"), F.round(vectors.norm(vectors.unit(F.col("embedding"))), 6).alias("unit_size"))
 
 
+@query("select doc_id, len(list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda t: t <> ''))::int as n_tokens, length(array_to_string(list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda t: t <> ''), ' '))::int as n_chars from documents where text is not null")
+def doc_model_tokens(spark, d):
+    rows = _docs(spark, d).filter("text is not null").select("doc_id", tokens.model_tokens(F.col("text")).alias("t"))
+    return rows.select("doc_id", F.size("t").alias("n_tokens"), F.char_length(tokens.joined_tokens(F.col("t"))).alias("n_chars"))
+
+
 @query()
 def doc_hashed_embedding(spark, d):
     short = _read(spark, d, "benchmark").select("item_id", tokens.plain_tokens(F.col("text")).alias("t"))

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.metadata import extension
+from ..functions.metadata import extension, type_by_extension
 from ..functions.text import html_text
 from ..operators.scratch import cut
 from .pdf import pdf_text
@@ -21,8 +21,10 @@ TEXT_EXTENSIONS, HTML_EXTENSIONS, BINARY_EXTENSIONS = (".txt", ".md", ".csv"), (
 
 
 def find_files(spark: SparkSession, folder: str, extensions: tuple = ()) -> DataFrame:
-    """path, name, extension, size and modification time of files below a folder."""
-    found = read_binary(spark, folder).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), extension(F.col("path")).alias("extension"), "length", "modificationTime")
+    """path, parent, name, extension, type, size and modification time of files below a folder; contents are not read."""
+    path = F.col("path")
+    kind = F.coalesce(type_by_extension(path), F.lit("UNKNOWN"))
+    found = read_binary(spark, folder).select("path", F.regexp_extract(path, r"^(.*)/[^/]*$", 1).alias("parent"), F.element_at(F.split("path", "/"), -1).alias("name"), extension(path).alias("extension"), kind.alias("type"), "length", "modificationTime")
     return found.filter(F.col("extension").isin(*extensions)) if extensions else found
 
 
