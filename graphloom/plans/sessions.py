@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..streaming import ingest
 from ..streaming import sessions as s
 from .queries import query
-from .star import _read
+from .star import _read, _stream
 
 _SESSIONS = """
 m as (select client_id::varchar as session_id, epoch_us(ts) as us, coalesce(click_id, 0) as id, coalesce(kind, '') as content from clicks where client_id is not null and ts is not null),
@@ -32,7 +32,5 @@ def dlg_click_sessions(spark, d):
 
 @query(f"with {_SESSIONS} select session_id, started, ended, n_messages, last from r where (ended + 1800000000) // 1000 + 1 <= (select max(us) from m) // 1000 - 3600000")
 def dlg_stream_sessions(spark, d):
-    schema = _read(spark, d, "clicks").schema
-    clicks = spark.readStream.schema(schema).option("pathGlobFilter", "clicks.parquet").parquet(d)
     with s.state_store(spark):
-        return _shown(ingest.run_available(s.expiring_sessions(_clicks(clicks)), "append"))
+        return _shown(ingest.run_available(s.expiring_sessions(_clicks(_stream(spark, d, "clicks"))), "append"))

@@ -1,4 +1,5 @@
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 
@@ -61,3 +62,17 @@ def test_spans_merge_in_any_order(rng):
         rng.shuffle(rows)
         parts = [sessions.merged(rows[i::3], 0.2, 4) for i in range(3)]
         assert sessions.merged([s for p in parts for s in p], 0.2, 4) == whole
+
+
+def test_streams_read_tables_of_one_file_and_of_many(spark, tmp_path):
+    from graphloom.plans import queries
+    from graphloom.plans import sessions as planned
+
+    one, many = f"{tmp_path}/one", f"{tmp_path}/many"
+    for name in ("clicks", "events"):
+        Path(one).mkdir(exist_ok=True)
+        (Path(one) / f"{name}.parquet").symlink_to(f"/root/testdata/sf0.001/{name}.parquet")
+        spark.read.parquet(f"{one}/{name}.parquet").repartition(3).write.parquet(f"{many}/{name}.parquet")
+    for query in (planned.dlg_stream_sessions, queries.evt_stream_window):
+        found = [sorted(map(str, query(spark, d).collect())) for d in (one, many)]
+        assert found[0] == found[1] != []
