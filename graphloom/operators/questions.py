@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import STOP_WORDS
 from ..functions.text import SPACE, trim_space
+from .scratch import few
 
 # What in a question tells its type, in the order in which types are tried.
 TYPE_MARKS = {
@@ -109,7 +110,9 @@ def link_entities(parsed: DataFrame, entities: DataFrame) -> DataFrame:
     """query_id, nth, mention, entity_id, confidence: the entity whose normalised name a mention is, the first by id; one of its own, as
     ``temp_`` and the name, with confidence 0 where there is none."""
     said = parsed.select("query_id", F.posexplode("entities").alias("nth", "mention"))
-    named = entities.groupBy(normalised(F.col("name")).alias("mention")).agg(F.min("id").alias("entity_id"))
+    # only entities that are mentioned are grouped
+    names = entities.select("id", normalised(F.col("name")).alias("mention")).join(few(said.select("mention"), "mentions"), "mention")
+    named = names.groupBy("mention").agg(F.min("id").alias("entity_id"))
     linked = said.join(named, "mention", "left")
     return linked.select("query_id", "nth", "mention", F.coalesce("entity_id", F.concat(F.lit("temp_"), F.col("mention"))).alias("entity_id"), F.when(F.col("entity_id").isNotNull(), 1.0).otherwise(0.0).alias("confidence"))
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .graph import Graph, describe, path_items, paths
 from .questions import normalised
+from .scratch import cut, few
+
 
 def by_entity(graph: Graph, wanted: DataFrame) -> DataFrame:
     """Triples that start or end at an entity, for (query_id, entity_id, others); a triple from an entity to itself is found twice."""
@@ -34,41 +36,82 @@ def _hits(rows: DataFrame, way: str, relevance: Column | None = None) -> DataFra
     return rows.select("query_id", F.lit(way).alias("way"), "id", "subject_id", "relation_id", "object_id", "confidence", of_path[0].alias("given"), of_path[1].alias("path_index"), of_path[2].alias("path_length"))
 
 
-def _around(graph: Graph, wanted: DataFrame, way: str) -> DataFrame:
+_TRIPLE = ("id", "subject_id", "relation_id", "object_id", "confidence")
+
+
+def _named_relations(graph: Graph, q: DataFrame) -> DataFrame:
+    """query_id and relation_id of the relations that questions name."""
+    said = q.select("query_id", F.explode("relations").alias("relation_name"))
+    kinds = graph.relations.select(F.col("id").alias("relation_id"), normalised(F.col("name")).alias("relation_name"))
+    return said.join(kinds, "relation_name").select("query_id", "relation_id")
+
+
+def _near(graph: Graph, entities: DataFrame, relations: DataFrame | None = None) -> DataFrame:
+    """by, key and the triple, for triples at the entities (entity_id) and of the relations (relation_id): once for each end that is
+    asked for, so one from an entity to itself is there twice. All triples are gone through once; what is found is written."""
+    asked = entities.select(F.lit("entity").alias("by"), F.col("entity_id").alias("key"))
+    ends = [("entity", "subject_id"), ("entity", "object_id")]
+    if relations is not None:
+        asked, ends = asked.union(relations.select(F.lit("relation"), "relation_id")), [*ends, ("relation", "relation_id")]
+    each = graph.triples.select(*_TRIPLE, F.explode(F.array(*[F.struct(F.lit(by).alias("by"), F.col(c).alias("key")) for by, c in ends])).alias("e")).select(*_TRIPLE, "e.*")
+    return cut(each.join(few(asked, "asked"), ["by", "key"]), "near")
+
+
+def _around(near: DataFrame, wanted: DataFrame, way: str) -> DataFrame:
     """Triples at the entities of (query_id, entity_id); one from an entity to itself is found twice."""
-    ends = graph.triples.select("id", "subject_id", "relation_id", "object_id", "confidence", F.explode(F.array("subject_id", "object_id")).alias("entity_id"))
-    return _hits(wanted.select("query_id", "entity_id").join(ends, "entity_id"), way)
+    return _hits(wanted.select("query_id", "entity_id").join(near.filter("by = 'entity'").withColumnRenamed("key", "entity_id"), "entity_id"), way)
 
 
-def _of_first(graph: Graph, q: DataFrame, links: DataFrame) -> DataFrame:
+def _of_first(near: DataFrame, q: DataFrame, links: DataFrame) -> DataFrame:
     first = links.filter("nth = 0").select("query_id", "entity_id")
-    return _around(graph, q.filter("type in ('ENTITY', 'ATTRIBUTE', 'LIST', 'FACT', 'DEFINITION')").select("query_id").join(first, "query_id"), "first")
+    return _around(near, q.filter("type in ('ENTITY', 'ATTRIBUTE', 'LIST', 'FACT', 'DEFINITION')").select("query_id").join(first, "query_id"), "first")
 
 
-def _of_all(graph: Graph, q: DataFrame, links: DataFrame) -> DataFrame:
+def _of_all(near: DataFrame, q: DataFrame, links: DataFrame, named: DataFrame) -> DataFrame:
     """Triples around every entity that a question names, and of every relation that it names. Duplicates stay."""
-    around = _around(graph, q.select("query_id").join(links.select("query_id", "entity_id"), "query_id"), "any")
-    said = q.select("query_id", F.explode("relations").alias("relation_name"))
-    kinds = graph.relations.select(F.col("id").alias("relation_id"), normalised(F.col("name")).alias("relation_name"))
-    return around.unionByName(_hits(said.join(kinds, "relation_name").join(graph.triples, "relation_id"), "any"))
+    around = _around(near, q.select("query_id").join(links.select("query_id", "entity_id"), "query_id"), "any")
+    of_relation = near.filter("by = 'relation'").drop("relation_id").withColumnRenamed("key", "relation_id")
+    return around.unionByName(_hits(named.join(of_relation, "relation_id"), "any"))
+
+
+def _reached(graph: Graph, near: DataFrame, pairs: DataFrame, depth: int) -> DataFrame:
+    """The triples that a path of at most ``depth`` between two ends can have: either end of each is at most half as many hops from
+    one of them. They are written."""
+    both = lambda rows: rows.select(F.explode(F.array("subject_id", "object_id")).alias("at"))
+    at = few(pairs.select(F.explode(F.array("source", "target")).alias("at")), "ends")
+    for n in range(depth // 2):
+        seen = near.filter("by = 'entity'").withColumnRenamed("key", "at").join(at, "at") if n == 0 else _touching(graph, at)
+        at = few(both(seen).union(at.select("at")), "reached")
+    s, o = at.select(F.col("at").alias("subject_id")), at.select(F.col("at").alias("object_id"))
+    return cut(graph.triples.select(*_TRIPLE).join(s, "subject_id").join(o, "object_id").select(*_TRIPLE), "between")
+
+
+def _touching(graph: Graph, at: DataFrame) -> DataFrame:
+    ends = graph.triples.select("subject_id", "object_id", F.explode(F.array("subject_id", "object_id")).alias("at"))
+    return ends.join(at, "at")
 
 
-def _between(graph: Graph, q: DataFrame, links: DataFrame, depth: int) -> DataFrame:
+def _between(graph: Graph, near: DataFrame, q: DataFrame, links: DataFrame, depth: int) -> DataFrame:
     """The triples of all simple paths between the first two entities of questions (query_id, most: triples of a path at most);
     each triple of a path of n has relevance 1/n."""
     a = links.filter("nth = 0").select("query_id", F.col("entity_id").alias("source"))
     b = links.filter("nth = 1").select("query_id", F.col("entity_id").alias("target"))
-    pairs = q.select("query_id", "most").join(a, "query_id").join(b, "query_id")
-    found = paths(graph.triples, pairs, depth).join(q.select("query_id", "most").distinct(), "query_id").filter("length <= most").drop("most")
+    pairs = cut(q.select("query_id", "most").join(a, "query_id").join(b, "query_id"), "pairs")
+    triples = _reached(graph, near, pairs, depth)
+    found = paths(triples, pairs, depth).join(q.select("query_id", "most").distinct(), "query_id").filter("length <= most").drop("most")
     items = path_items(found).withColumnRenamed("triple_id", "id")
-    return _hits(items.join(graph.triples, "id"), "path", F.col("relevance"))
+    return _hits(items.join(triples, "id"), "path", F.col("relevance"))
 
 
 def _judged(graph: Graph, hits: DataFrame, q: DataFrame, links: DataFrame) -> DataFrame:
     """Results from hits: all are described at once, then kept and scored by their question's type and the way they were found."""
     second = links.filter("nth = 1").select("query_id", F.col("entity_id").alias("other_id"))
     asked = q.select("query_id", "type", "entities", "relations", "attributes", "params").join(second, "query_id", "left")
-    d = describe(hits, graph.entities, graph.relations).join(asked, "query_id")
+    hits = cut(hits, "hits")
+    # entities are gone through once, for the names of those that were found
+    ends = few(hits.select(F.explode(F.array("subject_id", "object_id")).alias("id")), "ends")
+    named = cut(graph.entities.select("id", "name", "type").join(ends, "id"), "named")
+    d = describe(hits, named, graph.relations).join(asked, "query_id")
     holds = F.exists("attributes", lambda a: (a != "") & F.contains(F.col("relation"), a)) | (F.col("relation_type") == "HAS_PROPERTY")
     listed = F.contains(F.col("relation"), F.coalesce(F.try_element_at("params", F.lit("list_type")), F.lit("")))
     kept = F.when(F.col("type") == "ATTRIBUTE", holds).when(F.col("type") == "LIST", listed).when(F.col("type") == "FACT", F.col("object_id") == F.col("other_id")).otherwise(F.lit(True))
@@ -84,19 +127,23 @@ _OPEN = "type in ('COMPARISON', 'OPEN', 'UNKNOWN')"
 
 def exact(graph: Graph, parsed: DataFrame, links: DataFrame) -> DataFrame:
     """Results of every question by its type. ``links`` has the entities of ``questions.link_entities`` that exist."""
+    links, named = cut(links, "links"), cut(_named_relations(graph, parsed.filter(_OPEN)), "relations")
+    near = _near(graph, links, named)
     related = parsed.filter("type = 'RELATION'").select("query_id", F.lit(2).alias("most"))
-    hits = _of_first(graph, parsed, links).unionByName(_between(graph, related, links, 2)).unionByName(_of_all(graph, parsed.filter(_OPEN), links))
+    hits = _of_first(near, parsed, links).unionByName(_between(graph, near, related, links, 2)).unionByName(_of_all(near, parsed.filter(_OPEN), links, named))
     return _judged(graph, hits, parsed, links)
 
 
 def related_items(graph: Graph, q: DataFrame, links: DataFrame, depth: int) -> DataFrame:
     """The triples of all simple paths between the first two entities of questions; each triple of a path of n has relevance 1/n."""
-    return _judged(graph, _between(graph, q.select("query_id", F.lit(depth).alias("most")), links, depth), q, links)
+    links = cut(links, "links")
+    return _judged(graph, _between(graph, _near(graph, links), q.select("query_id", F.lit(depth).alias("most")), links, depth), q, links)
 
 
 def generic(graph: Graph, q: DataFrame, links: DataFrame) -> DataFrame:
     """Triples around every entity that a question names, and of every relation that it names, by relevance. Duplicates stay."""
-    return _judged(graph, _of_all(graph, q, links), q, links)
+    links, named = cut(links, "links"), cut(_named_relations(graph, q), "relations")
+    return _judged(graph, _of_all(_near(graph, links, named), q, links, named), q, links)
 
 
 def ranked(items: DataFrame, min_confidence: float = 0.0, offset: int = 0, limit: int = 10) -> DataFrame:
@@ -118,10 +165,13 @@ def route(kind: Column, n_entities: Column, strategy: str = "HYBRID") -> Column:
 
 
 def search(graph: Graph, parsed: DataFrame, links: DataFrame, strategy: str = "HYBRID", min_confidence: float = 0.0, offset: int = 0, limit: int = 10, depth: int = 3) -> DataFrame:
-    """Ranked results of all questions, each by the way its type and the strategy say."""
-    known = links.filter("confidence > 0")
+    """Ranked results of all questions, each by the way its type and the strategy say. Triples are gone through twice (once more for
+    each two hops that ``depth`` has beyond 3), entities once; results are written to the shared folder, so they can be read often."""
+    known = cut(links.filter("confidence > 0"), "links")
     routed = parsed.withColumn("way", route(F.col("type"), F.size("entities"), strategy))
     straight, depths = routed.filter("way <> 'PATH_FINDING'"), F.when(F.col("way") == "PATH_FINDING", depth).when(F.col("type") == "RELATION", 2)
-    between = routed.withColumn("most", depths).filter("most is not null")
-    hits = _of_first(graph, straight, known).unionByName(_between(graph, between, known, max(depth, 2))).unionByName(_of_all(graph, straight.filter(_OPEN), known))
-    return ranked(_judged(graph, hits, parsed, known), min_confidence, offset, limit)
+    between, open_ = routed.withColumn("most", depths).filter("most is not null"), straight.filter(_OPEN)
+    named = cut(_named_relations(graph, open_), "relations")
+    near = _near(graph, known, named)
+    hits = _of_first(near, straight, known).unionByName(_between(graph, near, between, known, max(depth, 2))).unionByName(_of_all(near, open_, known, named))
+    return cut(ranked(_judged(graph, hits, parsed, known), min_confidence, offset, limit), "found")

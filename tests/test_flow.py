@@ -45,3 +45,30 @@ def test_two_rounds(spark, graph):
 def test_no_questions(spark, graph):
     got = flow.process(graph, spark.createDataFrame([], MESSAGES), spark.createDataFrame([], ATTRIBUTES), spark.createDataFrame([], ASKED))
     assert got.answers.count() == got.messages.count() == got.attributes.count() == 0
+
+
+def test_a_search_reads_the_triples_twice_and_the_entities_twice(spark):
+    from graphloom.operators import answers, graph, questions, search
+
+    names = ["a", "b", "c", "d"]
+    read = {t: spark.sparkContext.accumulator(0) for t in ("entities", "triples")}
+
+    def counted(df, table):
+        seen = read[table]
+
+        def count(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        return df.mapInArrow(count, df.schema)
+
+    entities = spark.createDataFrame([(n, n, "PERSON", {}) for n in names], "id string, name string, type string, properties map<string,string>")
+    relations = spark.createDataFrame([("r", "knows", "CUSTOM", "", False, {})], "id string, name string, type string, inverse_name string, symmetric boolean, properties map<string,string>")
+    triples = spark.createDataFrame([(f"{s}_r_{o}", s, "r", o, 1.0, {}) for s, o in (("a", "b"), ("b", "c"), ("c", "d"))], "id string, subject_id string, relation_id string, object_id string, confidence double, properties map<string,string>")
+    g = graph.Graph(counted(entities, "entities"), relations, counted(triples, "triples"))
+    parsed = questions.parse(spark.createDataFrame([(1, "a和d有什么关系？"), (2, "b是谁？")], "query_id int, text string"))
+    found = search.search(g, parsed, questions.link_entities(parsed, g.entities))
+    told = answers.generate(parsed, found, model=lambda p: p).collect()
+    assert [(r.query_id, r.triple_id) for r in found.sort("query_id", "path_index", "triple_id").collect()] == [(1, "a_r_b"), (1, "b_r_c"), (1, "c_r_d"), (2, "a_r_b"), (2, "b_r_c")]
+    assert len(told) == 2 and read["triples"].value <= 2 * 3 and read["entities"].value <= 2 * 4
