@@ -69,6 +69,15 @@ def rule_set(name: str) -> tuple[list[Rule], list[Rule]]:
     return [r for r in rules if not r.label], [r for r in rules if r.label]
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs`` dealt out by doc_id over as many tasks as the session shuffles to: a small file is one task otherwise, and texts take
+    far longer to match than to move. A given number, as small partitions would be put together again. Windows by document follow
+    without a further exchange."""
+    spark = docs.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return docs.repartition(n, "doc_id")
+
+
 _MENTIONS = "rule_name string, type string, label string, text string, position int, length int"
 
 
@@ -78,6 +87,7 @@ def mentions(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFram
     What a pattern cuts a text into, and what it matches, follow each other, so a match's place is the sum of the lengths before it:
     built-in functions alone. Only rules that can match nothing at all, where that does not hold, are looked for in Python.
     """
+    docs = spread(docs)
     odd = {i for i, r in enumerate(rules) if re.compile(r.pattern).search("") is not None}
     found = _placed(docs, [(i, r) for i, r in enumerate(rules) if i not in odd], text)
     return found.unionByName(_scanned(docs, [(i, r) for i, r in enumerate(rules) if i in odd], text)) if odd else found
@@ -115,7 +125,7 @@ def _scanned(docs: DataFrame, rules: list[tuple[int, Rule]], text: str) -> DataF
 def rule_matches(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
     """doc_id, seq, rule_name, type, text of every match, without positions: built-in functions only."""
     found = F.array(*[F.struct(F.lit(i).alias("seq"), F.lit(r.name).alias("rule_name"), F.lit(r.type).alias("type"), F.lit(r.label).alias("label"), F.regexp_extract_all(F.col(text), F.lit(r.pattern), F.lit(0)).alias("texts")) for i, r in enumerate(rules)])
-    rows = docs.select("doc_id", F.explode(found).alias("m")).select("doc_id", "m.*")
+    rows = spread(docs).select("doc_id", F.explode(found).alias("m")).select("doc_id", "m.*")
     return rows.select("doc_id", "seq", "rule_name", "type", "label", F.explode("texts").alias("text")).filter("text <> ''")
 
 

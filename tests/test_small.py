@@ -98,3 +98,12 @@ def test_files_and_loaders(spark, tmp_path):
     assert [r.name for r in files.find_files(spark, str(tmp_path), (".txt",)).collect()] == ["a.txt"]
     got = {r.path.rsplit("/", 1)[-1]: (r.loader, r.text) for r in files.load_documents(spark, str(tmp_path)).collect()}
     assert got == {"a.txt": ("text", "text"), "b.HTML": ("html", "x"), "c.bin": ("text", ""), "d": ("text", "plain"), "e.docx": ("word", "one line\n"), "f.doc": ("word", "")}
+
+
+def test_matching_is_dealt_out_over_tasks(spark):
+    from graphloom.operators import extraction
+
+    docs = spark.range(40).selectExpr("id as doc_id", "'第7号' as text").coalesce(1)
+    found = extraction.mentions(docs, [extraction.Rule("number", "TIME", "[0-9]+")])
+    used = found.selectExpr("spark_partition_id() as p").distinct().count()
+    assert used > 1 and found.count() == 40
