@@ -73,7 +73,7 @@ class Graph:
         return one(self.entities, "entity").union(one(self.relations, "relation")).union(one(self.triples, "triple"))
 
     def described(self) -> DataFrame:
-        """Triples with the names and types of what they connect. Relations are a small table, checked by the optimizer's own broadcast limit."""
+        """Triples with the names and types of what they connect. Relations are a small table, which is broadcast."""
         return describe(self.triples, self.entities, self.relations)
 
     # Changes; each gives a new graph
@@ -134,7 +134,7 @@ class Graph:
 
     def expanded(self) -> DataFrame:
         """Triples and, for symmetric relations, the opposite ones."""
-        flipped = among(self.triples, "relation_id", self.relations.filter("symmetric"))
+        flipped = of_relations(self.triples, self.relations.filter("symmetric"))
         back = flipped.select(triple_id(F.col("object_id"), F.col("relation_id"), F.col("subject_id")).alias("id"), F.col("object_id").alias("subject_id"), "relation_id", F.col("subject_id").alias("object_id"), "confidence", "properties")
         return self.triples.unionByName(not_among(back, "id", self.triples))
 
@@ -156,6 +156,13 @@ def not_among(df: DataFrame, column: str, keys: DataFrame, key: str = "id") -> D
     return df.join(k, df[column] == k["_key"], "left").filter("_key is null").drop("_key")
 
 
+def of_relations(triples: DataFrame, relations: DataFrame) -> DataFrame:
+    """Triples of one of the relations. Those are kinds, so a small table, which is broadcast: dealt out by their relation, all
+    triples would go to as many tasks as there are relations."""
+    k = F.broadcast(relations.select(F.col("id").alias("_key")).distinct())
+    return triples.join(k, triples["relation_id"] == k["_key"]).drop("_key")
+
+
 def _equal(df: DataFrame, **wanted) -> DataFrame:
     for column, value in wanted.items():
         if value is not None:
@@ -221,14 +228,14 @@ def _inserted(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def valid_triples(triples: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
     """Triples whose subject, object and relation exist."""
-    return among(among(among(triples, "relation_id", relations), "subject_id", entities), "object_id", entities)
+    return among(among(of_relations(triples, relations), "subject_id", entities), "object_id", entities)
 
 
 def describe(triples: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
     s = entities.select(F.col("id").alias("subject_id"), F.col("name").alias("subject"), F.col("type").alias("subject_type"))
     o = entities.select(F.col("id").alias("object_id"), F.col("name").alias("object"), F.col("type").alias("object_type"))
     r = relations.select(F.col("id").alias("relation_id"), F.col("name").alias("relation"), F.col("type").alias("relation_type"))
-    return triples.join(r, "relation_id").join(s, "subject_id").join(o, "object_id")
+    return triples.join(F.broadcast(r), "relation_id").join(s, "subject_id").join(o, "object_id")
 
 
 def _hops(triples: DataFrame) -> DataFrame:

@@ -107,3 +107,10 @@ def test_matching_is_dealt_out_over_tasks(spark):
     found = extraction.mentions(docs, [extraction.Rule("number", "TIME", "[0-9]+")])
     used = found.selectExpr("spark_partition_id() as p").distinct().count()
     assert used > 1 and found.count() == 40
+
+
+def test_triples_are_not_dealt_out_by_relation(spark):
+    from graphloom.operators import graph
+
+    g = graph.Graph.empty(spark)
+    assert "hashpartitioning(relation_id" not in g.expanded()._jdf.queryExecution().toString()
