@@ -21,6 +21,7 @@ from ..functions.names import STOP_WORDS
 from ..functions.text import Cleaner
 from ..functions.tokens import Segmenter
 from ..sources.files import load_documents
+from .scratch import small_batches
 
 #: The columns that the steps fill, in order, and what they hold before.
 COLUMNS = {"cleaned": "string", "chunks": "array<string>", "metadata": "map<string,string>", "tokens": "array<string>", "keywords": "array<struct<word:string,weight:double>>"}
@@ -141,7 +142,7 @@ class Pipeline:
     def __call__(self, docs: DataFrame, options: Options | None = None) -> DataFrame:
         """``docs`` (text, others) with the columns of ``COLUMNS``; those of no step are empty."""
         options = options or Options()
-        rows = docs.select(*[c for c in docs.columns if c not in COLUMNS], *[_nothing(t).alias(c) for c, t in COLUMNS.items()])
+        rows = small_batches(docs).select(*[c for c in docs.columns if c not in COLUMNS], *[_nothing(t).alias(c) for c, t in COLUMNS.items()])
         for step in self.steps:
             rows = step(rows, options)
         return rows

@@ -47,3 +47,19 @@ def test_files(spark, tmp_path):
 def test_top_tokens():
     assert p.top_tokens(["b", "a", "a", "c", "b"], 2, ()) == [{"word": "a", "weight": 0.4}, {"word": "b", "weight": 0.4}]
     assert p.top_tokens([], 3) == []
+
+
+def test_workers_get_few_texts_at_once(spark):
+    from graphloom.operators import preprocess
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "10000")
+        step = preprocess.own_step("size", lambda t: t)
+        rows = preprocess.Pipeline([preprocess.cleaning(), step])(spark.range(600).selectExpr("id", "'a b' as text").coalesce(1))
+        seen = rows.select("size").mapInPandas(lambda batches: (b.assign(size=str(len(b))) for b in batches), "size string")
+        sizes = [int(r.size) for r in seen.collect()]
+        assert len(sizes) == 600 and max(sizes) <= 256
+    finally:
+        spark.conf.set(name, before)
