@@ -90,3 +90,28 @@ def test_questions_find_triples_by_meaning(spark, tmp_path):
     q = spark.createDataFrame([(1, "who made the copper ring"), (2, "zzz"), (3, None)], "query_id long, text string")
     got = semantic.semantic_search(g, q, str(tmp_path), least=0.5).collect()
     assert [(r.query_id, r.entity_id, r.id, r.subject) for r in got] == [(1, "e1", "t1", "small copper ring")]
+
+
+def test_vectors_are_the_same_when_few_terms_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(semantic, "FEW_ROWS", 2)
+    texts = [(1, "a b a c"), (2, "b"), (3, ""), (4, None), (5, "c d e f g h a b c"), (6, "x")]
+    got = {r.id: r.vector for r in semantic.text_vectors(spark.createDataFrame(texts, DOCS), size=16, places=3).collect()}
+    want = plain_vectors(texts, 16, 3)
+    assert set(got) == set(want) and all(np.allclose(got[i], want[i]) for i in want)
+
+
+def test_shuffles_of_text_vectors_stay_below_the_texts(spark, rng):
+    """Terms went to their idf and back four times over, each with its document."""
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(3000)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=600))) for i in range(200)], DOCS)
+    df = semantic.text_vectors(docs, size=16)
+    df.collect()
+    found, todo = {}, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        kind = node.getClass().getSimpleName()
+        todo += [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else []
+        if node.metrics().contains("shuffleBytesWritten"):
+            found[node.id()] = node.metrics().apply("shuffleBytesWritten").value()
+    assert 0 < sum(found.values()) < docs.agg(F.sum(F.length("text"))).first()[0]
