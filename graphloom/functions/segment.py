@@ -10,6 +10,7 @@ import re
 from collections.abc import Iterable, Iterator, Mapping
 from statistics import median
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ MOST_WORDS = 2_000_000
 #: States of a character: begin, end and middle of a word, or a word of its own; and which may follow which, and stand last.
 STATES = "BEMS"
 _AFTER = {"B": "EM", "E": "BS", "M": "EM", "S": "BS"}
+#: Entries of the table by which many runs are cut at once, and characters that are.
+TABLE, AT_ONCE = 1 << 24, 1 << 19
 #: Weight of what a model has never seen.
 NEVER = -3.14e100
 
@@ -77,6 +80,7 @@ class Segmenter:
 
     def _enter(self, word: str) -> None:
         self.starts.update(word[:k] for k in range(1, len(word) + 1))
+        self._made = None
 
     def add(self, word: str, weight: float | None = None) -> Segmenter:
         """A word of one's own, with the dictionary's median weight unless one is given; the model leaves it alone."""
@@ -106,6 +110,84 @@ class Segmenter:
             i += size[i]
         return out
 
+    def _table(self):
+        """The place of each character, what beginning of a word follows each on each character, and their weights as words; or None
+        where that is too large, or weights are not whole numbers, whose sums are the same in any order."""
+        if self._made is None:
+            marks = {c: i for i, c in enumerate(sorted({c for w in self.weights for c in w}), 1)}
+            fit = (len(self.starts) + 1) * (len(marks) + 1) <= TABLE and all(float(w).is_integer() and abs(w) < 1 << 30 for w in [self.low, *self.weights.values()])
+            self._made = ()
+            if fit and marks:
+                node = {p: i for i, p in enumerate(self.starts, 1)} | {"": 0}
+                follow, weight = np.zeros((len(node), len(marks) + 1), np.int32), np.full(len(node), -np.inf)
+                for p, i in node.items():
+                    if p:
+                        follow[node[p[:-1]], marks[p[-1]]] = i
+                        weight[i] = self.weights.get(p, -np.inf)
+                place = np.zeros(max(map(ord, marks)) + 2, np.int32)
+                place[[ord(c) for c in marks]] = list(marks.values())
+                self._made = place, follow, weight
+        return self._made or None
+
+    def paths(self, runs: list[str]) -> Iterator[list[str]]:
+        """The paths of many runs, ``path`` of each: of as many characters at once as ``AT_ONCE`` says."""
+        at = 0
+        while at < len(runs):
+            n, to = len(runs[at]), at + 1
+            while to < len(runs) and n + len(runs[to]) <= AT_ONCE:
+                n, to = n + len(runs[to]), to + 1
+            sizes = self._sizes(runs[at:to]) if self._table() else None
+            begin = 0
+            for run in runs[at:to]:
+                if sizes is None:
+                    yield self.path(run)
+                    continue
+                out, i = [], 0
+                while i < len(run):
+                    k = sizes[begin + i]
+                    out.append(run[i : i + k])
+                    i += k
+                begin += len(run) + 1
+                yield out
+            at = to
+
+    def _sizes(self, runs: list[str]) -> list[int]:
+        """The length of the best path's first word from each place of the runs on, a place between each two of them. No word of the
+        dictionary reaches over some places: what lies between these is gone through from its end, all at the same time."""
+        place, follow, weight = self._table()
+        codes = np.frombuffer("\0".join([*runs, ""]).encode("utf-32-le"), np.uint32)
+        marks, n = place[np.minimum(codes, len(place) - 1)], len(codes)
+        here, node = np.arange(n), follow[0, marks]
+        ways, over = [np.where(np.isneginf(weight[node]), self.low, weight[node])], np.zeros(n + 2, np.int64)
+        while True:
+            keep = (node > 0) & (here + len(ways) < n)
+            here, node = here[keep], node[keep]
+            if not len(here):
+                break
+            node = follow[node, marks[here + len(ways)]]
+            more = np.full(n, -np.inf)
+            more[here] = weight[node]
+            ways.append(more)
+            found = here[~np.isneginf(weight[node])]
+            np.add.at(over, found + 1, 1)
+            np.add.at(over, found + len(ways), -1)
+        ends = np.flatnonzero(np.cumsum(over[: n + 1])[1:] == 0) + 1
+        length = np.diff(ends, prepend=0)
+        order = np.argsort(-length, kind="stable")
+        ends, length = ends[order], length[order]
+        active = np.searchsorted(-length, -np.arange(1, length[0] + 1), side="right")
+        table, far = np.stack(ways, axis=1)[:, ::-1], np.arange(len(ways), 0, -1)  # the longest words first: of equal sums they win
+        best, size = np.zeros(n + 1), np.ones(n, np.int64)
+        for t, m in enumerate(active, 1):
+            p, lo = ends[:m] - t, max(0, len(ways) - t)
+            sums, after = table[p, lo:], best[p[:, None] + far[lo:]]
+            if t <= len(ways):
+                after[:, 0] = 0.0
+            sums = sums + after
+            k = sums.argmax(axis=1)
+            best[p], size[p] = sums[np.arange(m), k], far[lo + k]
+        return size.tolist()
+
     def _loose(self, words: Iterable[str], known: bool) -> Iterator[str]:
         """``words`` with neighbouring single characters joined: by the model, or unknown ones whole."""
         held = ""
@@ -119,13 +201,17 @@ class Segmenter:
             if w is not None:
                 yield w
 
-    def _run(self, run: str, mode: str) -> Iterator[str]:
+    def _run(self, run: str, mode: str, path: list[str] | None = None) -> Iterator[str]:
+        if mode == "HMM" and self.model:
+            yield from self.model.cut(run)
+            return
+        path = self.path(run) if path is None else path
         if mode == "HMM":
-            yield from self.model.cut(run) if self.model else self._loose(self.path(run), True)
+            yield from self._loose(path, True)
         elif mode == "MIX" or not self.model:
-            yield from self.path(run) if mode != "SEARCH" else self._search(self.path(run))
+            yield from path if mode != "SEARCH" else self._search(path)
         else:
-            words = self._loose(self.path(run), False)
+            words = self._loose(path, False)
             yield from self._search(words) if mode == "SEARCH" else words
 
     def _search(self, words: Iterable[str]) -> Iterator[str]:
@@ -142,6 +228,14 @@ class Segmenter:
             out.extend(self._run(m.group(), mode) if "一" <= m.group()[0] <= "龥" else [m.group()])
         return out
 
+    def cut_all(self, texts: Iterable[str | None], mode: str = "DEFAULT") -> Iterator[list[str]]:
+        """``cut`` of each text, with the paths of all found together."""
+        parts = [_RUN.findall(t or "") for t in texts]
+        han = lambda run: "一" <= run[0] <= "龥"
+        found = iter(()) if mode == "HMM" and self.model else self.paths([r for p in parts for r in p if han(r)])
+        for p in parts:
+            yield [w for r in p for w in (self._run(r, mode, next(found, None)) if han(r) else [r])]
+
     def column(self, c: Column, mode: str = "DEFAULT", stop_words: bool = False) -> Column:
         """The words of a column, and without the stop words if asked. The word graph is beyond SQL, so batches go through Arrow."""
         sent = SparkSession.active().sparkContext.broadcast(self)
@@ -149,8 +243,8 @@ class Segmenter:
 
         @F.pandas_udf("array<string>")
         def cut(texts: pd.Series) -> pd.Series:
-            segment = sent.value.cut
-            return texts.map(lambda t: [w for w in segment(t, mode) if w not in skipped])
+            words = sent.value.cut_all(texts, mode)
+            return pd.Series([[w for w in ws if w not in skipped] if skipped else ws for ws in words], index=texts.index, dtype=object)
 
         return cut(c)
 

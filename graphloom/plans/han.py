@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import segment
+from ..operators.extraction import spread
+from ..operators.scratch import small_batches
 from .queries import query
 from .star import _read
 
@@ -78,7 +80,7 @@ def cjk_path_tokens(spark, d):
 
 def recovered(docs, mode="DEFAULT"):
     """doc_id, its number of words, and the words that are found in it without its spaces, by dictionary and model of all documents."""
-    words = _han_words(docs)
+    words = _han_words(small_batches(spread(docs.select("doc_id", "text"))))
     made = segment.segmenter(dictionary(docs), segment.model_of(segment.state_counts(words)))
     return words.select("doc_id", F.coalesce(F.size("tokens"), F.lit(0)).alias("n_words"), made.column(F.array_join("tokens", ""), mode).alias("tokens"))
 

@@ -124,3 +124,25 @@ def test_documents_are_recovered_as_by_the_plain_segmenter(spark):
         assert got[i].tokens == (made.cut(run) or [])
         if 0 < len(run) < 16 and texts[i]:
             assert made.cut(run, "MIX") == plain_path(run, made.weights)
+
+
+def test_many_runs_at_once_are_cut_as_each_by_itself(rng, monkeypatch):
+    words = {"".join(rng.choices("天地玄黄宇", k=rng.randint(1, 6))): -rng.randint(1, 9) for _ in range(60)}
+    runs = ["".join(rng.choices("天地玄黄宇宙", k=rng.randint(1, 90))) for _ in range(300)]
+    made = Segmenter(words)
+    for at_once in (1, 200, 1 << 17):
+        monkeypatch.setattr(segment, "AT_ONCE", at_once)
+        assert list(made.paths(runs)) == [made.path(r) for r in runs]
+    assert made.add("宙宙天", 5) and list(made.paths(runs)) == [made.path(r) for r in runs]
+    odd = Segmenter({w: x / 3 for w, x in words.items()})
+    assert list(odd.paths(runs)) == [odd.path(r) for r in runs] and list(made.paths([])) == []
+    texts = [None, "", "abc 天地，玄x9", *runs]
+    for mode in ("MIX", "DEFAULT", "SEARCH", "HMM"):
+        assert list(made.cut_all(texts, mode)) == [made.cut(t, mode) for t in texts]
+
+
+def test_documents_are_dealt_out_before_they_are_cut(spark):
+    from graphloom.plans import han
+
+    docs = spark.createDataFrame([(i, "some words") for i in range(50)], "doc_id long, text string").coalesce(1)
+    assert han.recovered(docs).rdd.getNumPartitions() >= 4
