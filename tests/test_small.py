@@ -114,3 +114,18 @@ def test_triples_are_not_dealt_out_by_relation(spark):
 
     g = graph.Graph.empty(spark)
     assert "hashpartitioning(relation_id" not in g.expanded()._jdf.queryExecution().toString()
+
+
+def test_look_ups_of_an_entity_read_only_tables_that_may_have_it(spark):
+    import __spark_entry__ as entry
+    from graphloom.plans import star
+
+    data = "/root/testdata/sf0.001"
+    for name in ("kg_entity_by_id", "kg_entity_by_name"):
+        df = entry.queries()[name](spark, data)
+        assert df.count() and "o_orderkey" not in df._jdf.queryExecution().executedPlan().toString()
+    every = star.star_graph(spark, data)
+    for i in ("r:1", "n:3", "s:2", "c:5", "p:7", "o:1", "b:Brand#1", "s:02", "o:x", "", "x:1"):
+        assert star.star_graph(spark, data, id_=i).entity(i).collect() == every.entity(i).collect()
+    for n in ("order 1", "order x", "order", "Brand#1", "small ring"):
+        assert sorted(map(str, star.star_graph(spark, data, name=n).entities_by(name=n).collect())) == sorted(map(str, every.entities_by(name=n).collect()))
