@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions.names import triple_id
-from .scratch import cut
+from .scratch import cut, dealt, few
 
 
 @dataclass(frozen=True)
@@ -106,17 +106,18 @@ class Graph:
         """The union by id, where this graph's rows win, and the numbers of added entities and triples.
 
         ``wins(new, old)`` takes the two prefixes of a clashing triple's columns, as in ``F.col(f"{new}.confidence")``, and says when the new
-        one replaces the old one; a replaced triple counts as added.
+        one replaces the old one; a replaced triple counts as added. The other graph's triples are dealt out by their id once, over more
+        tasks the more there are, and only ids and what ``wins`` compares of this graph's go to them.
         """
         entities = not_among(_named(other.entities), "id", self.entities)
         relations = not_among(_named(other.relations), "id", self.relations)
         all_entities, all_relations = self.entities.unionByName(entities), self.relations.unionByName(relations)
-        incoming = valid_triples(one_of_each(other.triples), all_entities, all_relations)
-        fresh = not_among(incoming, "id", self.triples)
-        kept, added = self.triples, fresh
+        names, kinds = (mine.select("id").union(theirs.filter(_HAS_ID).select("id")) for mine, theirs in ((self.entities, other.entities), (self.relations, other.relations)))
+        incoming = valid_triples(one_of_each(dealt(other.triples, "id")), names, kinds, other.triples)
+        kept, added = self.triples, not_among(incoming, "id", self.triples)
         if wins is not None:
-            won = incoming.alias("new").join(self.triples.alias("old"), F.col("new.id") == F.col("old.id")).filter(wins("new", "old")).select("new.*")
-            kept, added = not_among(self.triples, "id", won), fresh.unionByName(won)
+            added = incoming.alias("new").join(self.triples.alias("old"), F.col("new.id") == F.col("old.id"), "left").filter(F.col("old.id").isNull() | wins("new", "old")).select("new.*")
+            kept = not_among(self.triples, "id", added)
         counts = entities.agg(F.count("*").alias("added_entities")).crossJoin(added.agg(F.count("*").alias("added_triples")))  # one row each
         return replace(self, entities=all_entities, relations=all_relations, triples=kept.unionByName(added)), counts
 
@@ -152,7 +153,12 @@ def among(df: DataFrame, column: str, keys: DataFrame, key: str = "id") -> DataF
 
 def not_among(df: DataFrame, column: str, keys: DataFrame, key: str = "id") -> DataFrame:
     """Rows whose column is none of the keys; null is none."""
-    k = keys.select(F.col(key).alias("_key")).distinct()
+    return _without(df, column, keys.select(key).distinct(), key)
+
+
+def _without(df: DataFrame, column: str, keys: DataFrame, key: str = "id") -> DataFrame:
+    """``not_among`` for keys that are distinct."""
+    k = keys.select(F.col(key).alias("_key"))
     return df.join(k, df[column] == k["_key"], "left").filter("_key is null").drop("_key")
 
 
@@ -213,22 +219,34 @@ def canonical(df: DataFrame, column: str) -> Column:
 
 def one_of_each(df: DataFrame, key: str = "id") -> DataFrame:
     """One row of each key, that which sorts first by its columns in order (nulls first), so always the same one."""
-    order = F.struct(*[canonical(df, c) for c in df.columns if c != key])
-    return df.groupBy(key).agg(F.min_by(F.struct(*df.columns), order).alias("row")).select("row.*")
+    rest = [c for c in df.columns if c != key]
+    order = F.struct(*[canonical(df, c) for c in rest])
+    # the key itself is kept, so the rows are known to be dealt out by it
+    return df.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("row")).select(*[key if c == key else f"row.{c}" for c in df.columns])
+
+
+_HAS_ID = "id is not null and id <> ''"
 
 
 def _named(df: DataFrame) -> DataFrame:
     """Rows with an id, one of each."""
-    return one_of_each(df.filter("id is not null and id <> ''"))
+    return one_of_each(df.filter(_HAS_ID))
 
 
 def _inserted(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(not_among(_named(new), "id", old), allowMissingColumns=True)
 
 
-def valid_triples(triples: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
-    """Triples whose subject, object and relation exist."""
-    return among(among(of_relations(triples, relations), "subject_id", entities), "object_id", entities)
+def valid_triples(triples: DataFrame, entities: DataFrame, relations: DataFrame, within: DataFrame | None = None) -> DataFrame:
+    """Triples whose subject, object and relation exist.
+
+    Ends that are no entity are looked for first, and written: a task sends an end once, however many triples have it, and where
+    they are few the triples themselves do not move. ``within``: triples that have all ends of these and are cheaper to go through.
+    """
+    ends = (triples if within is None else within).select(F.explode(F.array("subject_id", "object_id")).alias("id")).distinct()
+    unknown = few(not_among(ends, "id", entities), "unknown")
+    held = of_relations(triples, relations).filter("subject_id is not null and object_id is not null")
+    return _without(_without(held, "subject_id", unknown), "object_id", unknown)
 
 
 def describe(triples: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:

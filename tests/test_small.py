@@ -129,3 +129,38 @@ def test_look_ups_of_an_entity_read_only_tables_that_may_have_it(spark):
         assert star.star_graph(spark, data, id_=i).entity(i).collect() == every.entity(i).collect()
     for n in ("order 1", "order x", "order", "Brand#1", "small ring"):
         assert sorted(map(str, star.star_graph(spark, data, name=n).entities_by(name=n).collect())) == sorted(map(str, every.entities_by(name=n).collect()))
+
+
+def _odd_merge(spark, wins=True):
+    """This graph, another with clashing, repeated, dangling and null rows, and the two merged."""
+    from graphloom import schema
+    from graphloom.operators import graph
+
+    def made(entities, triples):
+        e = spark.createDataFrame([(i, i, "T", {}) for i in entities], schema.ENTITIES)
+        r = spark.createDataFrame([("r", "r", "T", "", False, {})], schema.RELATIONS)
+        return graph.Graph(e, r, spark.createDataFrame([(i, s, p, o, c, {}) for i, s, p, o, c in triples], schema.TRIPLES))
+
+    mine = made(["a", "b", ""], [("1", "a", "r", "b", 0.5), ("2", "b", "r", "a", 0.5), ("3", "gone", "r", "a", 0.5)])
+    own = [("1", "a", "r", "b", 0.9), ("1", "a", "r", "b", 0.8), ("2", "b", "r", "a", 0.4), ("3", "a", "r", "a", 0.9), ("4", "c", "r", "a", 0.1), ("5", "a", "r", "", 0.1)]
+    bad = [("6", "a", "r", "nobody", 1.0), ("7", "nobody", "r", "a", 1.0), ("8", "a", "no", "b", 1.0), ("9", None, "r", "a", 1.0), ("10", "a", "r", None, 1.0), ("11", "a", "r", "nobody", 1.0), ("11", "b", "r", "a", 1.0)]
+    other = made(["a", "c", "c", None], own + bad + [(None, "a", "r", "c", 0.2)])
+    return mine.merge(other, (lambda new, old: F.col(f"{new}.confidence") > F.col(f"{old}.confidence")) if wins else None)
+
+
+@pytest.mark.parametrize("wins", [True, False])
+def test_merge_of_odd_rows(spark, wins):
+    merged, counts = _odd_merge(spark, wins)
+    got = sorted((str(r.id), r.subject_id, r.confidence) for r in merged.triples.collect())
+    new = [("1", "a", 0.8), ("2", "b", 0.5), ("3", "a", 0.9)] if wins else [("1", "a", 0.5), ("2", "b", 0.5), ("3", "gone", 0.5)]
+    assert got == sorted([*new, ("4", "c", 0.1), ("5", "a", 0.1), ("None", "a", 0.2)])
+    assert counts.first() == (1, 5 if wins else 3) and sorted(r.id for r in merged.entities.collect()) == ["", "a", "b", "c"]
+
+
+def test_merge_deals_triples_out_once_and_over_more_tasks_the_more_there_are(spark, monkeypatch):
+    from graphloom.operators import scratch
+
+    monkeypatch.setattr(scratch, "TASK_ROWS", 2, raising=False)
+    plan = _odd_merge(spark)[0].triples._jdf.queryExecution().toString()
+    assert "hashpartitioning(subject_id" not in plan and "hashpartitioning(object_id" not in plan
+    assert re.search(r"hashpartitioning\(id#\d+, 7\)", plan)  # 14 triples
