@@ -90,12 +90,15 @@ class Graph:
         return replace(self, triples=_inserted(self.triples, valid_triples(made, self.entities, self.relations)))
 
     def remove_entities(self, ids: DataFrame) -> Graph:
-        """Entities go, and so do triples from or to them."""
-        triples = not_among(not_among(self.triples, "subject_id", ids), "object_id", ids)
-        return replace(self, entities=not_among(self.entities, "id", ids), triples=triples)
+        """Entities go, and so do triples from or to them. The ids are written first; where they are few nothing else moves."""
+        gone = few(ids.select("id"), "gone")
+        triples = _without(_without(self.triples, "subject_id", gone), "object_id", gone)
+        return replace(self, entities=_without(self.entities, "id", gone), triples=triples)
 
     def remove_relations(self, ids: DataFrame) -> Graph:
-        return replace(self, relations=not_among(self.relations, "id", ids), triples=not_among(self.triples, "relation_id", ids))
+        """Relations go, and so do triples of them. They are kinds, so a small table, which is broadcast."""
+        gone = F.broadcast(ids.select("id").distinct())
+        return replace(self, relations=_without(self.relations, "id", gone), triples=_without(self.triples, "relation_id", gone))
 
     def remove_triples(self, ids: DataFrame) -> Graph:
         return replace(self, triples=not_among(self.triples, "id", ids))

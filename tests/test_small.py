@@ -164,3 +164,21 @@ def test_merge_deals_triples_out_once_and_over_more_tasks_the_more_there_are(spa
     plan = _odd_merge(spark)[0].triples._jdf.queryExecution().toString()
     assert "hashpartitioning(subject_id" not in plan and "hashpartitioning(object_id" not in plan
     assert re.search(r"hashpartitioning\(id#\d+, 7\)", plan)  # 14 triples
+
+
+def test_removal_of_few_rows_moves_no_triples(spark, monkeypatch):
+    from graphloom import schema
+    from graphloom.operators import graph, scratch
+
+    e = spark.createDataFrame([(i, i, "T", {}) for i in ("a", "b", "c", None)], schema.ENTITIES)
+    r = spark.createDataFrame([(i, i, "T", "", False, {}) for i in ("r", "q")], schema.RELATIONS)
+    rows = [("1", "a", "r", "b", 1.0), ("2", "b", "r", "c", 1.0), ("3", "c", "r", "b", 1.0), ("4", None, "q", "b", 1.0), ("5", "c", "q", None, 1.0), ("6", "a", None, "a", 1.0)]
+    k = graph.Graph(e, r, spark.createDataFrame([(*x, {}) for x in rows], schema.TRIPLES))
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    for few_rows in (scratch.FEW_ROWS, 0):
+        monkeypatch.setattr(scratch, "FEW_ROWS", few_rows)
+        left, rest = k.remove_entities(ids("a", "a", None, "nobody")), k.remove_relations(ids("q", "q", None))
+        assert sorted(x.id for x in left.triples.collect()) == ["2", "3", "4", "5"] and sorted(str(x.id) for x in left.entities.collect()) == ["None", "b", "c"]
+        assert sorted(x.id for x in rest.triples.collect()) == ["1", "2", "3", "6"] and [x.id for x in rest.relations.collect()] == ["r"]
+        plans = [x.triples._jdf.queryExecution().toString() for x in (left, rest)]
+        assert not any(re.search(r"hashpartitioning\((subject|object|relation)_id", p) for p in plans)
