@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import inverse_name, is_symmetric, triple_id
 from .graph import Graph
+from .scratch import cut
 
 _HAN = "A-Za-z\\u4e00-\\u9fa5"
 
@@ -78,6 +79,17 @@ def spread(docs: DataFrame) -> DataFrame:
     return docs.repartition(n, "doc_id")
 
 
+_RUN_THEN_WORD = re.compile(r"(\[[^\[\]^&]+\])\+\(\?:([^()\[\]{}\\.*+?^$]+)\)")
+
+
+def _from_starts(pattern: str) -> str:
+    """A pattern that matches the same places, sooner. A run of some characters and then one of several words of such characters
+    reaches to the last of these words in a whole run, so it matches a run once at most, and from its start. Said so, it is not
+    tried from every other character on as well, which takes the square of the run's length."""
+    m = _RUN_THEN_WORD.fullmatch(pattern)
+    return f"(?<!{m[1]}){pattern}" if m and all(c == "|" or re.fullmatch(m[1], c) for c in m[2]) else pattern
+
+
 _MENTIONS = "rule_name string, type string, label string, text string, position int, length int"
 
 
@@ -85,7 +97,7 @@ def mentions(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFram
     """doc_id, seq, rule_name, type, label, text, position, length of every match, position and length in code points.
 
     What a pattern cuts a text into, and what it matches, follow each other, so a match's place is the sum of the lengths before it:
-    built-in functions alone. Only rules that can match nothing at all, where that does not hold, are looked for in Python.
+    built-in functions alone. Texts are cut only where something matches. Only rules that can match nothing at all, where that does not hold, are looked for in Python.
     """
     docs = spread(docs)
     odd = {i for i, r in enumerate(rules) if re.compile(r.pattern).search("") is not None}
@@ -95,8 +107,11 @@ def mentions(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFram
 
 def _placed(docs: DataFrame, rules: list[tuple[int, Rule]], text: str) -> DataFrame:
     body = F.col(text)
-    struct = lambda i, r: F.struct(F.lit(i).alias("seq"), F.lit(r.name).alias("rule_name"), F.lit(r.type).alias("type"), F.lit(r.label).alias("given"), F.regexp_extract_all(body, F.lit(r.pattern), F.lit(0)).alias("texts"), F.split(body, r.pattern, -1).alias("pieces"))
-    each = docs.select("doc_id", F.explode(F.array(*[struct(i, r) for i, r in rules]) if rules else F.array().cast("array<struct<seq:int,rule_name:string,type:string,given:string,texts:array<string>,pieces:array<string>>>")).alias("m")).select("doc_id", "m.*").filter(F.size("texts") > 0)
+    fast = {i: F.lit(_from_starts(r.pattern)) for i, r in rules}
+    struct = lambda i, r: F.struct(F.lit(i).alias("seq"), F.lit(r.name).alias("rule_name"), F.lit(r.type).alias("type"), F.lit(r.label).alias("given"), fast[i].alias("pattern"), F.regexp_extract_all(body, fast[i], F.lit(0)).alias("texts"))
+    every = F.array(*[struct(i, r) for i, r in rules]) if rules else F.array().cast("array<struct<seq:int,rule_name:string,type:string,given:string,pattern:string,texts:array<string>>>")
+    each = docs.select("doc_id", body.alias("body"), F.explode(F.filter(every, lambda m: F.size(m["texts"]) > 0)).alias("m"))
+    each = each.select("doc_id", "m.*", F.split("body", F.col("m.pattern"), -1).alias("pieces"))
     steps = F.zip_with("texts", F.slice("pieces", 1, F.size("texts")), lambda t, p: F.struct(F.char_length(p).alias("gap"), F.char_length(t).alias("n")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("places"))
     places = F.aggregate(steps, start, lambda s, x: F.struct((s["at"] + x["gap"] + x["n"]).alias("at"), F.concat(s["places"], F.array(s["at"] + x["gap"])).alias("places")), lambda s: s["places"])
@@ -124,14 +139,14 @@ def _scanned(docs: DataFrame, rules: list[tuple[int, Rule]], text: str) -> DataF
 
 def rule_matches(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
     """doc_id, seq, rule_name, type, text of every match, without positions: built-in functions only."""
-    found = F.array(*[F.struct(F.lit(i).alias("seq"), F.lit(r.name).alias("rule_name"), F.lit(r.type).alias("type"), F.lit(r.label).alias("label"), F.regexp_extract_all(F.col(text), F.lit(r.pattern), F.lit(0)).alias("texts")) for i, r in enumerate(rules)])
+    found = F.array(*[F.struct(F.lit(i).alias("seq"), F.lit(r.name).alias("rule_name"), F.lit(r.type).alias("type"), F.lit(r.label).alias("label"), F.regexp_extract_all(F.col(text), F.lit(_from_starts(r.pattern)), F.lit(0)).alias("texts")) for i, r in enumerate(rules)])
     rows = spread(docs).select("doc_id", F.explode(found).alias("m")).select("doc_id", "m.*")
     return rows.select("doc_id", "seq", "rule_name", "type", "label", F.explode("texts").alias("text")).filter("text <> ''")
 
 
-def first_by_name(found: DataFrame, name: str = "label") -> DataFrame:
-    """The first mention of each name in a document, by rule and place."""
-    order = Window.partitionBy("doc_id", name).orderBy("seq", "position")
+def first_by_name(found: DataFrame, *name: str) -> DataFrame:
+    """The first mention of each name in a document, by rule and place; names are labels unless other columns are given."""
+    order = Window.partitionBy("doc_id", *(name or ["label"])).orderBy("seq", "position")
     return found.withColumn("nth", F.row_number().over(order)).filter("nth = 1").drop("nth")
 
 
@@ -150,12 +165,15 @@ def nearest(relations: DataFrame, entities: DataFrame) -> DataFrame:
     """
     e = entities.select("doc_id", "position", F.lit(0).alias("kind"), F.struct("position", "label", "type").alias("entity"), F.lit(None).cast(_struct(relations)).alias("relation"))
     r = relations.select("doc_id", "position", F.lit(1).alias("kind"), F.lit(None).cast(e.schema["entity"].dataType).alias("entity"), F.struct("label", "type", "position").alias("relation"))
+    return _between(e.unionByName(r)).filter("kind = 1").select("doc_id", "relation", "before", "after")
+
+
+def _between(both: DataFrame) -> DataFrame:
+    """Mentions (doc_id, position, kind, entity, relation) with the nearest entity before and after each."""
     # both frames only grow as the rows go by, so each row is added once; a frame up to the end would be read anew for each row
     up, down = Window.partitionBy("doc_id").orderBy("position"), Window.partitionBy("doc_id").orderBy(F.desc("position"))
     back, ahead = up.rangeBetween(Window.unboundedPreceding, -1), down.rangeBetween(Window.unboundedPreceding, -1)
-    both = e.unionByName(r)
-    both = both.withColumn("before", F.max("entity").over(back)).withColumn("after", F.min("entity").over(ahead))
-    return both.filter("kind = 1").select("doc_id", "relation", "before", "after")
+    return both.withColumn("before", F.max("entity").over(back)).withColumn("after", F.min("entity").over(ahead))
 
 
 def _struct(relations: DataFrame) -> str:
@@ -194,14 +212,23 @@ class Extractor:
         """doc_id, subject, subject_type, relation, relation_type, object, object_type, confidence."""
         raise NotImplementedError
 
+    def facts(self, docs: DataFrame) -> DataFrame:
+        """What the documents hold, each once: kind (entity, relation or triple), name and type, and of triples the subject,
+        subject_type, object, object_type and the highest confidence. Relations that triples have need no row of their own."""
+        none = [F.lit(None).cast(t).alias(c) for c, t in (("subject", "string"), ("subject_type", "string"), ("object", "string"), ("object_type", "string"), ("confidence", "double"))]
+        one = lambda df, kind: df.select(F.lit(kind).alias("kind"), F.col("label").alias("name"), "type", *none)
+        triples = self.triples(docs).select(F.lit("triple").alias("kind"), F.col("relation").alias("name"), F.col("relation_type").alias("type"), "subject", "subject_type", "object", "object_type", "confidence")
+        return _once(one(self.entities(docs), "entity").union(one(self.relations(docs), "relation")).union(triples))
+
     def graph(self, docs: DataFrame, name: str = "graph", into: Graph | None = None) -> Graph:
-        """The graph of what the documents hold, added to ``into``."""
-        spark, found = docs.sparkSession, self.triples(docs)
+        """The graph of what the documents hold, added to ``into``. What they hold is written to the shared folder once."""
+        spark, facts = docs.sparkSession, cut(self.facts(docs), "facts")
+        found = facts.filter("kind = 'triple'").select("subject", "subject_type", F.col("name").alias("relation"), F.col("type").alias("relation_type"), "object", "object_type", "confidence")
         none = F.create_map().cast("map<string,string>")
-        named = self.entities(docs).select(F.col("label").alias("name"), "type")
+        named = facts.filter("kind = 'entity'").select("name", "type")
         ends = found.select(F.explode(F.array(F.struct(F.col("subject").alias("name"), F.col("subject_type").alias("type")), F.struct(F.col("object").alias("name"), F.col("object_type").alias("type")))).alias("e")).select("e.*")
         entities = named.union(ends).distinct().select(entity_id(F.col("name"), F.col("type")).alias("id"), "name", "type", none.alias("properties"))
-        kinds = self.relations(docs).select(F.col("label").alias("name"), "type").union(found.select("relation", "relation_type")).distinct()
+        kinds = facts.filter("kind <> 'entity'").select("name", "type").distinct()
         relations = kinds.select(relation_id(F.col("name"), F.col("type")).alias("id"), "name", "type", inverse_name(F.col("type")).alias("inverse_name"), is_symmetric(F.col("type")).alias("symmetric"), none.alias("properties"))
         s, o, r = entity_id(F.col("subject"), F.col("subject_type")), entity_id(F.col("object"), F.col("object_type")), relation_id(F.col("relation"), F.col("relation_type"))
         triples = found.groupBy(s.alias("subject_id"), r.alias("relation_id"), o.alias("object_id")).agg(F.max("confidence").alias("confidence"))
@@ -209,6 +236,10 @@ class Extractor:
         return (into or Graph.empty(spark, name)).add_entities(entities).add_relations(relations).add_triples(triples)
 
 
+def _once(facts: DataFrame) -> DataFrame:
+    return facts.groupBy("kind", "name", "type", "subject", "subject_type", "object", "object_type").agg(F.max("confidence").alias("confidence"))
+
+
 class RuleExtractor(Extractor):
     """Regular expressions. A relation joins the nearest entity before it to the nearest one after it; without both there is no triple."""
 
@@ -231,14 +262,26 @@ class RuleExtractor(Extractor):
         self.relation_types[rule_name] = type
         return self
 
-    def _mentions(self, docs: DataFrame, rules: list[Rule], types: dict[str, str]) -> DataFrame:
-        return mentions(docs, [Rule(r.name, types.get(r.name, r.type), r.pattern, r.label) for r in rules])
+    def _typed(self, rules: list[Rule], types: dict[str, str]) -> list[Rule]:
+        return [Rule(r.name, types.get(r.name, r.type), r.pattern, r.label) for r in rules]
 
     def entities(self, docs: DataFrame) -> DataFrame:
-        return first_by_name(self._mentions(docs, self.entity_rules, self.entity_types))
+        return first_by_name(mentions(docs, self._typed(self.entity_rules, self.entity_types)))
 
     def relations(self, docs: DataFrame) -> DataFrame:
-        return first_by_name(self._mentions(docs, self.relation_rules, self.relation_types))
+        return first_by_name(mentions(docs, self._typed(self.relation_rules, self.relation_types)))
+
+    def facts(self, docs: DataFrame) -> DataFrame:
+        """All rules are matched in one pass over the texts, and a document's mentions stay where its text was dealt to."""
+        rules = self._typed(self.entity_rules, self.entity_types) + self._typed(self.relation_rules, self.relation_types)
+        every = mentions(docs, rules).withColumn("kind", (F.col("seq") >= len(self.entity_rules)).cast("int"))
+        entity, relation = F.struct("position", "label", "type"), F.struct("label", "type", "position")
+        first = first_by_name(every, "kind", "label").select("doc_id", "position", "kind", F.when(F.col("kind") == 0, entity).alias("entity"), F.when(F.col("kind") == 1, relation).alias("relation"))
+        of = lambda c: F.coalesce(F.col("entity")[c], F.col("relation")[c])
+        held = (F.col("kind") == 1) & F.col("before").isNotNull() & F.col("after").isNotNull()
+        kind = F.when(held, "triple").when(F.col("kind") == 1, "relation").otherwise("entity")
+        ends = [F.when(held, F.col(at)[c]).alias(a) for at, c, a in (("before", "label", "subject"), ("before", "type", "subject_type"), ("after", "label", "object"), ("after", "type", "object_type"))]
+        return _once(_between(first).select(kind.alias("kind"), of("label").alias("name"), of("type").alias("type"), *ends, F.when(held, F.lit(1.0)).alias("confidence")))
 
     def triples(self, docs: DataFrame) -> DataFrame:
         joined = nearest(self.relations(docs), self.entities(docs)).filter("before is not null and after is not null")
