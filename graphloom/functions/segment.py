@@ -11,7 +11,7 @@ from collections.abc import Iterable, Iterator, Mapping
 from statistics import median
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +25,11 @@ MOST_WORDS = 2_000_000
 STATES = "BEMS"
 _AFTER = {"B": "EM", "E": "BS", "M": "EM", "S": "BS"}
 #: Entries of the table by which many runs are cut at once, and characters that are.
-TABLE, AT_ONCE = 1 << 24, 1 << 19
+TABLE, AT_ONCE = 1 << 24, 1 << 17
+#: Parts of texts, at least, that are gone through at the same time; of fewer, long ones each is gone through by itself.
+TOGETHER = 24
+#: Runs whose words a model keeps.
+REMEMBERED = 1 << 16
 #: Weight of what a model has never seen.
 NEVER = -3.14e100
 
@@ -37,6 +41,7 @@ class Model:
 
     def __init__(self, start: Mapping[str, float], follow: Mapping[tuple[str, str], float], emit: Mapping[tuple[str, str], float]):
         self.start, self.follow, self.emit = dict(start), dict(follow), dict(emit)
+        self._known: dict[str, list[str]] = {}
 
     def states(self, run: str) -> str:
         """The most probable states of a run's characters, by Viterbi; of equally probable ones those that come first in ``STATES``."""
@@ -52,12 +57,15 @@ class Model:
             out.append(step[out[-1]])
         return "".join(reversed(out))
 
-    def cut(self, run: str) -> Iterator[str]:
-        at = 0
-        for i, s in enumerate(self.states(run), 1):
-            if s in "ES":
-                yield run[at:i]
-                at = i
+    def cut(self, run: str) -> list[str]:
+        """The words of a run; those of short ones, which come again, are kept."""
+        out = self._known.get(run)
+        if out is None:
+            ends = [i for i, s in enumerate(self.states(run), 1) if s in "ES"]
+            out = [run[a:b] for a, b in zip([0, *ends], ends)]
+            if len(run) <= 16 and len(self._known) < REMEMBERED:
+                self._known[run] = out
+        return out
 
 
 class Segmenter:
@@ -119,14 +127,15 @@ class Segmenter:
             self._made = ()
             if fit and marks:
                 node = {p: i for i, p in enumerate(self.starts, 1)} | {"": 0}
-                follow, weight = np.zeros((len(node), len(marks) + 1), np.int32), np.full(len(node), -np.inf)
+                exact = np.float32 if all(abs(w) < 1 << 24 for w in [self.low, *self.weights.values()]) else np.float64
+                follow, weight = np.zeros((len(node), len(marks) + 1), np.int32), np.full(len(node), -np.inf, exact)
                 for p, i in node.items():
                     if p:
                         follow[node[p[:-1]], marks[p[-1]]] = i
                         weight[i] = self.weights.get(p, -np.inf)
                 place = np.zeros(max(map(ord, marks)) + 2, np.int32)
                 place[[ord(c) for c in marks]] = list(marks.values())
-                self._made = place, follow, weight
+                self._made = place, follow, weight, max(map(len, self.weights))
         return self._made or None
 
     def paths(self, runs: list[str]) -> Iterator[list[str]]:
@@ -142,77 +151,88 @@ class Segmenter:
                 if sizes is None:
                     yield self.path(run)
                     continue
+                own, n = sizes[begin : begin + len(run)].tolist(), len(run)
                 out, i = [], 0
-                while i < len(run):
-                    k = sizes[begin + i]
-                    out.append(run[i : i + k])
-                    i += k
-                begin += len(run) + 1
+                while i < n:
+                    j = i + own[i]
+                    out.append(run[i:j])
+                    i = j
+                begin += n + 1
                 yield out
             at = to
 
-    def _sizes(self, runs: list[str]) -> list[int]:
+    def _sizes(self, runs: list[str]) -> np.ndarray:
         """The length of the best path's first word from each place of the runs on, a place between each two of them. No word of the
         dictionary reaches over some places: what lies between these is gone through from its end, all at the same time."""
-        place, follow, weight = self._table()
+        place, follow, weight, longest = self._table()
         codes = np.frombuffer("\0".join([*runs, ""]).encode("utf-32-le"), np.uint32)
         marks, n = place[np.minimum(codes, len(place) - 1)], len(codes)
         here, node = np.arange(n), follow[0, marks]
-        ways, over = [np.where(np.isneginf(weight[node]), self.low, weight[node])], np.zeros(n + 2, np.int64)
-        while True:
-            keep = (node > 0) & (here + len(ways) < n)
-            here, node = here[keep], node[keep]
+        table = np.full((n, longest), -np.inf, weight.dtype)  # the longest words first: of equal sums they win
+        table[:, -1] = np.where(np.isneginf(weight[node]), self.low, weight[node])
+        reach, most = np.arange(1, n + 1), 1
+        for k in range(1, longest):
+            keep = np.flatnonzero(node[: np.searchsorted(here, n - k)])
+            here = here[keep]
             if not len(here):
                 break
-            node = follow[node, marks[here + len(ways)]]
-            more = np.full(n, -np.inf)
-            more[here] = weight[node]
-            ways.append(more)
-            found = here[~np.isneginf(weight[node])]
-            np.add.at(over, found + 1, 1)
-            np.add.at(over, found + len(ways), -1)
-        ends = np.flatnonzero(np.cumsum(over[: n + 1])[1:] == 0) + 1
+            node = follow[node[keep], marks[here + k]]
+            more = weight[node]
+            known = np.flatnonzero(more > -np.inf)
+            if len(known):
+                found, most = here[known], k + 1
+                table[found, -1 - k] = more[known]
+                reach[found] = found + most
+        table, far = table[:, longest - most :], np.arange(most, 0, -1)
+        ends = np.flatnonzero(np.maximum.accumulate(reach) == np.arange(1, n + 1)) + 1
         length = np.diff(ends, prepend=0)
         order = np.argsort(-length, kind="stable")
         ends, length = ends[order], length[order]
-        active = np.searchsorted(-length, -np.arange(1, length[0] + 1), side="right")
-        table, far = np.stack(ways, axis=1)[:, ::-1], np.arange(len(ways), 0, -1)  # the longest words first: of equal sums they win
+        alone = int(length[TOGETHER]) if len(length) > TOGETHER else 0
+        active = np.searchsorted(-length, -np.arange(1, alone + 1), side="right")
         best, size = np.zeros(n + 1), np.ones(n, np.int64)
-        for t, m in enumerate(active, 1):
-            p, lo = ends[:m] - t, max(0, len(ways) - t)
-            sums, after = table[p, lo:], best[p[:, None] + far[lo:]]
-            if t <= len(ways):
+        for t, m in enumerate(active.tolist(), 1):
+            p, lo = ends[:m] - t, max(0, most - t)
+            after = best[p[:, None] + far[lo:]]
+            if t <= most:
                 after[:, 0] = 0.0
-            sums = sums + after
-            k = sums.argmax(axis=1)
-            best[p], size[p] = sums[np.arange(m), k], far[lo + k]
-        return size.tolist()
-
-    def _loose(self, words: Iterable[str], known: bool) -> Iterator[str]:
+            after += table[p, lo:]
+            k = after.argmax(axis=1)
+            best[p], size[p] = after[np.arange(m), k], far[lo + k]
+        for end, n in zip(ends[:TOGETHER].tolist(), length[:TOGETHER].tolist()):
+            part = table[end - n : end - alone]
+            row, word = np.nonzero(part > -np.inf)
+            ways = zip(row[::-1].tolist(), (most - word)[::-1].tolist(), part[row, word][::-1].tolist())  # the shortest words first
+            sums, own = [-np.inf] * (n - alone) + best[end - alone : end].tolist() + [0.0], [1] * (n - alone)
+            for i, k, w in ways:
+                if i + k <= n and w + sums[i + k] >= sums[i]:
+                    sums[i], own[i] = w + sums[i + k], k
+            size[end - n : end - alone] = own
+        return size
+
+    def _loose(self, words: Iterable[str], known: bool) -> list[str]:
         """``words`` with neighbouring single characters joined: by the model, or unknown ones whole."""
-        held = ""
-        for w in [*words, None]:
-            if w is not None and len(w) == 1 and w not in self.single and not (known and w in self.weights):
+        out, held = [], ""
+        for w in words:
+            if len(w) == 1 and w not in self.single and not (known and w in self.weights):
                 held += w
                 continue
             if held:
-                yield from self.model.cut(held) if self.model else [held]
+                out += self.model.cut(held) if self.model else [held]
                 held = ""
-            if w is not None:
-                yield w
+            out.append(w)
+        if held:
+            out += self.model.cut(held) if self.model else [held]
+        return out
 
-    def _run(self, run: str, mode: str, path: list[str] | None = None) -> Iterator[str]:
+    def _run(self, run: str, mode: str, path: list[str] | None = None) -> list[str]:
         if mode == "HMM" and self.model:
-            yield from self.model.cut(run)
-            return
+            return self.model.cut(run)
         path = self.path(run) if path is None else path
         if mode == "HMM":
-            yield from self._loose(path, True)
-        elif mode == "MIX" or not self.model:
-            yield from path if mode != "SEARCH" else self._search(path)
-        else:
-            words = self._loose(path, False)
-            yield from self._search(words) if mode == "SEARCH" else words
+            return self._loose(path, True)
+        words = path if mode == "MIX" or not self.model else self._loose(path, False)
+        return list(self._search(words)) if mode == "SEARCH" else words
 
     def _search(self, words: Iterable[str]) -> Iterator[str]:
         for w in words:
@@ -234,26 +254,36 @@ class Segmenter:
         han = lambda run: "一" <= run[0] <= "龥"
         found = iter(()) if mode == "HMM" and self.model else self.paths([r for p in parts for r in p if han(r)])
         for p in parts:
-            yield [w for r in p for w in (self._run(r, mode, next(found, None)) if han(r) else [r])]
+            out: list[str] = []
+            for r in p:
+                out += self._run(r, mode, next(found, None)) if han(r) else [r]
+            yield out
 
     def column(self, c: Column, mode: str = "DEFAULT", stop_words: bool = False) -> Column:
         """The words of a column, and without the stop words if asked. The word graph is beyond SQL, so batches go through Arrow."""
         sent = SparkSession.active().sparkContext.broadcast(self)
         skipped = frozenset(STOP_WORDS if stop_words else ())
 
-        @F.pandas_udf("array<string>")
-        def cut(texts: pd.Series) -> pd.Series:
-            words = sent.value.cut_all(texts, mode)
-            return pd.Series([[w for w in ws if w not in skipped] if skipped else ws for ws in words], index=texts.index, dtype=object)
+        @F.arrow_udf("array<string>")
+        def cut(texts: pa.Array) -> pa.Array:
+            parts, ends = [pa.array([], pa.string())], [0]
+            for ws in sent.value.cut_all(texts.to_pylist(), mode):
+                parts.append(pa.array([w for w in ws if w not in skipped] if skipped else ws, pa.string()))
+                ends.append(ends[-1] + len(parts[-1]))
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(parts))
 
         return cut(c)
 
 
 def word_counts(tokens: DataFrame, column: str = "tokens", longest: int = 16, most: int = MOST_WORDS) -> DataFrame:
     """word, n and weight (the logarithm of its share) of the ``most`` frequent words up to a length, by n and then by word."""
-    counted = tokens.select(F.explode(column).alias("word")).filter(F.char_length("word").between(1, longest)).groupBy("word").agg(F.count("*").alias("n"))
-    kept = counted.orderBy(F.desc("n"), "word").limit(most)
-    return weighted(kept)
+    return frequent(tokens.select(F.explode(column).alias("word"), F.lit(1).cast("long").alias("n")), longest, most)
+
+
+def frequent(counts: DataFrame, longest: int = 16, most: int = MOST_WORDS) -> DataFrame:
+    """``word_counts`` of words that are counted in parts (word, n)."""
+    counted = counts.filter(F.char_length("word").between(1, longest)).groupBy("word").agg(F.sum("n").alias("n"))
+    return weighted(counted.orderBy(F.desc("n"), "word").limit(most))
 
 
 def weighted(words: DataFrame) -> DataFrame:
@@ -273,24 +303,34 @@ def load_words(spark: SparkSession, path: str, default: int = 1) -> DataFrame:
     return rows.groupBy("word").agg(F.max("n").alias("n"), F.max_by("tag", "n").alias("tag"))
 
 
+def neighbour_counts(tokens: DataFrame, column: str = "tokens") -> DataFrame:
+    """word, before and n: how often a word is a row's first (before is empty), or follows one of one character (S) or of more (E).
+
+    Rows are lists of words in order; null and empty words are left out, as are empty lists. Counted within tasks first.
+    """
+    rows = tokens.select(F.filter(F.col(column), lambda w: F.coalesce(w, F.lit("")) != "").alias("w"))
+    each = rows.select(F.explode(F.arrays_zip("w", F.concat(F.array(F.lit("")), "w").alias("p"))).alias("x")).filter("x.w is not null")
+    before = F.when(F.col("x.p") == "", "").when(F.char_length("x.p") == 1, "S").otherwise("E")
+    return each.groupBy(F.col("x.w").alias("word"), before.alias("before")).agg(F.count("*").alias("n"))
+
+
 def state_counts(tokens: DataFrame, column: str = "tokens") -> DataFrame:
     """kind (start, follow or emit), a, b and n: how often a row begins with state b, b follows a, and state a has character b.
 
-    Rows are lists of words in order; null and empty words are left out, as are empty lists. Counted within tasks first.
+    Rows are as in ``neighbour_counts``; only distinct words are taken apart.
     """
-    size = F.char_length
-    state = lambda w, i: F.when(size(w) == 1, "S").when(i == 1, "B").when(i == size(w), "E").otherwise("M")
-    places = lambda w: F.sequence(F.lit(1), size(w))
-    words = F.filter(F.col(column), lambda w: F.coalesce(w, F.lit("")) != "")
-    rows = tokens.select(
-        F.flatten(F.transform(words, lambda w: F.transform(places(w), lambda i: state(w, i)))).alias("s"),
-        F.flatten(F.transform(words, lambda w: F.transform(places(w), lambda i: F.substr(w, i, F.lit(1))))).alias("c"),
-    )
-    each = rows.filter(F.size("s") > 0).select("s", "c", F.slice(F.concat(F.array(F.lit("")), "s"), 1, F.size("s")).alias("p")).select(F.explode(F.arrays_zip("s", "c", "p")).alias("x"))
-    seen = lambda kind, a, b: F.struct(kind.alias("kind"), a.alias("a"), b.alias("b"))
-    x = lambda k: F.col("x")[k]
-    both = F.array(seen(F.when(x("p") == "", "start").otherwise("follow"), x("p"), x("s")), seen(F.lit("emit"), x("s"), x("c")))
-    return each.select(F.explode(both).alias("y")).select("y.*").groupBy("kind", "a", "b").agg(F.count("*").alias("n"))
+    return states_of(neighbour_counts(tokens, column))
+
+
+def states_of(counts: DataFrame) -> DataFrame:
+    """``state_counts`` of ``neighbour_counts``."""
+    size = F.char_length("word")
+    state = lambda i: F.when(size == 1, "S").when(i == 1, "B").when(i == size, "E").otherwise("M")
+    each = counts.select("word", "before", "n", F.explode(F.sequence(F.lit(1), size)).alias("i"))
+    here = each.select("n", state(F.col("i")).alias("s"), F.substr("word", "i", F.lit(1)).alias("c"), F.when(F.col("i") == 1, F.col("before")).otherwise(state(F.col("i") - 1)).alias("p"))
+    seen = lambda kind, a, b: F.struct(kind.alias("kind"), F.col(a).alias("a"), F.col(b).alias("b"))
+    both = F.array(seen(F.when(F.col("p") == "", "start").otherwise("follow"), "p", "s"), seen(F.lit("emit"), "s", "c"))
+    return here.select("n", F.explode(both).alias("y")).groupBy("y.kind", "y.a", "y.b").agg(F.sum("n").alias("n"))
 
 
 def model_of(counts: DataFrame) -> Model:

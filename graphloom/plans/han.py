@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import segment
 from ..operators.extraction import spread
-from ..operators.scratch import small_batches
+from ..operators.scratch import cut, small_batches
 from .queries import query
 from .star import _read
 
@@ -28,7 +28,10 @@ def _han_words(docs):
 
 def dictionary(docs):
     """word, n and a whole number for a weight, so that sums of weights are exact."""
-    counted = segment.word_counts(docs.select(_latin_words(F.col("text")).alias("tokens")), longest=LONGEST, most=WORDS)
+    return _weights(segment.word_counts(docs.select(_latin_words(F.col("text")).alias("tokens")), longest=LONGEST, most=WORDS))
+
+
+def _weights(counted):
     return counted.select(F.translate("word", LOWER, HAN).alias("word"), "n", F.floor(1000 * F.col("weight")).alias("weight"))
 
 
@@ -79,10 +82,15 @@ def cjk_path_tokens(spark, d):
 
 
 def recovered(docs, mode="DEFAULT"):
-    """doc_id, its number of words, and the words that are found in it without its spaces, by dictionary and model of all documents."""
-    words = _han_words(small_batches(spread(docs.select("doc_id", "text"))))
-    made = segment.segmenter(dictionary(docs), segment.model_of(segment.state_counts(words)))
-    return words.select("doc_id", F.coalesce(F.size("tokens"), F.lit(0)).alias("n_words"), made.column(F.array_join("tokens", ""), mode).alias("tokens"))
+    """doc_id, its number of words, and the words that are found in it without its spaces, by dictionary and model of all documents.
+    Texts are gone through twice: for the words that stand in them, which are written with their counts, and to be cut."""
+    texts, letters = small_batches(spread(docs.select("doc_id", "text"))), F.lit("[A-Za-z]+")
+    counted = segment.neighbour_counts(texts.select(F.regexp_extract_all("text", letters, F.lit(0)).alias("tokens")))
+    words = cut(counted.groupBy(F.lower("word").alias("word"), "before").agg(F.sum("n").alias("n")), "words")
+    model = segment.model_of(segment.states_of(words.withColumn("word", F.translate("word", LOWER, HAN))))
+    made = segment.segmenter(cut(_weights(segment.frequent(words, LONGEST, WORDS)), "dictionary"), model)
+    run = F.translate(F.regexp_replace("text", "[^A-Za-z]+", ""), UPPER + LOWER, HAN + HAN)
+    return texts.select("doc_id", F.coalesce(F.regexp_count("text", letters), F.lit(0)).alias("n_words"), made.column(run, mode).alias("tokens"))
 
 
 @query()

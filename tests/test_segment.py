@@ -1,6 +1,8 @@
 import itertools
 import math
 import random
+import re
+from collections import Counter
 
 import pytest
 
@@ -146,3 +148,39 @@ def test_documents_are_dealt_out_before_they_are_cut(spark):
 
     docs = spark.createDataFrame([(i, "some words") for i in range(50)], "doc_id long, text string").coalesce(1)
     assert han.recovered(docs).rdd.getNumPartitions() >= 4
+
+
+def test_long_parts_are_gone_through_by_themselves(rng, monkeypatch):
+    words = {"".join(rng.choices("天地玄", k=rng.randint(1, 5))): -rng.randint(1, 9) for _ in range(40)}
+    runs = ["".join(rng.choices("天地玄黄", k=rng.choice((1, 3, 20, 700)))) for _ in range(60)] + ["天地" * 900]
+    for heavy in (0, 1 << 25):  # weights that single precision does not hold
+        made = Segmenter({w: x - heavy for w, x in words.items()})
+        for together in (0, 1, 5, 10_000):
+            monkeypatch.setattr(segment, "TOGETHER", together)
+            assert made._table() and list(made.paths(runs)) == [made.path(r) for r in runs]
+
+
+def test_texts_are_read_twice_and_states_counted_over_distinct_words(spark, rng):
+    from graphloom.plans import han
+
+    texts = [" ".join(rng.choices(["the", "The", "a", "A", "cat", "réd", "x"], k=rng.randrange(12))) for _ in range(60)] + [None, "", "é 1"]
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_words for r in han.recovered(docs.mapInPandas(read, docs.schema)).collect()}
+    assert got == {i: len(re.findall("[A-Za-z]+", t or "")) for i, t in enumerate(texts)} and seen.value == 2 * len(texts)
+    tokens = docs.selectExpr("regexp_extract_all(text, '[A-Za-z]+', 0) as tokens")
+    plain = Counter()
+    for t in texts:
+        states = [(c, s) for w in re.findall("[A-Za-z]+", t or "") for c, s in zip(w, "S" if len(w) == 1 else "B" + "M" * (len(w) - 2) + "E")]
+        plain.update(("emit", s, c) for c, s in states)
+        plain.update(("follow", a[1], b[1]) for a, b in zip(states, states[1:]))
+        plain.update(("start", "", s) for _, s in states[:1])
+    assert {(r.kind, r.a, r.b): r.n for r in segment.state_counts(tokens).collect()} == plain
+    pairs = segment.neighbour_counts(tokens)
+    assert pairs.count() == pairs.select("word", "before").distinct().count() and pairs.agg({"n": "sum"}).first()[0] == sum(got.values())
