@@ -7,7 +7,7 @@ is made of them on the driver, within stated bounds, and goes to the executors o
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from statistics import median
 
 import numpy as np
@@ -303,15 +303,16 @@ def load_words(spark: SparkSession, path: str, default: int = 1) -> DataFrame:
     return rows.groupBy("word").agg(F.max("n").alias("n"), F.max_by("tag", "n").alias("tag"))
 
 
-def neighbour_counts(tokens: DataFrame, column: str = "tokens") -> DataFrame:
+def neighbour_counts(tokens: DataFrame, column: str = "tokens", fold: Callable[[Column], Column] = lambda w: w) -> DataFrame:
     """word, before and n: how often a word is a row's first (before is empty), or follows one of one character (S) or of more (E).
 
-    Rows are lists of words in order; null and empty words are left out, as are empty lists. Counted within tasks first.
+    ``fold`` makes one word of several of the same length. Rows are lists of words in order; null and empty words are left out, as are
+    empty lists. Counted within tasks first.
     """
     rows = tokens.select(F.filter(F.col(column), lambda w: F.coalesce(w, F.lit("")) != "").alias("w"))
     each = rows.select(F.explode(F.arrays_zip("w", F.concat(F.array(F.lit("")), "w").alias("p"))).alias("x")).filter("x.w is not null")
     before = F.when(F.col("x.p") == "", "").when(F.char_length("x.p") == 1, "S").otherwise("E")
-    return each.groupBy(F.col("x.w").alias("word"), before.alias("before")).agg(F.count("*").alias("n"))
+    return each.groupBy(fold(F.col("x.w")).alias("word"), before.alias("before")).agg(F.count("*").alias("n"))
 
 
 def state_counts(tokens: DataFrame, column: str = "tokens") -> DataFrame:

@@ -85,8 +85,8 @@ def recovered(docs, mode="DEFAULT"):
     """doc_id, its number of words, and the words that are found in it without its spaces, by dictionary and model of all documents.
     Texts are gone through twice: for the words that stand in them, which are written with their counts, and to be cut."""
     texts, letters = small_batches(spread(docs.select("doc_id", "text"))), F.lit("[A-Za-z]+")
-    counted = segment.neighbour_counts(texts.select(F.regexp_extract_all("text", letters, F.lit(0)).alias("tokens")))
-    words = cut(counted.groupBy(F.lower("word").alias("word"), "before").agg(F.sum("n").alias("n")), "words")
+    counted = segment.neighbour_counts(texts.select(F.regexp_extract_all("text", letters, F.lit(0)).alias("tokens")), fold=F.lower)
+    words = cut(counted, "words")
     model = segment.model_of(segment.states_of(words.withColumn("word", F.translate("word", LOWER, HAN))))
     made = segment.segmenter(cut(_weights(segment.frequent(words, LONGEST, WORDS)), "dictionary"), model)
     run = F.translate(F.regexp_replace("text", "[^A-Za-z]+", ""), UPPER + LOWER, HAN + HAN)
